@@ -1,12 +1,14 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words are lower-cased (A-Z) runs of letters and digits. Features are words, pairs of
-neighbours and pairs with one word between, hashed to 2**18 places; a feature is there or
-not, however often. Per-coordinate learning rates and an L1 penalty leave few weights, which
-are small enough (at most 2**18 floats, 1 MB) to ship to every task.
+Words are lower-cased (A-Z) runs of letters and digits. Features are words, their beginnings
+of a few lengths (so that inflected forms share a feature), pairs of neighbours and pairs
+with one word between, hashed to 2**20 places; a feature is there or not, however often.
+Per-coordinate learning rates and an L1 penalty leave a few thousand weights, which travel
+with the tasks that score (4 MB if none were zero).
 
 Training takes at most TRAIN_ROWS labelled rows, those with the smallest hash of their id,
-dealt to SHARDS groups; each runs FTRL in a fixed order and the weights are averaged.
+dealt to groups of about SHARD_ROWS; each runs FTRL in a fixed order and the weights are
+averaged.
 
 Edge cases: null and empty texts score as the bias alone; a null ``doc_id`` is scored but
 never learned from; of labels that disagree on a ``doc_id`` the larger counts; without
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from .words import mix, pieces, split, word_hashes
 
-BITS = 18
-TRAIN_ROWS = 16_000
-SHARDS = 8
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.6, 0.5
+BITS = 20
+STEMS = (4, 5, 6, 7, 8)
+TRAIN_ROWS = 24_000
+SHARD_ROWS = 4_000
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
+#: Toxic rows are the fewer; each counts so many times.
+POSITIVE_WEIGHT = 2
 THRESHOLD = 0.7
 
 _SEP = np.ones(256, bool)
@@ -37,7 +42,7 @@ _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fals
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of every word, pair and skip pair of a piece of text."""
+    """Row and feature of every word, word beginning, pair and skip pair of a piece of text."""
     starts, ends, first = split(data, offsets, _SEP)
     h = word_hashes(data, starts, ends, True)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
@@ -47,6 +52,10 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             same = row[:-gap] == row[gap:]
             rows.append(row[:-gap][same])
             feats.append(mix(h[:-gap] * np.uint64(2 * salt + 1) + (h[gap:] ^ np.uint64(salt)))[same])
+    for k in STEMS:
+        long = ends - starts > k
+        rows.append(row[long])
+        feats.append(mix(word_hashes(data, starts[long], starts[long] + k, True) + np.uint64(k)))
     return np.concatenate(rows), (np.concatenate(feats) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -62,7 +71,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
             w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2)
             w[np.abs(zi) <= L1] = 0
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30)))
-            g = p - y
+            g = (p - y) * (POSITIVE_WEIGHT if y else 1)
             z[at] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[at] += g * g
     w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
@@ -88,6 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, n), b.column("y").slice(first, n), lists], names=["doc_id", "y", "places"])
 
+    shards = max(1, -(-chosen.count() // SHARD_ROWS))
     rows = known.mapInArrow(places, "doc_id long, y int, places array<int>")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -95,43 +105,67 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         pdf = pdf.iloc[np.random.default_rng(7).permutation(len(pdf))]
         w, bias = ftrl([np.asarray(p, np.int64) for p in pdf["places"]], pdf["y"].to_numpy())
         at = np.flatnonzero(w)
-        return pd.DataFrame({"place": np.append(at, -1), "w": np.append(w[at], bias), "rows": len(pdf)})
+        return pd.DataFrame({"place": np.append(at, -1), "w": np.append(w[at], bias)})
 
-    shard = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SHARDS))
-    learned = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(learn, "place long, w double, rows long")
+    shard = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards))
+    learned = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(learn, "place long, w double")
     # At most 2**BITS + 1 places come to the driver, whatever the input.
     total = learned.groupBy("place").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).toPandas()
     weights, bias = np.zeros(1 << BITS, np.float32), -30.0
     if len(total):
-        shards = total.loc[total["place"] == -1, "n"].iloc[0]
+        parts = total.loc[total["place"] == -1, "n"].iloc[0]
         own = total[total["place"] >= 0]
-        weights[own["place"].to_numpy()] = (own["w"] / shards).to_numpy()
-        bias = float(total.loc[total["place"] == -1, "w"].iloc[0] / shards)
+        weights[own["place"].to_numpy()] = (own["w"] / parts).to_numpy()
+        bias = float(total.loc[total["place"] == -1, "w"].iloc[0] / parts)
     return weights, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """Adds ``score`` (0 to 1) to ``docs`` (doc_id, text); returns doc_id and score."""
+def _scorer(model: tuple[np.ndarray, float]):
+    """A function from an Arrow batch with ``text`` to (first row, scores) of its runs of rows."""
     weights, bias = model
-    place = np.flatnonzero(weights).astype(np.int64)
+    place = np.flatnonzero(weights).astype(np.int32)
     value = weights[place]  # the sparse form travels with the task
 
+    def run(batch: pa.RecordBatch, dense: dict = {}) -> Iterator[tuple[int, np.ndarray]]:
+        if not dense:
+            w = np.zeros(1 << BITS, np.float64)
+            w[place] = value
+            dense["w"] = w
+        w = dense["w"]
+        for first, data, offsets in pieces(batch.column("text")):
+            row, feat = _features(data, offsets)
+            used = w[feat] != 0
+            key = np.unique((row[used] << BITS) | feat[used])
+            total = np.bincount(key >> BITS, w[key & ((1 << BITS) - 1)], len(offsets) - 1) + bias
+            yield first, 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+    return run
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """doc_id and score (0 to 1) of every row of ``docs`` (doc_id, text)."""
+    scorer = _scorer(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << BITS, np.float64)
-        dense[place] = value
         for b in batches:
-            for first, data, offsets in pieces(b.column("text")):
-                n = len(offsets) - 1
-                row, feat = _features(data, offsets)
-                used = dense[feat] != 0
-                key = np.unique((row[used] << BITS) | feat[used])
-                total = np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], n) + bias
-                s = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, n), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            for first, s in scorer(b):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(s)), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, in one pass."""
+    scorer = _scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, s in scorer(b):
+                yield b.slice(first, len(s)).filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(folds: int, fold: int):
     """True for rows whose crc32(doc_id as text) modulo ``folds`` is ``fold``."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
