@@ -3,10 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+import public_tokenizers
+from lapframe.llm import decontaminate, exact_dedup, minhash, packing, toxicity
+from lapframe.llm.queries import table
+from lapframe.llm.store import stored
+
+#: Ids (8 bytes) of rejected documents that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``rejected`` (doc_id)."""
+    ids = stored(rejected.select("doc_id").distinct(), "rejected")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't call toxic; it learns from the labels as op7 does."""
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out(3, 1))
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts; of rows that repeat a doc_id, one."""
+    found = stored(exact_dedup.exact_dedup(docs), "exact")
+    kept = _without(docs, found.filter(~F.col("kept")))
+    repeated = found.groupBy("doc_id").count().filter(F.col("count") > 1).limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near copies."""
+    return _without(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+
+
+def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't repeat benchmark items."""
+    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document left goes."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", reject_contaminated),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can express neither the trained classifier nor the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents in ``sf_dir``, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
