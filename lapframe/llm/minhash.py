@@ -6,13 +6,17 @@ inverted lists of retained values; an estimate from the two sketches (the share
 union's sketch that both have) drops most pairs; the rest are confirmed on full sets:
 100 * intersection >= 75 * union.
 
-Lists longer than HOT_LIST are never paired out as they stand. A class draws its CANDIDATES
-from retained values that aren't hot: a link whose two sets are at least three quarters
-such values is missed with a chance below 1e-8. Classes with more hot values than that also
+Lists longer than HOT_LIST are never paired out. A class draws its candidates from retained
+values that aren't hot: with at least MOSTLY_COLD of one of two linked sets such values, the two
+share none of them with a chance below 1e-8. Classes with more hot values than that also
 join hot lists. There each member is compared with the list's first and last member; what is
-linked so is one component, and only members of different components are compared further.
-In the same way, of a class's ordinary candidates the best is confirmed first, and others only
-if their components still differ. No link between different components is left out.
+linked so is one component, and only members of different components are compared further:
+full sets meet by exact prefixes (of two linked sets, the rarest quarter of each holds a
+common value), sets that meet so form a family, and a family is compared in square blocks, each
+block's intersections counted by a matrix product. In the same way, of a class's ordinary
+candidates the best is confirmed first, and others only if their components still differ. No
+link between different components is left out. Work in blocks grows with the square of a family's
+open members, rows do not: a block returns fewer links than it has components.
 
 Edge cases: a text without words, or null, has an empty set and links with nothing; with
 fewer than five words the whole sequence is the one shingle; rows that repeat a ``doc_id`` get
@@ -25,8 +29,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -35,8 +40,11 @@ from .words import mix, phrase_hashes, pieces, split, word_hashes
 
 SHINGLE = 5
 SKETCH = 64
-CANDIDATES, CANDIDATES_BESIDE_HOT = 16, 24
+CANDIDATES, CANDIDATES_BESIDE_HOT = 16, 32
 HOT_LIST = 50
+MOSTLY_COLD = 0.6
+#: Sets in one side of a block, and columns of a block's matrix.
+BLOCK_SETS, BLOCK_COLUMNS = 512, 4096
 #: Least estimate that is confirmed: 5.5 standard deviations below 0.75.
 LEAST_ESTIMATE = 0.45
 #: Ids (8 bytes) of documents to confirm that are broadcast to prune the second read.
@@ -110,21 +118,87 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.filter(_enough(F.col("sa"), F.col("sb"))).select("a", "b", _shared(F.col("sa"), F.col("sb")).alias("both"))
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets of the documents in ``ids`` (doc_id)."""
+    ids = stored(ids.distinct(), "ids")
+    small = ids.count() <= BROADCAST_IDS
+    return stored(full_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= 75 * union."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    n = ids.count()
-    if not n:
+    if not pairs.limit(1).count():
         return pairs.select("a", "b")
-    small = n <= BROADCAST_IDS
-    sets = full_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    sets = stored(sets, "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs)
     held = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("sb")), "b")
     held = held.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("sa")), "a")
     held = held.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), _shared(F.col("sa"), F.col("sb")).alias("both"))
     return held.filter(100 * F.col("both") >= 75 * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between components in one block: enough of them to join what belongs together."""
+    i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+    sides = [pdf[pdf["blk"] == b] for b in (i, j)]
+    sets = [[np.asarray(h, np.int64) for h in side["hashes"]] for side in sides]
+    flat = [np.concatenate(s) if s else np.zeros(0, np.int64) for s in sets]
+    both = np.intersect1d(*[np.unique(f) for f in flat], assume_unique=True)
+    common = np.zeros((len(sets[0]), len(sets[1])), np.float32)
+    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sets]
+    places = [np.searchsorted(both, f) for f in flat]
+    held = [np.flatnonzero((p < len(both)) & (both[np.minimum(p, len(both) - 1)] == f)) if len(both) else np.zeros(0, np.int64) for p, f in zip(places, flat, strict=True)]
+    for first in range(0, len(both), BLOCK_COLUMNS):
+        m = []
+        for k in (0, 1):
+            at = held[k][(places[k][held[k]] >= first) & (places[k][held[k]] < first + BLOCK_COLUMNS)]
+            x = np.zeros((len(sets[k]), min(BLOCK_COLUMNS, len(both) - first)), np.float32)
+            x[rows[k][at], places[k][at] - first] = 1
+            m.append(x)
+        common += m[0] @ m[1].T
+    n = [np.array([len(x) for x in s], np.float64) for s in sets]
+    linked = 100 * common.astype(np.float64) >= 75 * (n[0][:, None] + n[1][None, :] - common)
+    label = [side["label"].to_numpy() for side in sides]
+    ids = [side["doc_id"].to_numpy() for side in sides]
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            v = root[v]
+        return v
+
+    out = []
+    for a, b in zip(*np.nonzero(linked & (label[0][:, None] != label[1][None, :])), strict=True):
+        x, y = find(int(label[0][a])), find(int(label[1][b]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((min(ids[0][a], ids[1][b]), max(ids[0][a], ids[1][b])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _family_links(ids: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links between different components (``labels``: v, label) of the classes in ``ids`` (doc_id)."""
+    sets = _sets_of(ids, docs)
+    values = sets.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    counts = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "set_values")
+    # A set's values that no other has are its rarest, and need no list.
+    own = Window.partitionBy("doc_id")
+    shared = values.join(counts, "value").withColumn("rank", F.row_number().over(own.orderBy("df", "value"))).withColumn("m", F.count(F.lit(1)).over(own))
+    prefix = shared.filter(F.col("rank") + F.col("n") - F.col("m") <= F.floor(F.col("n") / 4) + 1).select("value", "doc_id")
+    of = labels.select(F.col("v").alias("doc_id"), "label")
+    prefix = stored(prefix.join(of, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "prefixes")
+    lists = prefix.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("first")).filter("lo < hi")
+    met = stored(prefix.join(lists, "value").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "met")
+    if not met.limit(1).count():
+        return None
+    family = connected_components(met).select(F.col("v").alias("doc_id"), F.col("label").alias("family"))
+    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    member = family.join(blocks, "family").join(of, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    member = member.join(sets, "doc_id").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("family", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "doc_id", "label", "hashes")
+    return member.groupBy("family", "bi", "bj").applyInPandas(_block_links, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     rows = stored(sketches(docs), "sketches")
@@ -142,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         per = stored(per.select(
             "id",
             F.transform(F.slice("cold", 1, F.when(F.col("mixed"), CANDIDATES_BESIDE_HOT).otherwise(CANDIDATES)), lambda x: x.value).alias("cold"),
-            F.when(4 * F.size("cold") < 3 * F.col("all"), F.transform(F.filter(F.slice("v", 1, CANDIDATES), lambda x: x.hot), lambda x: x.value)).alias("hot"),
+            F.when(F.size("cold") < MOSTLY_COLD * F.col("all"), F.transform(F.filter(F.slice("v", 1, CANDIDATES), lambda x: x.hot), lambda x: x.value)).alias("hot"),
         ), "lists")
         listed = per.select("id", F.explode("cold").alias("value"))
         hot_listed = per.select("id", F.explode("hot").alias("value"))
@@ -175,18 +249,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return ids.join(own, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
 
     rest = component(component(candidates.select("a", "b"), "a"), "b").filter("la <> lb").select("a", "b")
+    more = _confirmed(stored(rest.distinct(), "rest"), docs)
     if hot_listed is not None:
-        members = stored(component(hot_listed.withColumnRenamed("id", "a"), "a").join(classes.select(F.col("id").alias("a"), "n"), "a"), "members")
-        mixed = members.groupBy("value").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).filter("lo < hi").select("value")
-        open_ = members.join(mixed, "value")
-        left = open_.select("value", "a", "la", F.col("n").alias("na"))
-        right = open_.select("value", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("n").alias("nb"))
-        cross = left.join(right, "value").filter("a < b AND la <> lb AND 4 * na >= 3 * nb AND 4 * nb >= 3 * na").select("a", "b").distinct()
-        rest = rest.unionByName(_estimated(cross, classes).select("a", "b"))
-    rest = stored(rest.distinct(), "rest")
-    if rest.limit(1).count():
-        links = stored(links.unionByName(_confirmed(rest, docs)), "links")
-        labels = connected_components(links)
+        ends = _family_links(hot_listed.select(F.col("id").alias("doc_id")), labels, docs)
+        more = more if ends is None else more.unionByName(ends)
+    more = stored(more, "more_links")
+    if more.limit(1).count():
+        labels = connected_components(links.unionByName(more))
 
     own = rows.select("doc_id", "n", "f1", "f2")
     known = own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
