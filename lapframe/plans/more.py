@@ -486,7 +486,7 @@ def x1(spark, sf):
     return out(derive.derive_channels(fx.samples(spark, sf), made))
 
 
-@query("x2_channel_function", f"SELECT session_id, 'run' AS channel, tc, round(sum(a - b) OVER (PARTITION BY session_id ORDER BY tc), 3) + 0.0 AS value FROM {_ALIGNED}")
+@query("x2_channel_function", f"SELECT session_id, 'run' AS channel, round(tc, 3) AS tc, round(sum(a - b) OVER (PARTITION BY session_id ORDER BY tc), 3) + 0.0 AS value FROM {_ALIGNED}")
 def x2(spark, sf):
     derive.register_channel_fn("running gap", lambda pdf: (pdf["click"] - pdf["view"]).cumsum())
     return out(derive.apply_channel_fn(fx.samples(spark, sf), "running gap", {"click": False, "view": False}, "run"), 3)
@@ -511,10 +511,10 @@ def t2(spark, sf):
 
 @query("t3_stream_laps", "SELECT session_id, lap_num, round(start_tc, 6) AS start_tc, round(end_tc, 6) AS end_tc FROM (SELECT *, max(lap_num) OVER (PARTITION BY session_id) AS last FROM fx_laps) WHERE lap_num < last")
 def t3(spark, sf):
-    # Laps that have closed by the end of the stream; the open one waits for its time-out.
+    # Laps that have closed by the end of the stream.
     c, feed, path = fx.counter(spark, sf).select("session_id", "tc", "value"), scratch(spark, "feed"), scratch(spark, "laps")
     c.write.parquet(feed)
-    s = jobs.stream_laps(spark.readStream.schema(c.schema).parquet(feed))
+    s = jobs.stream_laps(spark.readStream.schema(c.schema).parquet(feed), None)
     run = s.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "laps-state")).trigger(availableNow=True).start()
     run.awaitTermination()
     return out(spark.read.schema(s.schema).parquet(path))
