@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .align import asof
 
-_SESSION = Window.partitionBy("session_id")
+
+def _by_session() -> WindowSpec:
+    return Window.partitionBy("session_id")
 
 
 def build_dist_map(speed: DataFrame, laps: DataFrame, grid_ms: float = 10.0, expected: DataFrame | None = None) -> DataFrame:
@@ -25,7 +28,7 @@ def build_dist_map(speed: DataFrame, laps: DataFrame, grid_ms: float = 10.0, exp
     ahead of k0).
     """
     g = F.lit(float(grid_ms))
-    numbered = laps.withColumn("i", F.row_number().over(_SESSION.orderBy("start_tc"))).withColumn("n_laps", F.count(F.lit(1)).over(_SESSION))
+    numbered = laps.withColumn("i", F.row_number().over(_by_session().orderBy("start_tc"))).withColumn("n_laps", F.count(F.lit(1)).over(_by_session()))
     bounds = numbered.select("session_id", F.rint(F.col("start_tc") / g).cast("long").alias("k"), "lap_num", ((F.col("i") > 1) & (F.col("i") < F.col("n_laps"))).alias("inner"))
     ends = laps.groupBy("session_id").agg(F.ceil(F.max("end_tc") / g).cast("long").alias("k_end"))
     one = speed.groupBy("session_id", "tc").agg(F.max("value").alias("value"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .align import assign_laps
 
-_SESSION = Window.partitionBy("session_id")
+
+def _by_session() -> WindowSpec:
+    return Window.partitionBy("session_id")
 
 
 def laps_from_counter(samples: DataFrame, channel: str) -> DataFrame:
@@ -16,11 +19,11 @@ def laps_from_counter(samples: DataFrame, channel: str) -> DataFrame:
     Laps are numbered on from the counter's first value.
     """
     ends = samples.groupBy("session_id").agg(F.max("tc").alias("session_end"))
-    by_tc = _SESSION.orderBy("tc")
+    by_tc = _by_session().orderBy("tc")
     own = samples.filter(F.col("channel") == channel).select("session_id", "tc", "value")
     marks = own.withColumn("before", F.lag("value").over(by_tc)).filter(F.col("before").isNull() | (F.col("before") != F.col("value")))
     marks = marks.select("session_id", "value", F.when(F.col("before").isNull(), 0.0).otherwise(F.col("tc")).alias("start_tc"))
-    by_start = _SESSION.orderBy("start_tc")
+    by_start = _by_session().orderBy("start_tc")
     laps = marks.select(
         "session_id",
         (F.first("value").over(by_start.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(by_start) - 1).cast("int").alias("lap_num"),
@@ -36,7 +39,7 @@ def laps_from_odometer(wide: DataFrame) -> DataFrame:
     A change of the lap channel is put back to where the lap distance was zero, though not
     before the sample ahead of it; a change to lap 0 ends the session's laps.
     """
-    by_tc = _SESSION.orderBy("tc")
+    by_tc = _by_session().orderBy("tc")
     x = wide.withColumn("lap0", F.lag("lap").over(by_tc)).withColumn("tc0", F.lag("tc").over(by_tc))
     last = wide.groupBy("session_id").agg(F.max("tc").alias("session_end"))
     b = x.filter(F.col("lap0") != F.col("lap"))
@@ -59,7 +62,7 @@ def laps_from_beacon(samples: DataFrame, channel: str = "Beacon") -> DataFrame:
     A sequence starts at a negative value, may carry a 14-bit signed offset (a value of 16384
     or more), and ends at any other value; an end of 100 or 2 marks a lap at start - 1000 + offset.
     """
-    by_tc = _SESSION.orderBy("tc")
+    by_tc = _by_session().orderBy("tc")
     ends = samples.groupBy("session_id").agg(F.max("tc").alias("session_end"))
     b = samples.filter(F.col("channel") == channel)
     done = (F.col("value") >= 0) & (F.col("value") < 16384)
@@ -83,7 +86,7 @@ def laps_from_messages(messages: DataFrame) -> DataFrame:
     Segments and repeats of a lap are skipped; one missing lap is inferred from its
     neighbours; a larger gap raises an error.
     """
-    by_seq = _SESSION.orderBy("seq")
+    by_seq = _by_session().orderBy("seq")
     m = messages.filter("segment = 0").withColumn("lap0", F.lag("lap").over(by_seq))
     m = m.filter(F.col("lap0").isNull() | (F.col("lap0") != F.col("lap"))).withColumn("end0", F.lag("end_tc").over(by_seq))
     gap = F.col("lap") - F.col("lap0")
@@ -97,8 +100,8 @@ def laps_from_messages(messages: DataFrame) -> DataFrame:
 
 def lap_distances(laps: DataFrame) -> DataFrame:
     """A5: distance of each lap (laps with start_dist, end_dist) and the median of inner laps."""
-    by_num = _SESSION.orderBy("lap_num")
-    x = laps.withColumn("dist", F.col("end_dist") - F.col("start_dist")).withColumn("i", F.row_number().over(by_num)).withColumn("n", F.count(F.lit(1)).over(_SESSION))
+    by_num = _by_session().orderBy("lap_num")
+    x = laps.withColumn("dist", F.col("end_dist") - F.col("start_dist")).withColumn("i", F.row_number().over(by_num)).withColumn("n", F.count(F.lit(1)).over(_by_session()))
     inner = (F.col("i") > 1) & (F.col("i") < F.col("n"))
     med = x.filter(inner).groupBy("session_id").agg(F.median("dist").alias("median_dist"))
     return x.join(med, "session_id", "left").select("session_id", "lap_num", "dist", "median_dist")
@@ -110,9 +113,9 @@ def best_lap(laps: DataFrame) -> DataFrame:
     Of one or two laps the shortest; of more, the shortest inner lap of at least 0.95 times the
     inner laps' median distance. The earliest of equals.
     """
-    by_num = _SESSION.orderBy("lap_num")
+    by_num = _by_session().orderBy("lap_num")
     x = laps.withColumn("dur", F.col("end_tc") - F.col("start_tc")).withColumn("dist", F.col("end_dist") - F.col("start_dist"))
-    x = x.withColumn("i", F.row_number().over(by_num)).withColumn("n", F.count(F.lit(1)).over(_SESSION))
+    x = x.withColumn("i", F.row_number().over(by_num)).withColumn("n", F.count(F.lit(1)).over(_by_session()))
     x = x.filter((F.col("n") <= 2) | ((F.col("i") > 1) & (F.col("i") < F.col("n"))))
     med = x.groupBy("session_id").agg(F.median("dist").alias("median_dist"))
     x = x.join(med, "session_id").filter((F.col("n") <= 2) | (F.col("dist") >= 0.95 * F.col("median_dist")))
@@ -123,7 +126,7 @@ def best_lap(laps: DataFrame) -> DataFrame:
 def top_laps(laps: DataFrame, n: int = 3) -> DataFrame:
     """O2: each session's n shortest laps, ranked."""
     x = laps.withColumn("duration", F.col("end_tc") - F.col("start_tc"))
-    x = x.withColumn("rank", F.row_number().over(_SESSION.orderBy("duration", "lap_num")))
+    x = x.withColumn("rank", F.row_number().over(_by_session().orderBy("duration", "lap_num")))
     return x.filter(F.col("rank") <= n).select("session_id", "lap_num", "duration", "rank")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .align import assign_laps, hold_join, interp_join
 from .distance import dist_to_time
 
-_SERIES = Window.partitionBy("session_id", "channel")
+
+def _by_series() -> WindowSpec:
+    return Window.partitionBy("session_id", "channel")
 
 
 def channel_stats(samples: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def weighted_histogram(samples: DataFrame, laps: DataFrame | None = None, bins:
     takes no part. Edges run from the least to the largest value over all channels and laps chosen;
     the last bin is closed.
     """
-    w = finite_only(samples).withColumn("weight", F.lead("tc").over(_SERIES.orderBy("tc")) - F.col("tc")).filter("weight IS NOT NULL")
+    w = finite_only(samples).withColumn("weight", F.lead("tc").over(_by_series().orderBy("tc")) - F.col("tc")).filter("weight IS NOT NULL")
     if laps is not None:
         w = assign_laps(w, laps)
     edges = w.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -117,7 +120,7 @@ def downsample_minmax(samples: DataFrame, scale: float, lo: float = 0.0, hold: b
     x = samples.filter(F.col("tc") >= lo).withColumn("bucket", F.rint((F.col("tc") - F.lit(lo)) * scale).cast("long"))
     b = x.groupBy("session_id", "channel", "bucket").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.min_by("value", "tc").alias("first_value"), F.max_by("value", "tc").alias("last_value"))
     if hold:
-        before = F.lag("last_value").over(_SERIES.orderBy("bucket"))
+        before = F.lag("last_value").over(_by_series().orderBy("bucket"))
         b = b.withColumn("_b", before).withColumn("min_value", F.least("min_value", "_b")).withColumn("max_value", F.greatest("max_value", "_b")).drop("_b")
     return b
 
@@ -148,7 +151,7 @@ def values_at_cursor(samples: DataFrame, laps: DataFrame, channels: dict[str, bo
     a = interp_join(at.filter(F.col("channel").isin(*lines)), own)
     b = hold_join(at.filter(~F.col("channel").isin(*lines)), own)
     both = a.unionByName(b)
-    first = F.first("value").over(_SERIES.orderBy("lap_num").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("value").over(_by_series().orderBy("lap_num").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("delta", F.col("value") - first).select("session_id", "lap_num", "channel", "value", "delta")
 
 

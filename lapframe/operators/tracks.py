@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.geo import bearing, cell, lla_to_ecef, mercator
 
-_BY_TC = Window.partitionBy("session_id").orderBy("tc")
+
+def _by_tc() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("tc")
 
 
 def path_bounds(fixes: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
@@ -49,9 +52,9 @@ def line_crossings(fixes: DataFrame, lines: DataFrame, radius: float = 30.0, min
     at = fixes.select("session_id", "tc", *[c.alias(n) for n, c in zip("xyz", lla_to_ecef(F.col("lat"), F.col("lon"), zero), strict=True)])
     p = at.join(F.broadcast(ends) if lines.sparkSession.conf.get("lapframe.broadcastLines", "false") == "true" else ends, "session_id")
     p = p.select("session_id", "tc", *[(F.col(a) - F.col(f"s{a}")).alias(f"o{a}") for a in "xyz"], *[(F.col(f"u{a}") - F.col(f"s{a}")).alias(f"s{a}") for a in "xyz"])
-    p = p.withColumn("tc1", F.lead("tc").over(_BY_TC))
+    p = p.withColumn("tc1", F.lead("tc").over(_by_tc()))
     for a in "xyz":
-        p = p.withColumn(f"d{a}", F.lead(f"o{a}").over(_BY_TC) - F.col(f"o{a}"))
+        p = p.withColumn(f"d{a}", F.lead(f"o{a}").over(_by_tc()) - F.col(f"o{a}"))
     p = p.filter("tc1 IS NOT NULL")
     o, d, s = (tuple(F.col(f"{n}{a}") for a in "xyz") for n in "ods")
     fast = _dot(d, d) > F.pow((F.col("tc1") - F.col("tc")) * (min_speed / 1000), F.lit(2))
@@ -61,7 +64,7 @@ def line_crossings(fixes: DataFrame, lines: DataFrame, radius: float = 30.0, min
 
     def picked(df: DataFrame, n: tuple) -> DataFrame:
         t = F.greatest(F.coalesce(F.try_divide(-_dot(n, o), _dot(n, d)), F.lit(math.inf)), F.lit(0.0))
-        df = df.withColumn("t", t).withColumn("t0", F.lag("t").over(_BY_TC))
+        df = df.withColumn("t", t).withColumn("t0", F.lag("t").over(_by_tc()))
         off = [o[i] + F.col("t") * d[i] for i in range(3)]
         near = sum((x * x for x in off[1:]), off[0] * off[0]) < radius**2
         return df.withColumn("pick", F.coalesce((F.col("t") <= 1) & (F.col("t0") > 1) & near, F.lit(False)))
