@@ -8,7 +8,7 @@ union's sketch that both have) drops most pairs; the rest are confirmed on full
 
 Lists longer than HOT_LIST are never paired out. A class draws its candidates from retained
 values that aren't hot: with at least MOSTLY_COLD of one of two linked sets such values, the two
-share none of them with a chance below 1e-8. Classes with more hot values than that also
+share none of them with a chance below 1e-7. Classes with more hot values than that also
 join hot lists. There each member is compared with the list's first and last member; what is
 linked so is one component, and only members of different components are compared further:
 full sets meet by exact prefixes (of two linked sets, the rarest quarter of each holds a
