@@ -50,7 +50,7 @@ def line_crossings(fixes: DataFrame, lines: DataFrame, radius: float = 30.0, min
     zero = F.lit(0.0)
     ends = lines.select("session_id", *[c.alias(n) for n, c in zip(("sx", "sy", "sz"), lla_to_ecef(F.col("lat"), F.col("lon"), zero), strict=True)], *[c.alias(n) for n, c in zip(("ux", "uy", "uz"), lla_to_ecef(F.col("lat"), F.col("lon"), F.lit(1000.0)), strict=True)])
     at = fixes.select("session_id", "tc", *[c.alias(n) for n, c in zip("xyz", lla_to_ecef(F.col("lat"), F.col("lon"), zero), strict=True)])
-    p = at.join(F.broadcast(ends) if lines.sparkSession.conf.get("lapframe.broadcastLines", "false") == "true" else ends, "session_id")
+    p = at.join(ends, "session_id")
     p = p.select("session_id", "tc", *[(F.col(a) - F.col(f"s{a}")).alias(f"o{a}") for a in "xyz"], *[(F.col(f"u{a}") - F.col(f"s{a}")).alias(f"s{a}") for a in "xyz"])
     p = p.withColumn("tc1", F.lead("tc").over(_by_tc()))
     for a in "xyz":

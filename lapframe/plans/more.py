@@ -293,6 +293,10 @@ def w12(spark, sf):
 # Sources and catalog -----------------------------------------------------------------------------
 
 
+#: Lines as they are, in files whose names end in .log.
+LOG = {"extension": "log", "sep": "\u0001", "quote": "", "escapeQuotes": "false", "compression": "none"}
+
+
 def _wide_logs(spark, sf):
     """One comma-separated log for each session, written from the samples by Spark."""
     names = ["click", "view", "purchase", "signup", "error"]
@@ -301,7 +305,7 @@ def _wide_logs(spark, sf):
     rows = wide.select("session_id", F.col("tc").alias("o"), F.concat_ws(",", F.format_string("%.6f", "tc"), *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]).alias("value"))
     head = s.select("session_id").distinct().select("session_id", F.lit(-1.0).alias("o"), F.lit(",".join(['"Interval"|"ms"', *[f'"{n}"|"u"' for n in names]])).alias("value"))
     path = scratch(spark, "wide")
-    rows.unionByName(head).repartition("session_id").sortWithinPartitions("session_id", "o").select("session_id", "value").write.partitionBy("session_id").text(path)
+    rows.unionByName(head).repartition("session_id").sortWithinPartitions("session_id", "o").select("session_id", "value").write.partitionBy("session_id").options(**LOG).csv(path)
     return path
 
 
@@ -311,7 +315,7 @@ def _session(df):
 
 @query("s1_read_wide_log", "SELECT session_id, channel, 'u' AS units, round(tc - min(tc) OVER (PARTITION BY session_id), 6) + 0.0 AS tc, round(value, 6) AS value FROM fx_samples WHERE channel IN ('click', 'view', 'purchase', 'signup', 'error')")
 def s1(spark, sf):
-    return out(_session(text_logs.read_wide_log(spark, _wide_logs(spark, sf))))
+    return out(_session(text_logs.read_wide_log(spark, _wide_logs(spark, sf), "*.log")))
 
 
 @query("s2_read_sectioned_log", "WITH r AS (SELECT session_id, i, tc / 1000 AS s, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tc) AS i FROM fx_fixes)) SELECT session_id, channel, CASE channel WHEN 'oil' THEN 'bar' ELSE 'deg' END AS units, round(s * 1000, 3) AS tc, round(CASE channel WHEN 'latitude' THEN round(lat * 60, 6) / 60 WHEN 'longitude' THEN round(-lon * 60, 6) / -60 ELSE s END, 5) + 0.0 AS value FROM r, (VALUES ('latitude'), ('longitude'), ('oil')) c(channel)")
@@ -403,10 +407,7 @@ def u4(spark, sf):
 
 @query("s3_scan_catalog", "SELECT 'wide text' AS format, count(DISTINCT user_id) AS n FROM events")
 def s3(spark, sf):
-    path = _wide_logs(spark, sf)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path", "length", "modificationTime")
-    named = files.withColumn("path", F.regexp_replace("path", r"\.txt$", ".LOG"))
-    return named.withColumn("format", catalog.detect_format(F.col("path"))).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.scan_catalog(spark, _wide_logs(spark, sf)).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s5_detect_format", "SELECT CASE user_id % 4 WHEN 0 THEN 'wide text' WHEN 1 THEN 'sectioned text' WHEN 2 THEN 'xrk' END AS format, count(*) AS n FROM events GROUP BY 1")
@@ -522,12 +523,9 @@ def t3(spark, sf):
 
 @query("t1_stream_catalog", "SELECT 'wide text' AS format, true AS readable, count(DISTINCT user_id) AS n FROM events")
 def t1(spark, sf):
+    # A log for each session, written by Spark; the stream records each once.
     users = fx.table(spark, sf, "events").select("user_id").distinct()
     root, path = scratch(spark, "logs"), scratch(spark, "catalog")
-    # Files named as logs: a folder for each session, written by Spark; its part files stand for the log.
-    users.select(F.col("user_id").alias("session_id"), F.lit("1,2").alias("value")).repartition("session_id").write.partitionBy("session_id").option("compression", "none").text(root)
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-    rows = files.select(F.regexp_replace("path", r"\.txt$", ".log").alias("path"), "length").withColumn("format", catalog.detect_format(F.col("path"))).select("path", "format", (F.col("length") > 0).alias("readable"))
-    run = rows.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).option("checkpointLocation", scratch(spark, "catalog-state")).trigger(availableNow=True).start()
-    run.awaitTermination()
+    users.select(F.col("user_id").alias("session_id"), F.lit("1,2").alias("value")).repartition("session_id").write.partitionBy("session_id").options(**LOG).csv(root)
+    jobs.stream_catalog(spark, root, path, scratch(spark, "catalog-state")).awaitTermination()
     return spark.read.parquet(path).groupBy("format", "readable").agg(F.count(F.lit(1)).alias("n"))
