@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.geo import bearing, cell, lla_to_ecef, mercator
+from .distance import build_dist_map
 
 
 def _by_tc() -> WindowSpec:
@@ -207,3 +208,29 @@ def segment_track(turns: DataFrame, limit: float = 150.0, min_straight: float =
 
     kind_of = dict(turns.dtypes)["track_id"]
     return runs.groupBy("track_id").applyInPandas(merge, f"track_id {kind_of}, seg long, name string, kind string, start_seq long, end_seq long")
+
+
+def reinsert_laps(fixes: DataFrame, speed: DataFrame, lines: DataFrame, length: DataFrame, grid_ms: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """Laps cut again at a stored track's start line (``lines``), and the distance map scaled to its ``length``.
+
+    Sessions that never cross the line keep one lap from 0 to their end.
+    """
+    laps = laps_from_gps(fixes, lines)
+    return laps, build_dist_map(speed, laps, grid_ms, length)
+
+
+def build_track(path: DataFrame, spacing_m: float = 1.0, point_m: float = 10.0, limit: float = 150.0) -> tuple[DataFrame, DataFrame]:
+    """A track's points and segments from its best lap's path (track_id, seq, lat, lon, speed), evenly spaced by distance.
+
+    Points stand every ``point_m`` metres; segments carry their start's distance (O3 orders by it).
+    """
+    every = max(1, round(point_m / spacing_m))
+    points = path.filter(F.pmod(F.col("seq"), F.lit(every)) == 0).select("track_id", (F.col("seq") / every).cast("long").alias("seq"), "lat", "lon", (F.col("seq") * F.lit(float(spacing_m))).alias("dist"))
+    parts = segment_track(turn_rate(path, spacing_m), limit, spacing_m=spacing_m)
+    return points, parts.withColumn("dist", F.col("start_seq") * F.lit(float(spacing_m)))
+
+
+def markers_by_distance(markers: DataFrame) -> DataFrame:
+    """O3: markers of each track with their place in order of distance; a missing distance is 0."""
+    w = Window.partitionBy("track_id").orderBy(F.coalesce("dist", F.lit(0.0)), "name")
+    return markers.withColumn("place", F.row_number().over(w))

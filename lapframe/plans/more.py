@@ -206,6 +206,27 @@ def w6b(spark, sf):
     return out(x.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("start_tc").alias("last_start")), 1)
 
 
+@query("w13_reinsert_laps", f"SELECT session_id, lap_num, round(start_tc, 1) + 0.0 AS start_tc, round(end_tc, 1) AS end_tc FROM (SELECT session_id, row_number() OVER w - 1 AS lap_num, tc AS start_tc, lead(tc) OVER w AS end_tc FROM (SELECT session_id, tc FROM ({_CROSS}) UNION ALL SELECT DISTINCT session_id, 0.0 FROM fx_fixes UNION ALL SELECT session_id, max(tc) FROM fx_fixes GROUP BY session_id) WINDOW w AS (PARTITION BY session_id ORDER BY tc)) WHERE end_tc IS NOT NULL")
+def w13(spark, sf):
+    line = _line(spark, sf)
+    cut, _ = tracks.reinsert_laps(fx.fixes(spark, sf), fx.speed(spark, sf), line, line.select("session_id", F.lit(1000.0).alias("length")))
+    return out(cut, 1)
+
+
+@query("w10_build_track")
+def w10(spark, sf):
+    p = fx.fixes(spark, sf).select(F.col("session_id").alias("track_id"), (F.col("tc") / 1000).cast("long").alias("seq"), "lat", "lon", F.lit(30.0).alias("speed"))
+    points, parts = tracks.build_track(p, 4.0, 40.0, 20.0)
+    return out(points.groupBy("track_id").agg(F.count(F.lit(1)).alias("points")).join(parts.groupBy("track_id").agg(F.count(F.lit(1)).alias("parts"), F.max("dist").alias("last_dist")), "track_id"), 3)
+
+
+@query("o3_markers_by_distance", "SELECT track_id, name, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(dist, 0), name) AS place FROM (SELECT session_id % 7 AS track_id, channel || '_' || session_id AS name, CASE WHEN channel <> 'error' THEN min(value) END AS dist FROM fx_samples GROUP BY session_id, channel)")
+def o3(spark, sf):
+    m = fx.samples(spark, sf).groupBy("session_id", "channel").agg(F.min("value").alias("v"))
+    m = m.select((F.col("session_id") % 7).alias("track_id"), F.concat("channel", F.lit("_"), F.col("session_id").cast("string")).alias("name"), F.when(F.col("channel") != "error", F.col("v")).alias("dist"))
+    return out(tracks.markers_by_distance(m).drop("dist"))
+
+
 def _track(spark, sf):
     """The ellipse as a stored track of 180 segments, one for each fleet of seven sessions' laps."""
     t = fx.table(spark, sf, "events").select((F.col("user_id") % 7).alias("track_id")).distinct().withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(180))))
