@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .align import asof
+from .align import asof, interp_join
 
 
 def _by_session() -> WindowSpec:
@@ -137,3 +137,15 @@ def time_slip(laps: DataFrame, reference: DataFrame, dist_map: DataFrame, step_m
     t = dist_to_time(x, dist_map, grid_ms, "tc").withColumn("lap_time", F.col("tc") - F.col("t0"))
     both = t.groupBy("session_id", "lap_num", "ref_num", "rel").agg(F.max(F.when(F.col("side") == "own", F.col("lap_time"))).alias("own"), F.max(F.when(F.col("side") == "ref", F.col("lap_time"))).alias("ref"))
     return both.select("session_id", "lap_num", "rel", F.when(F.col("lap_num") != F.col("ref_num"), (F.col("own") - F.col("ref")) / 1000).alias("slip_s"))
+
+
+def resample_by_distance(samples: DataFrame, laps: DataFrame, dist_map: DataFrame, step_m: float, grid_ms: float = 10.0) -> DataFrame:
+    """Every channel at even distances from each lap's start (laps with start_dist, end_dist).
+
+    Point i stands i * ``step_m`` metres into the lap; values are interpolated at its time.
+    """
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_dist") - F.col("start_dist")) / step_m).cast("long")))
+    at = laps.withColumn("i", i).withColumn("dist", F.col("start_dist") + F.col("i") * F.lit(float(step_m)))
+    at = dist_to_time(at.select("session_id", "lap_num", "i", "dist"), dist_map, grid_ms)
+    channels = samples.select("session_id", "channel").distinct()
+    return interp_join(at.join(channels, "session_id"), samples).select("session_id", "lap_num", "channel", "i", "value")

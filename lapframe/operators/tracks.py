@@ -230,6 +230,19 @@ def build_track(path: DataFrame, spacing_m: float = 1.0, point_m: float = 10.0,
     return points, parts.withColumn("dist", F.col("start_seq") * F.lit(float(spacing_m)))
 
 
+def close_loop(path: DataFrame, within: float = 20.0) -> DataFrame:
+    """Paths (track_id, seq, lat, lon) whose ends lie within ``within`` metres, closed: the gap is spread evenly along."""
+    w = Window.partitionBy("track_id")
+    first, last = w.orderBy("seq"), w.orderBy(F.desc("seq"))
+    x = path.withColumn("_n", F.count(F.lit(1)).over(w) - 1).withColumn("_i", F.row_number().over(first) - 1)
+    gaps = {c: F.first(c).over(last) - F.first(c).over(first) for c in ("lat", "lon")}
+    x = x.withColumn("_lat", gaps["lat"]).withColumn("_lon", gaps["lon"])
+    m = math.pi / 180 * 6371008.8
+    near = F.sqrt(F.pow(F.col("_lat") * m, F.lit(2)) + F.pow(F.col("_lon") * m * F.cos(F.radians("lat")), F.lit(2))) < within
+    part = F.coalesce(F.try_divide("_i", "_n"), F.lit(0.0))
+    return x.select("track_id", "seq", *[F.when(near, F.col(c) - F.col(f"_{c}") * part).otherwise(F.col(c)).alias(c) for c in ("lat", "lon")])
+
+
 def markers_by_distance(markers: DataFrame) -> DataFrame:
     """O3: markers of each track with their place in order of distance; a missing distance is 0."""
     w = Window.partitionBy("track_id").orderBy(F.coalesce("dist", F.lit(0.0)), "name")

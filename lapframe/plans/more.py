@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import align, derive, laps, normalize, reports, tracks
+from ..operators import align, derive, distance, laps, normalize, reports, tracks
 from ..sources import catalog, storage, text_logs
 from ..streaming import jobs
 from . import fixtures as fx
@@ -261,14 +261,19 @@ def w9(spark, sf):
     return tracks.segment_track(s.select(F.col("session_id").alias("track_id"), "seq", wave.alias("rate")))
 
 
-@query("w7_resample_by_distance")
-def w7(spark, sf):
-    from ..operators.distance import dist_to_time
+_EVEN = """WITH cur AS (SELECT l.session_id, l.lap_num, i, start_dist + i * 20000.0 AS dist FROM fx_dlaps l, LATERAL (SELECT unnest(range(0, CAST(floor((end_dist - start_dist) / 20000) AS BIGINT) + 1)) AS i)),
+inv AS (SELECT p.*, a.k AS k0, a.dist AS d0, b.k AS k1, b.dist AS d1 FROM cur p ASOF LEFT JOIN fx_dist a ON p.session_id = a.session_id AND p.dist >= a.dist ASOF LEFT JOIN fx_dist b ON p.session_id = b.session_id AND p.dist < b.dist),
+t AS (SELECT session_id, lap_num, i, CASE WHEN k0 IS NULL THEN 0.0 WHEN k1 IS NULL THEN k0 * 1000.0 ELSE (k0 + (dist - d0) / (d1 - d0)) * 1000 END AS tc FROM inv),
+v AS (SELECT * FROM fx_samples WHERE channel = 'view'),
+p0 AS (SELECT t.*, s.tc AS t0, s.value AS v0 FROM t ASOF LEFT JOIN v s ON t.session_id = s.session_id AND t.tc >= s.tc),
+p1 AS (SELECT p0.*, s.tc AS t1, s.value AS v1 FROM p0 ASOF LEFT JOIN v s ON p0.session_id = s.session_id AND p0.tc <= s.tc)
+SELECT session_id, lap_num, 'view' AS channel, i, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (tc - t0) / (t1 - t0) END, 3) AS value FROM p1"""
 
-    lp = fx.dist_laps(spark, sf)
-    at = lp.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_dist") - F.col("start_dist")) / 5000).cast("long")))).withColumn("dist", F.col("start_dist") + F.col("i") * 5000.0)
-    t = dist_to_time(at.select("session_id", "lap_num", "i", "dist"), fx.dist_map(spark, sf), fx.GRID_MS)
-    return out(align.interp_join(t.withColumn("channel", F.lit("view")), fx.samples(spark, sf)).select("session_id", "lap_num", "i", "value"), 4)
+
+@query("w7_resample_by_distance", _EVEN)
+def w7(spark, sf):
+    view = fx.samples(spark, sf).filter("channel = 'view'")
+    return out(distance.resample_by_distance(view, fx.dist_laps(spark, sf), fx.dist_map(spark, sf), 20000.0, fx.GRID_MS), 3)
 
 
 # Sectors, pairs, cursors -------------------------------------------------------------------------

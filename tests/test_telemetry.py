@@ -130,6 +130,24 @@ def test_nearest_on_track_and_far_points(spark):
     assert a.idx == pytest.approx(1.5, abs=1e-6) and a.off == pytest.approx(11.12, abs=0.01) and b.idx is None
 
 
+def test_turn_rate_of_a_circle_and_closed_loop(spark):
+    n, r = 400, 100.0  # clockwise, a metre or so to a step
+    pts = [(1, i, 45 + r * math.cos(2 * math.pi * i / n) / 111_195, 9 + r * math.sin(2 * math.pi * i / n) / (111_195 * math.cos(math.radians(45))), 20.0) for i in range(n)]
+    p = spark.createDataFrame(pts, "track_id long, seq int, lat double, lon double, speed double")
+    mid = [x.rate for x in tracks.turn_rate(p, 2 * math.pi * r / n).orderBy("seq").collect()][50:300]
+    steps = max(1, round(10 / (2 * math.pi * r / n)))
+    assert all(x == pytest.approx(20 * steps * 360 / n, rel=0.02) for x in mid)
+    open_ = spark.createDataFrame([(1, i, 45.0 + i * 1e-5, 9.0) for i in range(5)] + [(2, i, 45.0 + i * 1e-2, 9.0) for i in range(3)], "track_id long, seq int, lat double, lon double")
+    got = tracks.close_loop(open_).collect()
+    assert {round(r.lat, 9) for r in got if r.track_id == 1} == {45.0} and len({r.lat for r in got if r.track_id == 2}) == 3
+
+
+def test_scatter_pairs_skip_rows(spark):
+    s = spark.createDataFrame([(1, "x", float(t), float(t)) for t in range(10)] + [(1, "y", 0.0, 0.0), (1, "y", 9.0, 18.0)], S)
+    lp = spark.createDataFrame([(1, 0, 0.0, 9.0)], "session_id long, lap_num int, start_tc double, end_tc double")
+    assert [(r.x, r.y) for r in reports.scatter_pairs(s, lp, "x", "y", 4).orderBy("tc").collect()] == [(float(t), 2.0 * t) for t in range(0, 10, 2)]
+
+
 def test_derived_channels_order_cycles_and_division(spark):
     s = spark.createDataFrame([(1, "a", 0.0, 1.0), (1, "a", 1.0, 2.0), (1, "b", 0.0, 0.0), (1, "b", 1.0, 4.0)], S)
     made = [derive.Derived("z", "y + 1", {"y": "y"}), derive.Derived("y", "a * 2", {"a": "a"}), derive.Derived("y", "a * 9", {"a": "a"}), derive.Derived("c1", "x", {"x": "c2"}), derive.Derived("c2", "x", {"x": "c1"}), derive.Derived("inf", "a / nullif(b, 0) + ln(b)", {"a": "a", "b": "b"}), derive.Derived("off", "a", {"a": "a"}, enabled=False)]
