@@ -8,7 +8,8 @@ words). Passages are dealt to shards of a bounded number of words; a shard's doc
 those with a window of one of its passages, dealt to groups of a bounded number of words,
 so a passage that a third of all documents share is searched by as many tasks as it needs.
 Each document is streamed through the shard's automaton; every occurrence is extended left
-and right by comparing words, and what reaches 50 words is removed.
+and right to the 50-word windows around it, which are compared with the passages' own by
+two 64-bit hashes, and the words of those that an earlier document has are removed.
 
 Edge cases: null and empty texts have no words; texts under 50 words keep all; a null
 ``doc_id`` takes no part and loses nothing; rows that repeat a ``doc_id`` with one text get one
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .store import stored
 from .windows import WINDOW, hashed, keyed, only, remove_repeats
-from .words import pieces
+from .words import phrase_hashes, pieces
 
 BLOCK, HEAD = 25, 8
+#: Of the second hash of a window.
+SEED = 0x2545F491
 #: Words of passages in one automaton, and of documents that one task streams through it.
 SHARD_WORDS, GROUP_WORDS = 1_000_000, 2_000_000
 
@@ -67,50 +70,46 @@ def passages(docs: DataFrame, same: DataFrame, owned: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Passages, and the automaton over the heads of their blocks."""
+    """The automaton over the heads of passages' blocks, and the passages' windows."""
 
     def __init__(self, owners: list[int], texts: list[str]):
         import ahocorasick
 
-        self.owners = owners
-        self.words, self.hashes, heads = [], [], {}
-        for p, (first, data, offsets) in ((p, x) for p, t in enumerate(texts) for x in pieces(pa.array([t]))):
-            h, starts, ends, _ = hashed(data, offsets)
-            self.hashes.append(h)
-            self.words.append((data, starts, ends))
-            numbers = (h >> np.uint64(33)).tolist()
-            for b in range(0, len(numbers) - BLOCK + 1, BLOCK):
-                heads.setdefault(tuple(numbers[b : b + HEAD]), []).append((p, b))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for head, where in heads.items():
-            self.automaton.add_word(head, where)
-        if heads:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.empty = True
+        for first, data, offsets in pieces(pa.array(texts, pa.string())):
+            h, _, _, words = hashed(data, offsets)
+            numbers = (h >> np.uint64(33)).tolist()
+            for k, (a, b) in enumerate(zip(words[:-1].tolist(), words[1:].tolist(), strict=True)):
+                for at in range(a, b - BLOCK + 1, BLOCK):
+                    self.automaton.add_word(tuple(numbers[at : at + HEAD]), 1)
+                    self.empty = False
+                own = h[a:b]
+                found.append((phrase_hashes(own, WINDOW), phrase_hashes(own, WINDOW, SEED), np.full(max(0, b - a - WINDOW + 1), owners[first + k], np.int64)))
+        if not self.empty:
             self.automaton.make_automaton()
-        self.empty = not heads
-
-    def spans(self, doc_id: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of at least WINDOW words that a passage of an earlier document has too."""
-        if self.empty or len(h) < WINDOW:
+        w, check, owner = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(w, kind="stable")
+        self.windows, self.checks, self.owners = w[order], check[order], owner[order]
+
+    def spans(self, doc_id: int, h: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of words (given by their hashes) in windows that a passage of an earlier document has."""
+        n = len(h) - WINDOW + 1
+        if self.empty or n <= 0:
+            return []
+        at = np.fromiter((end for end, _ in self.automaton.iter(tuple((h >> np.uint64(33)).tolist()))), np.int64) - HEAD + 1
+        if not len(at):
             return []
-        lines = {(p, end - HEAD + 1 - b) for end, where in self.automaton.iter(tuple((h >> np.uint64(33)).tolist())) for p, b in where if self.owners[p] < doc_id}
-        out = []
-        for p, shift in lines:
-            own = self.hashes[p]
-            lo, hi = max(0, -shift), min(len(own), len(h) - shift)
-            if hi - lo < WINDOW:
-                continue
-            same = np.concatenate([[False], own[lo:hi] == h[lo + shift : hi + shift], [False]])
-            edges = np.flatnonzero(same[1:] != same[:-1])
-            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if e - s >= WINDOW and self._equal(p, lo + s, data, starts, ends, lo + shift + s, e - s):
-                    out.append((lo + shift + s, lo + shift + e))
-        return out
-
-    def _equal(self, p: int, i: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, j: int, n: int) -> bool:
-        """Whether n words from i of passage p and from j of the document are equal, byte by byte."""
-        own, own_starts, own_ends = self.words[p]
-        a = own[own_starts[i] : own_ends[i + n - 1]].tobytes().split()
-        return a == data[starts[j] : ends[j + n - 1]].tobytes().split()
+        # A passage's window that holds the block whole begins at most WINDOW - BLOCK words before it.
+        near = np.zeros(len(h) + 1, np.int64)
+        np.add.at(near, np.maximum(at - (WINDOW - BLOCK), 0), 1)
+        np.add.at(near, at + 1, -1)
+        near = np.flatnonzero(np.cumsum(near)[:n] > 0)
+        w, check = phrase_hashes(h, WINDOW)[near], phrase_hashes(h, WINDOW, SEED)[near]
+        i = np.minimum(np.searchsorted(self.windows, w), len(self.windows) - 1)
+        held = near[(self.windows[i] == w) & (self.checks[i] == check) & (self.owners[i] < doc_id)]
+        return _runs(held) if len(held) else []
 
 
 def passage_spans(docs: DataFrame, same: DataFrame, windows: DataFrame, owned: DataFrame) -> DataFrame:
@@ -132,8 +131,7 @@ def passage_spans(docs: DataFrame, same: DataFrame, windows: DataFrame, owned: D
         ids, starts_, ends_ = [], [], []
         for doc_id, text in zip(own["doc_id"].tolist(), own["text"].tolist(), strict=True):
             for _, data, offsets in pieces(pa.array([text], pa.string())):
-                h, starts, ends, _ = hashed(data, offsets)
-                if spans := automaton.spans(doc_id, data, starts, ends, h):
+                if spans := automaton.spans(doc_id, hashed(data, offsets)[0]):
                     ids.append(doc_id)
                     starts_.append([s for s, _ in spans])
                     ends_.append([e for _, e in spans])
