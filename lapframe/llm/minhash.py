@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import stored
+from .store import stored, text_batches
 from .words import mix, phrase_hashes, pieces, split, word_hashes
 
 SHINGLE = 5
@@ -69,6 +69,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

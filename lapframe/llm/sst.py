@@ -31,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import new_folder, stored
+from .store import new_folder, stored, text_batches
 from .tokens import encoder
 
 MAGIC = b"LFSST001"
@@ -184,6 +184,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     Returns the manifest: one row for each shard with its path, first key and counts.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     folder = folder or new_folder(spark, "shards")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

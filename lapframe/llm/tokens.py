@@ -23,7 +23,7 @@ from .words import mix, pieces, word_hashes
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Slots of a worker's table of pieces, and the ids it holds before it starts anew.
-SLOTS, POOL_IDS = 1 << 21, 8_000_000
+SLOTS, POOL_IDS = 1 << 20, 4_000_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import text_batches
 from .words import mix, pieces, split, word_hashes
 
 BITS = 20
@@ -81,6 +82,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id and a 0/1 column)."""
+    text_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows rows of 12 bytes are broadcast.

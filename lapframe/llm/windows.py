@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import stored, text_batches
 from .words import _MUL_WORD, _power_tables, mix, phrase_hashes, pieces, split, word_hashes
 
 WINDOW = 50
@@ -30,6 +30,7 @@ EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null is empty) and a key of the two."""
+    text_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return own.withColumn("key", F.xxhash64("doc_id", "text"))
 
