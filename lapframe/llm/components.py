@@ -1,4 +1,4 @@
-"""Connected components by label passing with shortcuts, on DataFrames."""
+"""Connected components by randomised contraction, on DataFrames."""
 
 from __future__ import annotations
 
@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(v, label) for every vertex of ``edges`` (a, b): label is the smallest vertex reachable.
 
-    Each round every vertex takes the smallest label among its neighbours' and its own, then
-    the label of that label. Labels are written to the shared folder after each round, so a
-    round reads one table and rounds grow with the logarithm of a component's length.
+    Each round every vertex goes to the first of itself and its neighbours, and edges are drawn
+    between where their ends went, until none is left. The last vertex of a component never
+    stays, so the rounds end for every graph. The first round's order is that of the ids, which
+    ends stars around their smallest id at once. Later orders are hashes anew for each round: a
+    vertex is first among its neighbours with a chance of at most a half, so vertices are
+    expected to shrink by a fixed share a round, whatever the graph and its ids are.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "v"), "labels")
-    for _ in range(max_rounds):
-        seen = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        took = labels.join(seen.withColumnRenamed("a", "v"), "v", "left").select("v", "label", F.least("label", "near").alias("next"))
-        # The label of the label: labels are vertices.
-        jump = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
-        new = stored(took.join(jump, "next", "left").select("v", F.least("next", "far").alias("label"), F.col("label").alias("was")), "labels")
-        changed = new.filter(F.col("label") != F.col("was")).limit(1).count()
-        labels = new.select("v", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("labels still change")
+    left = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    went: list[DataFrame] = []
+    while not went or left.limit(1).count():
+        place = lambda v, k=len(went): F.struct((F.xxhash64(F.lit(k), v) if k else F.col(v)).alias("at"), F.col(v).alias("v"))
+        near = left.groupBy("a").agg(F.min(place("b")).alias("near"))
+        went.append(stored(near.select(F.col("a").alias("v"), F.least("near", place("a"))["v"].alias("to")), "went"))
+        for _ in range(2):  # one end, then the other
+            left = left.join(went[-1].withColumnRenamed("v", "a"), "a").select(F.col("b").alias("a"), F.col("to").alias("b"))
+        left = stored(left.filter("a <> b").distinct(), "edges")
+    # Backwards, where each vertex ended: one that no later round has stayed where it was.
+    ended = went.pop()
+    while went:
+        later = ended.select(F.col("v").alias("to"), F.col("to").alias("last"))
+        ended = stored(went.pop().join(later, "to", "left").select("v", F.coalesce("last", "to").alias("to")), "ended")
+    labels = ended.groupBy("to").agg(F.min("v").alias("label"))
+    return stored(ended.join(labels, "to").select("v", "label"), "labels")

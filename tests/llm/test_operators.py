@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lapframe.llm import decontaminate, exact_dedup, html_text, minhash, packing, phrase_dedup, quality, sst, suffix_dedup, tokens, toxicity
+from lapframe.llm import components, decontaminate, exact_dedup, html_text, minhash, packing, phrase_dedup, quality, sst, suffix_dedup, tokens, toxicity
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -95,6 +95,20 @@ def test_near_duplicates(docs, monkeypatch, hot):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
 
 
+@pytest.mark.parametrize("order", ["adverse", "random"])
+def test_near_duplicates_of_a_long_chain(spark, order):
+    rng = random.Random(11)
+    story = [f"s{rng.randrange(10**9)}" for _ in range(24 * 299 + 204)]
+    ids = list(range(2, 301)) + [1] if order == "adverse" else rng.sample(range(1, 301), 300)
+    rows = [(d, " ".join(story[24 * i : 24 * i + 204])) for i, d in enumerate(ids)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 300 and {r.component_id for r in got} == {1} and [r.doc_id for r in got if r.kept] == [1]
+    edges = list(zip(ids, ids[1:], strict=False)) + [(1000, 1001), (1003, 1002), (1003, 1000), (2000, 2001)]
+    labels = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.v: r.label for r in labels} == dict.fromkeys(ids, 1) | dict.fromkeys(range(1000, 1004), 1000) | {2000: 2000, 2001: 2000}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def removal_expected(rows):
     first = {}
     for d, t, *_ in rows:
