@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -10,14 +10,21 @@ from lapframe.llm import decontaminate, exact_dedup, minhash, packing, toxicity
 from lapframe.llm.queries import table
 from lapframe.llm.store import stored
 
-#: Ids (8 bytes) of rejected documents that are broadcast; more are joined by shuffle.
+#: Ids and keys (16 bytes) of rejected documents that are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``rejected`` (doc_id)."""
-    ids = stored(rejected.select("doc_id").distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _of_text(text: Column) -> Column:
+    """A hash of a text; null is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _match(docs: DataFrame, rows: DataFrame, key: Column, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id, null included, and ``key`` together are (not) in ``rows`` (doc_id, key)."""
+    ids = stored(rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "rows")
+    small = ids.count() <= BROADCAST_IDS
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    return docs.join(F.broadcast(ids) if small else ids, same, how).select(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +34,31 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts; of rows that repeat a doc_id, one."""
-    found = stored(exact_dedup.exact_dedup(docs), "exact")
-    kept = _without(docs, found.filter(~F.col("kept")))
-    repeated = found.groupBy("doc_id").count().filter(F.col("count") > 1).limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One document of each set of equal texts; rows that share a doc_id only are documents of their own."""
+    norm = exact_dedup.normalised(F.col("text"))
+    # With its doc_id the text's SHA-256 tells rows of equal text apart from all others.
+    found = stored(exact_dedup.exact_dedup(docs).withColumnRenamed("text_sha256", "key"), "exact")
+    kept = _match(docs, found.filter(~F.col("kept")), F.sha2(norm, 256), "left_anti")
+    repeated = stored(found.filter("kept").groupBy("doc_id", "key").count().filter(F.col("count") > 1), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    # Rows with one doc_id and equal texts: the longest stays.
+    several = _match(kept, repeated, F.sha2(norm, 256), "left_semi").withColumn("_norm", F.sha2(norm, 256))
+    longest = F.max_by(F.struct(*docs.columns), F.struct(F.char_length("text"), "text"))
+    one = several.groupBy("doc_id", "_norm").agg(longest.alias("_row")).select("_row.*")
+    return _match(kept, repeated, F.sha2(norm, 256), "left_anti").unionByName(one)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies."""
-    return _without(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))  # as in windows.keyed
+    return _match(docs, minhash.near_rows(docs, null_ids=True).filter(~F.col("kept")), key, "left_anti")
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't repeat benchmark items."""
-    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    judged = decontaminate.judged_rows(docs, table(spark, sf_dir, "benchmark"))
+    return _match(docs, judged.filter("contaminated"), _of_text(F.col("text")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

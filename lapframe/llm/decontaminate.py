@@ -63,7 +63,12 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs`` (doc_id, text).
+    """n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs`` (doc_id, text)."""
+    return judged_rows(docs, items, window, one_in).drop("key")
+
+
+def judged_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
+    """What ``decontaminate`` says of each row, with the key (hash) of its text.
 
     contaminated: some word is hit, and at least one word in ``one_in``.
     """
@@ -119,6 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
     n_hit = F.coalesce(F.col("hit"), F.lit(0)).cast("long")
     return out.select(
         "doc_id",
+        "key",
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.when(F.col("names").isNull(), 0).otherwise(F.size("names")).cast("long").alias("n_items"),

@@ -19,9 +19,10 @@ link between different components is left out. Work in blocks grows with the squ
 open members, rows do not: a block returns fewer links than it has components.
 
 Edge cases: a text without words, or null, has an empty set and links with nothing; with
-fewer than five words the whole sequence is the one shingle; rows that repeat a ``doc_id`` get
-one component; a null ``doc_id`` takes no part and has a null component; an empty table gives no
-rows; other columns are ignored.
+fewer than five words the whole sequence is the one shingle; rows that repeat a ``doc_id`` with
+other texts are documents of their own (a row is known by a key of both), equal rows get one
+answer; a null ``doc_id`` takes no part and has a null component; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import stored, text_batches
+from .store import stored
+from .windows import keyed, only
 from .words import mix, phrase_hashes, pieces, split, word_hashes
 
 SHINGLE = 5
@@ -47,8 +49,6 @@ MOSTLY_COLD = 0.6
 BLOCK_SETS, BLOCK_COLUMNS = 512, 4096
 #: Least estimate that is confirmed: 5.5 standard deviations below 0.75.
 LEAST_ESTIMATE = 0.45
-#: Ids (8 bytes) of documents to confirm that are broadcast to prune the second read.
-BROADCAST_IDS = 1_000_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -68,13 +68,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, set size n, set fingerprint (f1, f2) and bottom-k sketch."""
+    """doc_id, row key, set size n, set fingerprint (f1, f2) and bottom-k sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,22 +77,22 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = list(_sets(data, offsets))
                 f1 = np.array([int(mix(s.view(np.uint64)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
                 f2 = np.array([int(np.bitwise_xor.reduce(mix(s.view(np.uint64) + np.uint64(77)), initial=0)) for s in sets], np.uint64).view(np.int64)
-                cols = [b.column("doc_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), _lists([s[:SKETCH] for s in sets])]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "f1", "f2", "sketch"])
+                cols = [b.column("doc_id").slice(first, len(sets)), b.column("key").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), _lists([s[:SKETCH] for s in sets])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "f1", "f2", "sketch"])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, n long, f1 long, f2 long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its whole set."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """Row key, as id, and whole set of each of ``texts`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, offsets in pieces(b.column("text")):
                 sets = list(_sets(data, offsets))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(sets)), _lists(sets)], names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(first, len(sets)), _lists(sets)], names=["id", "hashes"])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, hashes array<long>")
+    return texts.select("key", "text").mapInArrow(run, "id long, hashes array<long>")
 
 
 def _enough(a: Column, b: Column) -> Column:
@@ -120,19 +115,18 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The sets of the documents in ``ids`` (doc_id)."""
-    ids = stored(ids.distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    return stored(full_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    """The sets of the rows whose keys are in ``ids`` (id)."""
+    keys = stored(ids.select(F.col("id").alias("key")).distinct(), "ids")
+    return stored(full_sets(only(keyed(docs), keys)).dropDuplicates(["id"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= 75 * union."""
     if not pairs.limit(1).count():
         return pairs.select("a", "b")
-    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs)
-    held = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("sb")), "b")
-    held = held.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("sa")), "a")
+    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
+    held = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("sb")), "b")
+    held = held.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("sa")), "a")
     held = held.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), _shared(F.col("sa"), F.col("sb")).alias("both"))
     return held.filter(100 * F.col("both") >= 75 * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -159,7 +153,7 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     n = [np.array([len(x) for x in s], np.float64) for s in sets]
     linked = 100 * common.astype(np.float64) >= 75 * (n[0][:, None] + n[1][None, :] - common)
     label = [side["label"].to_numpy() for side in sides]
-    ids = [side["doc_id"].to_numpy() for side in sides]
+    ids = [side["id"].to_numpy() for side in sides]
     root: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -177,34 +171,40 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _family_links(ids: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Links between different components (``labels``: v, label) of the classes in ``ids`` (doc_id)."""
+    """Links between different components (``labels``: v, label) of the classes in ``ids`` (id)."""
     sets = _sets_of(ids, docs)
-    values = sets.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    values = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
     counts = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "set_values")
     # A set's values that no other has are its rarest, and need no list.
-    own = Window.partitionBy("doc_id")
+    own = Window.partitionBy("id")
     shared = values.join(counts, "value").withColumn("rank", F.row_number().over(own.orderBy("df", "value"))).withColumn("m", F.count(F.lit(1)).over(own))
-    prefix = shared.filter(F.col("rank") + F.col("n") - F.col("m") <= F.floor(F.col("n") / 4) + 1).select("value", "doc_id")
-    of = labels.select(F.col("v").alias("doc_id"), "label")
-    prefix = stored(prefix.join(of, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "prefixes")
-    lists = prefix.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("first")).filter("lo < hi")
-    met = stored(prefix.join(lists, "value").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "met")
+    prefix = shared.filter(F.col("rank") + F.col("n") - F.col("m") <= F.floor(F.col("n") / 4) + 1).select("value", "id")
+    of = labels.select(F.col("v").alias("id"), "label")
+    prefix = stored(prefix.join(of, "id", "left").withColumn("label", F.coalesce("label", "id")), "prefixes")
+    lists = prefix.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).filter("lo < hi")
+    met = stored(prefix.join(lists, "value").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "met")
     if not met.limit(1).count():
         return None
-    family = connected_components(met).select(F.col("v").alias("doc_id"), F.col("label").alias("family"))
+    family = connected_components(met).select(F.col("v").alias("id"), F.col("label").alias("family"))
     blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    member = family.join(blocks, "family").join(of, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    member = member.join(sets, "doc_id").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    member = family.join(blocks, "family").join(of, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    member = member.join(sets, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("family", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "doc_id", "label", "hashes")
+    member = member.select("family", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "label", "hashes")
     return member.groupBy("family", "bi", "bj").applyInPandas(_block_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
+    """doc_id, row key, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+
+    Of each component the row with the smallest doc_id (then key) is kept. Rows with a null
+    doc_id take part if ``null_ids``, and come last; else they are kept.
+    """
     rows = stored(sketches(docs), "sketches")
-    real = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    real = (F.col("n") > 0) if null_ids else (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = rows.filter(real).groupBy("n", "f1", "f2").agg(lead.alias("lead"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("id", F.col("lead.key")), "classes")
 
     values = classes.select("id", F.posexplode("sketch").alias("rank", "value"))
     hot = stored(values.groupBy("value").count().filter(F.col("count") > HOT_LIST).select("value", F.lit(True).alias("hot")), "hot_values")
@@ -252,17 +252,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = component(component(candidates.select("a", "b"), "a"), "b").filter("la <> lb").select("a", "b")
     more = _confirmed(stored(rest.distinct(), "rest"), docs)
     if hot_listed is not None:
-        ends = _family_links(hot_listed.select(F.col("id").alias("doc_id")), labels, docs)
+        ends = _family_links(hot_listed.select("id"), labels, docs)
         more = more if ends is None else more.unionByName(ends)
     more = stored(more, "more_links")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
 
-    own = rows.select("doc_id", "n", "f1", "f2")
-    known = own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # A class of one needs no lookup; others find their class by the fingerprint, then its component.
-    of_class = classes.join(labels.withColumnRenamed("v", "id"), "id", "left").select("n", "f1", "f2", F.coalesce("label", "id").alias("component_id"))
-    found = known.join(of_class, ["n", "f1", "f2"]).select("doc_id", "n", "component_id")
-    alone = own.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = found.unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    own = rows.select("doc_id", "key", "n", "f1", "f2")
+    # A class of one needs no lookup; others find their class by the fingerprint, then its component's first row.
+    linked = stored(labels.withColumnRenamed("v", "id").join(classes.select("id", "lead"), "id"), "linked")
+    heads = linked.groupBy("label").agg(F.min("lead").alias("head"))
+    of_class = classes.join(linked.join(heads, "label").select("id", "head"), "id", "left").select("n", "f1", "f2", F.coalesce("head", "lead").alias("head"))
+    found = own.filter(real).join(of_class, ["n", "f1", "f2"])
+    found = found.select("doc_id", "key", "n", F.col("head.doc_id").alias("component_id"), (F.col("key") == F.col("head.key")).alias("kept"))
+    alone = own.filter(~real).select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.unionByName(alone).withColumnRenamed("n", "n_shingles")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    return near_rows(docs, null_ids=False).drop("key")

@@ -345,3 +345,24 @@ def test_pipeline_runs_its_stages(docs, spark, tmp_path):
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
     assert 5006 in ids and not ids & {5000, 5003, 5009}  # copies of one text: the longest stays
     assert not ids & {i for i in range(0, 600, 5) if i % 7 and i} or len(ids & set(range(0, 600, 5))) < 12
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    prose = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = prose(90), prose(80), prose(70), prose(60)
+    near = a.rsplit(" ", 2)[0] + " other end"
+    bad = "p0q0 p1q1 p2q2"
+    rows = [(7, a), (7, b), (None, c), (None, d), (None, d), (None, d + " "), (8, b + " "), (9, near), (None, bad), (10, bad + " " + prose(40)), (10, prose(50)), (11, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.reject_contaminated):
+        docs = stage(spark, docs, str(tmp_path))
+    got = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    assert got == sorted([(7, a), (0, c), (0, d + " "), (8, b + " "), (10, rows[10][1]), (11, "")])
+    # Links of either text of an id count, and none is false.
+    got = minhash.near_duplicates(spark.createDataFrame([(1, a), (2, b), (7, near), (7, b + " end"), (8, c), (7, d)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted([(1, 86, 1, True), (2, 76, 2, True), (7, 86, 1, False), (7, 77, 2, False), (8, 66, 8, True), (7, 56, 7, True)])
