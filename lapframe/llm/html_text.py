@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Menus, forms, scripts and other parts that name themselves (by tag,
-role, class or id) are cut. Every node gets its characters and tags, and those inside links;
+A page becomes a tree. Menus, forms, scripts and other parts that name themselves (by tag or
+role) are cut. So are containers with such a name as class or id: a whole token, or a compound
+of nothing but such names and words like "box"; not if they hold at least half of the text, for
+which the densities decide. Every node gets its characters and tags, and those inside links;
 its composite density is characters per tag, adjusted for links:
 
     d = C/T * log_b(C*T / (LC*LT)),   b = ln(C/nLC * LC + LCb/Cb * C + e)
@@ -9,8 +11,7 @@ its composite density is characters per tag, adjusted for links:
 with nLC = C - LC, and LCb, Cb of the body; counts of zero are taken as one. The score of a
 node is the sum of its children's densities. Of the nodes whose own density reaches the
 threshold, which is the least density on the path from the body to the node of the largest
-score, the one with the largest score is the main part. Its text is given block by block;
-blocks in it that consist mostly of links are left out.
+score, the one with the largest score is the main part. Its text is given block by block.
 
 Edge cases: null or empty html gives an empty text; broken markup is closed where the next
 block begins; a page without a body is taken whole; rows that repeat a ``page_id`` are all
@@ -39,6 +40,11 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 CUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsored sponsors promo promos promotion promoted nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs sidebar sidebars sidenav footer footers header masthead topbar comment comments commentlist respond disqus replies cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright legal disclaimer login search skip teaser teasers trending".split()
 )
+#: Containers that a name may cut, and words that make compounds with names.
+NAMED_TAGS = frozenset("div section ul ol dl table center figure details header".split())
+COMPANIONS = frozenset(
+    "site page main global top bottom left right primary secondary post posts article articles entry story stories news blog content wrapper wrap container box block area section inner outer list links link item items bar button buttons icon icons panel row col column unit slot text title heading mobile desktop sticky fixed".split()
+)
 KEEP_TAGS = frozenset("html body main article".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -53,14 +59,14 @@ _NAME = re.compile(r"[a-z0-9]+")
 class Node:
     """An element: its tag, children (nodes and strings), and counts once measured."""
 
-    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "score", "tag", "tags")
+    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "named", "score", "tag", "tags")
 
-    def __init__(self, tag: str, cut: bool = False):
-        self.tag, self.cut, self.children = tag, cut, []
+    def __init__(self, tag: str, cut: bool = False, named: bool = False):
+        self.tag, self.cut, self.named, self.children = tag, cut, named, []
 
 
 def _cut(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether a part names itself as other than main text."""
+    """Whether a part shows by tag, role or style that it is other than main text."""
     if tag in CUT_TAGS or (tag == "header" and not inside):
         return True
     if not attrs or tag in KEEP_TAGS:
@@ -71,18 +77,41 @@ def _cut(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "role" and value in CUT_ROLES:
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = _NAME.findall(word)
-                if parts[:1] in (["no"], ["has"], ["with"], ["without"]):
-                    continue
-                if "header" in parts and (inside or len(parts) > 1):
-                    parts = [p for p in parts if p != "header"]
-                if CUT_NAMES.intersection(parts):
-                    return True
     return False
 
 
+def _named(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether a container's class or id says that it is other than main text."""
+    if not attrs or tag not in NAMED_TAGS:
+        return False
+    for name, *values in _ATTR.findall(attrs):
+        # The ids of sections are often made from their headings.
+        if name.lower() != "class" and (name.lower() != "id" or tag == "section"):
+            continue
+        for word in "".join(values).lower().split():
+            parts = _NAME.findall(word)
+            if parts[:1] in (["no"], ["has"], ["with"], ["without"]):
+                continue
+            if "header" in parts and (inside or len(parts) > 1):
+                parts = [p for p in parts if p != "header"]
+            if CUT_NAMES.intersection(parts) and all(p in CUT_NAMES or p in COMPANIONS or p.isdigit() for p in parts):
+                return True
+    return False
+
+
+def _cut_named(root: Node) -> None:
+    """Cut the named containers that hold less than half of the text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node) and not c.cut)
+    for node in reversed(order):
+        node.chars = sum(len("".join(c.split())) if isinstance(c, str) else 0 if c.cut else c.chars for c in node.children)
+    for node in order:
+        node.cut = node.named and 2 * node.chars < root.chars
+
+
 def parse(html: str) -> Node:
     """A tree of the page; end tags without a start are dropped, missing ones are supplied."""
     root = Node("#root")
@@ -123,7 +152,7 @@ def parse(html: str) -> Node:
                     break
         attrs = m["attrs"] or ""
         inside = any(s.tag in ("article", "main") for s in stack)
-        node = Node(tag, _cut(tag, attrs, inside))
+        node = Node(tag, _cut(tag, attrs, inside), _named(tag, attrs, inside))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -132,6 +161,7 @@ def parse(html: str) -> Node:
             stack.append(node)
         elif tag not in VOID and tag in BLOCKS:
             stack.append(node)  # a slash closes void and unknown elements only
+    _cut_named(root)
     return root
 
 
@@ -223,8 +253,6 @@ def blocks(main: Node) -> list[str]:
         elif x.cut:
             continue
         elif x.tag in BLOCKS:
-            if x is not main and x.chars and x.tag in ("ul", "ol", "div", "section", "table", "p", "dl") and x.link_tags > 1 and x.link_chars > 0.6 * x.chars:
-                continue
             flush()
             todo.append(None)
             todo.extend(reversed(x.children))

@@ -263,6 +263,15 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_keeps_what_only_sounds_like_other_parts():
+    said = [f"Sentence {i} of the article goes on with enough plain words to count as text." for i in range(8)]
+    refs = "".join(f'<li><a href="/r{i}">Reference number {i} by its author</a></li>' for i in range(4))
+    page = '<html><body><div class="{}"><div class="sidebar">Other pages and offers.</div><article><h2 id="related-work">Related work</h2><p>{}</p><h2 id="search-algorithms">Search</h2><section id="legal"><p id="share">{}</p></section><ul>{}</ul><div class="share-buttons">Tell friends</div></article></div></body></html>'
+    want = ["Related work", " ".join(said[:4]), "Search", " ".join(said[4:])] + [f"Reference number {i} by its author" for i in range(4)]
+    for wrapper in ("plain", "elementor-widget elementor-widget-text", "page right-sidebar", "widget"):
+        assert html_text.main_text(page.format(wrapper, " ".join(said[:4]), " ".join(said[4:]), refs)) == "\n".join(want)
+
+
 def labelled(spark):
     rng = random.Random(3)
     rows, labels = [], []
