@@ -1,20 +1,23 @@
 """Repeated passages by automata over recurring phrases.
 
-Passages are confirmed first: 50-word windows that more than one document has, each with
-the earliest document that has it; a passage is an unbroken run of such windows in that
-document. Any 50 words of a passage hold one of its blocks of 25 words whole, so the heads
-of the blocks are the phrases of an Aho-Corasick automaton (over numbers that stand for
-words). Passages are dealt to shards of a bounded number of words; a shard's documents are
-those with a window of one of its passages, dealt to groups of a bounded number of words,
-so a passage that a third of all documents share is searched by as many tasks as it needs.
-Each document is streamed through the shard's automaton; every occurrence is extended left
-and right to the 50-word windows around it, which are compared with the passages' own by
-two 64-bit hashes, and the words of those that an earlier document has are removed.
+Passages are confirmed first: windows of WINDOW words that more than one document has, each
+with the earliest document that has it; a passage is an unbroken run of such windows in that
+document. Any window in a passage holds one of the passage's blocks of BLOCK words whole, so
+the blocks are the phrases of an Aho-Corasick automaton over the numbers of a shard's words.
+
+Passages are dealt to shards by bundles of at most BUNDLE_WORDS of one document, a shard
+having about SHARD_WORDS. Documents are streamed whole: each one through every shard of whose
+passages it has the beginning of a selected suffix (HEAD words at a place that content selects,
+see windows.py). A document without any has none of the passages. A shard's documents are dealt
+to groups of about GROUP_WORDS, so a passage that a third of all documents share is
+searched by as many tasks as it needs. Only what the automaton hits is looked at: every hit
+is extended left and right to the windows around it, which are compared with the passages' own
+by two 64-bit hashes, and the words of those that an earlier document has are removed.
 
 Edge cases: null and empty texts have no words; texts under 50 words keep all; a null
-``doc_id`` takes no part and loses nothing; rows that repeat a ``doc_id`` with one text get one
-answer, and never count as earlier than each other; an empty table gives no rows; other
-columns are ignored.
+``doc_id`` takes no part and loses nothing; rows that repeat a ``doc_id`` never count as earlier
+than each other, and other texts under one ``doc_id`` are cut on their own; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,20 +30,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
-from .windows import WINDOW, hashed, keyed, only, remove_repeats
+from .store import salted_join, stored
+from .windows import HEAD, WINDOW, _lists, classes, hashed, keyed, only, outline, selected_places, texts_with_recurring_heads, without_spans
 from .words import phrase_hashes, pieces
 
-BLOCK, HEAD = 25, 8
+BLOCK = 25
 #: Of the second hash of a window.
 SEED = 0x2545F491
-#: Words of passages in one automaton, and of documents that one task streams through it.
-SHARD_WORDS, GROUP_WORDS = 1_000_000, 2_000_000
+#: Words of one document's passages that stay together, of passages in one automaton, and of documents that one task streams through it.
+BUNDLE_WORDS, SHARD_WORDS, GROUP_WORDS = 20_000, 1_000_000, 2_000_000
 
 
-def recurring_anchors(same: DataFrame) -> DataFrame:
-    """Anchors that more than one class of documents has."""
-    return same.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter(F.col("count") > 1).select("anchor")
+def candidate_windows(texts: DataFrame) -> DataFrame:
+    """Windows (two hashes, doc_id, key, place) that select a place with a wanted head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            want, doc_ids, keys = b.column("wanted"), b.column("doc_id").to_numpy(), b.column("key").to_numpy()
+            for row, data, offsets in pieces(b.column("text")):
+                h, _, _, first = hashed(data, offsets)
+                at, place = selected_places(h, first)
+                heads = phrase_hashes(h, HEAD).view(np.int64)
+                w, check = phrase_hashes(h, WINDOW).view(np.int64), phrase_hashes(h, WINDOW, SEED).view(np.int64)
+                bounds, picked, owner = np.searchsorted(at, first), [], []
+                for i in range(len(offsets) - 1):
+                    own = slice(bounds[i], bounds[i + 1])
+                    pick = at[own][np.isin(heads[place[own]], np.asarray(want[row + i].values))]
+                    picked.append(pick)
+                    owner.append(np.full(len(pick), i))
+                pick, i = np.concatenate(picked), np.concatenate(owner)
+                cols = [pa.array(w[pick]), pa.array(check[pick]), pa.array(doc_ids[row + i]), pa.array(keys[row + i]), pa.array(pick - first[i], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["w", "check", "doc_id", "key", "place"])
+
+    return texts.select("doc_id", "key", "text", "wanted").mapInArrow(run, "w long, check long, doc_id long, key long, place int")
+
+
+def owners(windows: DataFrame) -> DataFrame:
+    """Of windows that more than one document has, where the earliest document has them first: doc_id, key, place."""
+    found = windows.groupBy("w", "check").agg(F.min(F.struct("doc_id", "key", "place")).alias("x"), F.max("doc_id").alias("last"))
+    return found.filter("x.doc_id < last").select("x.*")
 
 
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
@@ -50,55 +78,78 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, breaks + 1)].tolist(), (places[np.append(breaks, len(places) - 1)] + WINDOW).tolist(), strict=True))
 
 
-def passages(docs: DataFrame, same: DataFrame, owned: DataFrame) -> DataFrame:
-    """owner, n (words) and text of each passage; its words are joined by single blanks."""
-    places = stored(owned.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("owner_place").alias("places")).join(same.select("doc_id", "key"), "doc_id").select("key", "places"), "owner_places")
+def passages(docs: DataFrame, owned: DataFrame) -> DataFrame:
+    """Passages, their words joined by single blanks: owner, key, bundle, n (words), the heads in them, text.
+
+    A run longer than BUNDLE_WORDS is several passages that overlap by a window less a word.
+    """
+    places = stored(owned.groupBy("key").agg(F.collect_list("place").alias("places")), "owner_places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, counts = [], [], []
-            for doc_id, text, at in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("places"), strict=True):
-                words = text.encode().split()
+            out = []
+            for doc_id, key, text, at in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("places"), strict=True):
+                words, done = text.encode().split(), 0
                 for s, e in _runs(np.asarray(at.values)):
-                    ids.append(doc_id)
-                    counts.append(e - s)
-                    texts.append(b" ".join(words[s:e]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], names=["owner", "n", "text"])
+                    for a in range(s, e - WINDOW + 1, BUNDLE_WORDS):
+                        z = min(e, a + BUNDLE_WORDS + WINDOW - 1)
+                        out.append((doc_id, key, done // BUNDLE_WORDS, z - a, b" ".join(words[a:z]).decode()))
+                        done += z - a
+            texts, heads = pa.array([x[4] for x in out], pa.string()), []
+            for _, data, offsets in pieces(texts):
+                h, _, _, first = hashed(data, offsets)
+                at, place = selected_places(h, first)
+                hashes, bounds = phrase_hashes(h, HEAD).view(np.int64), np.searchsorted(at, first)
+                heads += [np.unique(hashes[np.unique(place[i:j])]) for i, j in zip(bounds, bounds[1:], strict=False)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*cols, _lists(heads), texts], names=["owner", "key", "bundle", "n", "heads", "text"])
 
-    texts = only(keyed(docs), places.select("key")).dropDuplicates(["key"]).join(places, "key").select("doc_id", "text", "places")
-    return texts.mapInArrow(run, "owner long, n long, text string")
+    texts = only(keyed(docs), places.select("key")).dropDuplicates(["key"]).join(places, "key").select("doc_id", "key", "text", "places")
+    return texts.mapInArrow(run, "owner long, key long, bundle long, n long, heads array<long>, text string")
 
 
-class PhraseAutomaton:
-    """The automaton over the heads of passages' blocks, and the passages' windows."""
+class PassageAutomaton:
+    """The automaton over the blocks of passages, and the passages' windows.
+
+    Words are numbered, and a number is a character; a word that no passage has is the character 1.
+    Of more than MOST words several would share a number: that gives hits which the windows refuse.
+    """
+
+    MOST = 0x10FFFF - 0x800 - 2
 
     def __init__(self, owners: list[int], texts: list[str]):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.empty = True
+        parts = []
         for first, data, offsets in pieces(pa.array(texts, pa.string())):
             h, _, _, words = hashed(data, offsets)
-            numbers = (h >> np.uint64(33)).tolist()
-            for k, (a, b) in enumerate(zip(words[:-1].tolist(), words[1:].tolist(), strict=True)):
-                for at in range(a, b - BLOCK + 1, BLOCK):
-                    self.automaton.add_word(tuple(numbers[at : at + HEAD]), 1)
-                    self.empty = False
-                own = h[a:b]
-                found.append((phrase_hashes(own, WINDOW), phrase_hashes(own, WINDOW, SEED), np.full(max(0, b - a - WINDOW + 1), owners[first + k], np.int64)))
+            parts += [(owners[first + k], h[a:b]) for k, (a, b) in enumerate(zip(words[:-1].tolist(), words[1:].tolist(), strict=True))]
+        self.words = np.unique(np.concatenate([h for _, h in parts])) if parts else np.zeros(0, np.uint64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for _, h in parts:
+            text = self._text(h)
+            for at in range(0, len(text) - BLOCK + 1, BLOCK):
+                self.automaton.add_word(text[at : at + BLOCK])
+        self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
-        w, check, owner = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        w, check = (np.concatenate([phrase_hashes(h, WINDOW, seed) for _, h in parts]) if parts else np.zeros(0, np.uint64) for seed in (0, SEED))
+        owner = np.concatenate([np.full(max(0, len(h) - WINDOW + 1), d, np.int64) for d, h in parts]) if parts else np.zeros(0, np.int64)
         order = np.argsort(w, kind="stable")
         self.windows, self.checks, self.owners = w[order], check[order], owner[order]
 
+    def _text(self, h: np.ndarray) -> str:
+        i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        number = np.where(self.words[i] == h, 2 + i % self.MOST, 1)
+        return (number + 0x800 * (number >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+
     def spans(self, doc_id: int, h: np.ndarray) -> list[tuple[int, int]]:
         """Runs of words (given by their hashes) in windows that a passage of an earlier document has."""
         n = len(h) - WINDOW + 1
         if self.empty or n <= 0:
             return []
-        at = np.fromiter((end for end, _ in self.automaton.iter(tuple((h >> np.uint64(33)).tolist()))), np.int64) - HEAD + 1
+        at = np.fromiter((end for end, _ in self.automaton.iter(self._text(h))), np.int64) - BLOCK + 1
         if not len(at):
             return []
         # A passage's window that holds the block whole begins at most WINDOW - BLOCK words before it.
@@ -112,38 +163,46 @@ class PhraseAutomaton:
         return _runs(held) if len(held) else []
 
 
-def passage_spans(docs: DataFrame, same: DataFrame, windows: DataFrame, owned: DataFrame) -> DataFrame:
-    """Of each document, the spans that repeat a passage of an earlier one, found by the automata."""
-    found = stored(passages(docs, same, owned), "passages")
+def passage_spans(docs: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each document (key), the words that repeat a passage of an earlier one, found by the automata."""
     shards = max(1, -(-(found.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")
-    found = found.withColumn("shard", shard)
-    routes = windows.join(owned, "w").filter(F.col("doc_id") > F.col("owner")).select("doc_id", shard.alias("shard")).distinct()
-    routes = stored(routes.join(same.select("doc_id", "key", "n_words"), "doc_id"), "routes")
+    found = found.withColumn("shard", F.pmod(F.xxhash64("key", "bundle"), F.lit(shards)).cast("int"))
+    # A head's shards in one row: it meets a document's heads by a join whose hot keys are dealt out.
+    near = found.select("shard", "owner", F.explode("heads").alias("head")).groupBy("head", "shard").agg(F.min("owner").alias("owner"))
+    near = stored(near.groupBy("head").agg(F.collect_list(F.struct("shard", "owner")).alias("shards")), "passage_heads")
+    met = salted_join(same.select("key", "doc_id", F.explode("heads").alias("head")), near, "head").select("key", "doc_id", F.explode("shards").alias("s"))
+    routes = met.filter(F.col("s.owner") < F.col("doc_id")).select("key", F.col("s.shard").alias("shard")).distinct()
+    routes = stored(routes.join(same.select("key", "n_words"), "key"), "routes")
     load = routes.groupBy("shard").agg((F.floor(F.sum("n_words") / GROUP_WORDS) + 1).cast("int").alias("groups"))
     routes = routes.join(load, "shard").select("key", "shard", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("grp"))
     dealt = found.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "owner", F.col("text").alias("passage"))
     keys = stored(routes.select("key").distinct(), "route_keys")
-    texts = only(keyed(docs), keys).dropDuplicates(["key"]).join(routes, "key").select("shard", "grp", "doc_id", "text")
+    texts = only(keyed(docs), keys).dropDuplicates(["key"]).join(routes, "key").select("shard", "grp", "doc_id", "key", "text")
 
     def stream(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        automaton = PhraseAutomaton(parts["owner"].tolist(), parts["passage"].tolist())
-        ids, starts_, ends_ = [], [], []
-        for doc_id, text in zip(own["doc_id"].tolist(), own["text"].tolist(), strict=True):
-            for _, data, offsets in pieces(pa.array([text], pa.string())):
-                if spans := automaton.spans(doc_id, hashed(data, offsets)[0]):
-                    ids.append(doc_id)
+        automaton = PassageAutomaton(parts["owner"].tolist(), parts["passage"].tolist())
+        keys, starts_, ends_ = [], [], []
+        doc_ids, own_keys = own["doc_id"].tolist(), own["key"].tolist()
+        for row, data, offsets in pieces(pa.array(own["text"], pa.large_string())):
+            h, _, _, first = hashed(data, offsets)
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                if spans := automaton.spans(doc_ids[row + i], h[a:b]):
+                    keys.append(own_keys[row + i])
                     starts_.append([s for s, _ in spans])
                     ends_.append([e for _, e in spans])
-        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "starts": starts_, "ends": ends_})
+        return pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "starts": pd.Series(starts_, dtype=object), "ends": pd.Series(ends_, dtype=object)})
 
-    spans = texts.groupBy("shard", "grp").cogroup(dealt.groupBy("shard", "grp")).applyInPandas(stream, "doc_id long, starts array<int>, ends array<int>")
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    spans = texts.groupBy("shard", "grp").cogroup(dealt.groupBy("shard", "grp")).applyInPandas(stream, "key long, starts array<int>, ends array<int>")
+    return spans.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
 def remove_repeated_phrases(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs`` (doc_id, text)."""
-    return remove_repeats(docs, recurring_anchors, lambda same, windows, owned: passage_spans(docs, same, windows, owned))
+    rows = stored(outline(docs), "outline")
+    same = stored(classes(rows), "classes")
+    windows = candidate_windows(texts_with_recurring_heads(docs, same))
+    found = stored(passages(docs, stored(owners(windows), "owners")), "passages")
+    return without_spans(docs, rows, same, passage_spans(docs, same, found))
 
 
 SQL = r"""

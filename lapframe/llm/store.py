@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +41,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key with more than one in so many rows is hot: there are no more hot keys than that.
+HOT_SHARE = 4096
+#: Keys of fewer rows are never hot.
+HOT_ROWS = 1000
+
+
+def salted_join(big: DataFrame, small: DataFrame, *on: str) -> DataFrame:
+    """Inner join with ``small``, which has each key once; a hot key's rows in ``big`` are dealt to several tasks.
+
+    Keys are counted with sums before the shuffle. At most HOT_SHARE are hot; with the number of
+    parts that each needs they are broadcast, and ``small`` has their rows once for each part.
+    """
+    keys = list(on)
+    least = max(HOT_ROWS, big.count() // HOT_SHARE)
+    hot = big.groupBy(*keys).count().filter(F.col("count") > least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_parts"))
+    hot = stored(hot, "hot_keys")
+    if not hot.limit(1).count():
+        return big.join(small, keys)
+    one = F.coalesce("_parts", F.lit(1))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.when(one == 1, 0).otherwise(F.pmod(F.xxhash64(*big.columns), one)).cast("int")).drop("_parts")
+    copies = small.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")

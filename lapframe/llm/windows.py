@@ -1,30 +1,35 @@
-"""What the two passage operators share: anchors, repeated windows, and removal of words.
-
-A window is WINDOW consecutive words of one document. Its anchor is the ANCHOR-word phrase
-in it with the smallest hash (the leftmost of equals), so equal windows have equal anchors,
-and one anchor serves about twenty windows in a row. A window can repeat across documents
-only if its anchor does. Documents with one sequence of words are one class: the row with
-the smallest ``doc_id`` stands for it, and the others repeat it as a whole.
+"""What the two passage operators share: retained places, repeated windows, and removal of words.
+
+A window is WINDOW consecutive words of one document. Of its first LEFT + PHRASE words it
+selects one place by content: where the PHRASE-word phrase with the smallest hash begins (the
+leftmost of equals). Equal windows select the same place, one place serves about ten windows
+in a row, and the HEAD words from there on are in the window. So a window can repeat across
+documents only if the HEAD words at its place do. Documents with one sequence of words are one
+class: the row with the smallest ``doc_id`` stands for it, and the others repeat it as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored, text_batches
+from .store import salted_join, stored, text_batches
 from .words import _MUL_WORD, _power_tables, mix, phrase_hashes, pieces, split, word_hashes
 
 WINDOW = 50
-ANCHOR = 8
+PHRASE = 8
+#: A selected place is at most so many words after its window's start.
+LEFT = 18
+HEAD = WINDOW - LEFT
 #: Keys (8 bytes) that are broadcast to prune a read of the documents; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
-_POS_BITS = np.uint64(26)
+#: A phrase's hash and place are compared as one number: 32 bits for each.
+_PLACE = np.uint64((1 << 32) - 1)
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -46,21 +51,20 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(data, starts, ends, False), starts, ends, first
 
 
-def window_anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (their first words), each one's anchor place, and all anchor phrase hashes."""
-    a = phrase_hashes(h, ANCHOR)
+def selected_places(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (their first words) and the place that each selects."""
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), a
-    low = (np.uint64(1) << _POS_BITS) - np.uint64(1)
-    least, have, span = (a & ~low) | np.arange(len(a), dtype=np.uint64), 1, WINDOW - ANCHOR + 1
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = phrase_hashes(h, PHRASE)
+    least, have, span = (a & ~_PLACE) | np.arange(len(a), dtype=np.uint64), 1, LEFT + 1
     while 2 * have <= span:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     least = np.minimum(least[:n], least[span - have : span - have + n])
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
-    return at, (least[at] & low).astype(np.int64), a
+    return at, (least[at] & _PLACE).astype(np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -69,7 +73,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def outline(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_words, fingerprint (f1, f2) and distinct anchor hashes of every row."""
+    """doc_id, key, n_words, fingerprint (f1, f2) and the distinct hashes of the heads at selected places, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,67 +86,42 @@ def outline(docs: DataFrame) -> DataFrame:
                     power, inverse = _power_tables(_MUL_WORD, len(x) + 1)
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)])
                     prints.append(mix((total[first[1:]] - total[first[:-1]]) * inverse[first[:-1]]).view(np.int64))
-                at, anchor, a = window_anchors(h, first)
+                at, place = selected_places(h, first)
+                heads = phrase_hashes(h, HEAD).view(np.int64)
                 bounds = np.searchsorted(at, first)
-                lists = [np.unique(a[np.unique(anchor[i:j])].view(np.int64)) for i, j in zip(bounds, bounds[1:], strict=False)]
+                lists = [np.unique(heads[np.unique(place[i:j])]) for i, j in zip(bounds, bounds[1:], strict=False)]
                 cols = [b.column("doc_id").slice(row, n), b.column("key").slice(row, n), pa.array(np.diff(first), pa.int64()), pa.array(prints[0]), pa.array(prints[1]), _lists(lists)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_words", "f1", "f2", "anchors"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_words", "f1", "f2", "heads"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, n_words long, f1 long, f2 long, anchors array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, n_words long, f1 long, f2 long, heads array<long>")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row for each distinct sequence of at least WINDOW words: its fingerprint, its smallest doc_id, key and anchors."""
+    """One row for each distinct sequence of at least WINDOW words: its fingerprint, its smallest doc_id, key and heads."""
     long = rows.filter((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
-    same = long.groupBy("n_words", "f1", "f2").agg(F.min(F.struct("doc_id", "key")).alias("x"), F.first("anchors").alias("anchors"))
-    return same.select("n_words", "f1", "f2", F.col("x.doc_id").alias("doc_id"), F.col("x.key").alias("key"), "anchors")
-
+    same = long.groupBy("n_words", "f1", "f2").agg(F.min(F.struct("doc_id", "key")).alias("x"), F.first("heads").alias("heads"))
+    return same.select("n_words", "f1", "f2", F.col("x.doc_id").alias("doc_id"), F.col("x.key").alias("key"), "heads")
 
-def repeated_windows(docs: DataFrame, same: DataFrame, recurring: DataFrame) -> DataFrame:
-    """Windows with a recurring anchor: hash, doc_id, place (first word).
 
-    ``recurring`` has the anchors that more than one class has.
-    """
-    wanted = same.select("key", F.explode("anchors").alias("anchor")).join(recurring, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("wanted"))
+def texts_with_recurring_heads(docs: DataFrame, same: DataFrame) -> DataFrame:
+    """doc_id, key, text and the hashes ``wanted`` of those heads that more than one class has, of classes with any."""
+    heads = same.select("key", F.explode("heads").alias("head"))
+    recurring = stored(heads.groupBy("head").count().filter(F.col("count") > 1).select("head"), "recurring")
+    wanted = salted_join(heads, recurring, "head").groupBy("key").agg(F.collect_list("head").alias("wanted"))
     wanted = stored(wanted, "wanted")
-    texts = only(keyed(docs), wanted.select("key")).dropDuplicates(["key"]).join(wanted, "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            want = b.column("wanted")
-            for row, data, offsets in pieces(b.column("text")):
-                h, _, _, first = hashed(data, offsets)
-                n = len(offsets) - 1
-                at, anchor, a = window_anchors(h, first)
-                w = phrase_hashes(h, WINDOW).view(np.int64)
-                bounds = np.searchsorted(at, first)
-                doc_ids = b.column("doc_id").slice(row, n).to_numpy()
-                for i in range(n):
-                    own = slice(bounds[i], bounds[i + 1])
-                    places, back = np.unique(anchor[own], return_inverse=True)
-                    known = np.isin(a[places].view(np.int64), np.asarray(want[row + i].values))
-                    pick = at[own][known[back]] if len(places) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(w[pick], pa.int64()), pa.array(np.full(len(pick), doc_ids[i], np.int64)), pa.array(pick - first[i], pa.int32())], names=["w", "doc_id", "place"])
-
-    return texts.select("doc_id", "text", "wanted").mapInArrow(run, "w long, doc_id long, place int")
-
-
-def owners(windows: DataFrame) -> DataFrame:
-    """Windows that more than one document has: hash, the smallest doc_id and its first place."""
-    found = windows.groupBy("w").agg(F.min(F.struct("doc_id", "place")).alias("x"), F.max("doc_id").alias("last"))
-    return found.filter("x.doc_id < last").select("w", F.col("x.doc_id").alias("owner"), F.col("x.place").alias("owner_place"))
+    return only(keyed(docs), wanted.select("key")).dropDuplicates(["key"]).join(wanted, "key")
 
 
 def without_spans(docs: DataFrame, rows: DataFrame, same: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``.
 
-    ``spans`` has, for documents that stand for a class, the words to remove as arrays of
+    ``spans`` has, for keys of rows that stand for a class, the words to remove as arrays of
     ``starts`` and ``ends``. Rows that repeat an earlier row as a whole lose every word.
     """
-    copies = rows.filter(F.col("n_words") >= WINDOW).join(same.select("n_words", "f1", "f2", F.col("doc_id").alias("earliest")), ["n_words", "f1", "f2"])
+    long = rows.filter(F.col("n_words") >= WINDOW).select("key", "doc_id", "n_words", "f1", "f2")
+    copies = salted_join(long, same.select("n_words", "f1", "f2", F.col("doc_id").alias("earliest")), "n_words", "f1", "f2")
     copies = stored(copies.filter(F.col("doc_id") > F.col("earliest")).select("key", "doc_id", "n_words"), "copies")
-    # A class's other rows with the same doc_id have its text, and so its key.
-    cut = stored(spans.join(same.select("doc_id", "key"), "doc_id").select("key", "starts", "ends"), "spans")
+    cut = stored(spans, "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +148,3 @@ def without_spans(docs: DataFrame, rows: DataFrame, same: DataFrame, spans: Data
     some = only(keyed(docs), cut.select("key")).join(cut, "key").select("doc_id", "text", "starts", "ends").mapInArrow(run, schema)
     whole = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA256).alias("kept_sha256"))
     return plain.unionByName(some).unionByName(whole)
-
-
-def remove_repeats(docs: DataFrame, recurring_of: Callable[[DataFrame], DataFrame], spans_of: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Outline the documents, find recurring anchors and repeated windows, and cut what ``spans_of`` says."""
-    rows = stored(outline(docs), "outline")
-    same = stored(classes(rows), "classes")
-    recurring = stored(recurring_of(same), "recurring")
-    windows = stored(repeated_windows(docs, same, recurring), "windows")
-    spans = spans_of(same, windows, stored(owners(windows), "owners"))
-    return without_spans(docs, rows, same, spans)

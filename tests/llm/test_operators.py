@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lapframe.llm import components, decontaminate, exact_dedup, html_text, minhash, packing, phrase_dedup, quality, sst, suffix_dedup, tokens, toxicity
+from lapframe.llm import components, decontaminate, exact_dedup, html_text, minhash, packing, phrase_dedup, quality, sst, store, suffix_dedup, tokens, toxicity
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -133,6 +133,10 @@ def removal_expected(rows):
 @pytest.mark.parametrize("run", [suffix_dedup.remove_repeated_passages, phrase_dedup.remove_repeated_phrases])
 def test_repeated_passages(docs, run, monkeypatch):
     monkeypatch.setattr(phrase_dedup, "SHARD_WORDS", 60)
+    monkeypatch.setattr(phrase_dedup, "BUNDLE_WORDS", 70)
+    monkeypatch.setattr(store, "HOT_ROWS", 1)
+    monkeypatch.setattr(store, "HOT_SHARE", 50)
+    monkeypatch.setattr(suffix_dedup, "WAITING", 2)
     monkeypatch.setattr(phrase_dedup, "GROUP_WORDS", 500)
     assert sorted((tuple(r) for r in run(docs).collect()), key=str) == removal_expected(corpus())
 
