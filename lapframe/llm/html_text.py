@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -51,7 +51,8 @@ CLOSES = {
 }
 _SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
+_MARKUP = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -59,7 +60,7 @@ _NAME = re.compile(r"[a-z0-9]+")
 class Node:
     """An element: its tag, children (nodes and strings), and counts once measured."""
 
-    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "named", "score", "tag", "tags")
+    __slots__ = ("chars", "children", "cut", "density", "least", "link_chars", "link_tags", "linked", "named", "parent", "score", "tag", "tags")
 
     def __init__(self, tag: str, cut: bool = False, named: bool = False):
         self.tag, self.cut, self.named, self.children = tag, cut, named, []
@@ -112,115 +113,151 @@ def _cut_named(root: Node) -> None:
         node.cut = node.named and 2 * node.chars < root.chars
 
 
+class _Open:
+    """The open elements; for every tag, where its elements stand, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of ``tags``; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, at: int) -> None:
+        """Close the element at a place and all in it."""
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
+
+
+def _tag_end(html: str, at: int, quotes: bool) -> int:
+    """Place of the ``>`` that ends a tag, outside of quotes if they count; -1 if there is none."""
+    while quotes and (m := _QUOTED.search(html, at)):
+        if m[0] == ">":
+            return m.start()
+        at = html.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1 if quotes else html.find(">", at)
+
+
 def parse(html: str) -> Node:
-    """A tree of the page; end tags without a start are dropped, missing ones are supplied."""
+    """A tree of the page, in time that grows with its length however broken it is.
+
+    End tags without a start are dropped, missing ones supplied. Once a quote is found that nothing
+    closes, quotes no longer hide the end of a tag; a tag without any end is text.
+    """
     root = Node("#root")
-    stack = [root]
-    at, n = 0, len(html)
+    opened = _Open(root)
+    at, n, quotes, no_end, named = 0, len(html), True, len(html), False
     while at < n:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        text = m["text"] if m["text"] is not None else None
-        if text is None and m["cdata"] is not None:
-            text = m["cdata"]
-        if text is not None:
-            stack[-1].children.append(text)
+        start = html.find("<", at)
+        text = html[at : start if start >= 0 else n]
+        if text:
+            opened.stack[-1].children.append(text)
+        if start < 0:
+            break
+        m = _MARKUP.match(html, start) if start < no_end or html[start + 1 : start + 2] in ("!", "?") else None
+        if m is None:
+            opened.stack[-1].children.append("<")
+            at = start + 1
+            continue
+        if not m["tag"]:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = html.find(close, m.end())
+            if m[0] == "<![CDATA[":
+                opened.stack[-1].children.append(html[m.end() : end if end >= 0 else n])
+            at = end + len(close) if end >= 0 else n
             continue
-        tag = m["tag"]
-        if tag is None:
+        end = _tag_end(html, m.end(), quotes)
+        if end < 0 and quotes:
+            quotes, end = False, _tag_end(html, m.end(), False)
+        if end < 0:
+            no_end = start
             continue
-        tag = tag.lower()
+        at, tag, attrs = end + 1, m["tag"].lower(), html[m.end() : end]
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if places := opened.places.get(tag):
+                opened.close(places[-1])
             continue
-        if tag in BLOCKS:  # an open paragraph ends where a block begins
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPES[tag]:
-                    break
-        attrs = m["attrs"] or ""
-        inside = any(s.tag in ("article", "main") for s in stack)
-        node = Node(tag, _cut(tag, attrs, inside), _named(tag, attrs, inside))
-        stack[-1].children.append(node)
+        if tag in BLOCKS and (places := opened.places.get("p")):
+            opened.close(places[-1])  # an open paragraph ends where a block begins
+        if tag in CLOSES and (place := opened.last(CLOSES[tag])) > opened.last(_SCOPES[tag]):
+            opened.close(place)
+        inside = bool(opened.places.get("article") or opened.places.get("main"))
+        node = Node(tag, _cut(tag, attrs, inside), bool(attrs) and _named(tag, attrs, inside))
+        named = named or node.named
+        opened.stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not attrs.endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag in BLOCKS:
-            stack.append(node)  # a slash closes void and unknown elements only
-    _cut_named(root)
+            raw = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = raw.end() if raw else n
+        elif tag not in VOID and (tag in BLOCKS or not attrs.endswith("/")):
+            opened.push(node)  # a slash closes void and unknown elements only
+    if named:
+        _cut_named(root)
     return root
 
 
-def _measure(root: Node) -> list[tuple[Node, Node | None]]:
-    """Counts of every kept node; returns (node, parent), parents first."""
+def _measure(root: Node) -> list[Node]:
+    """Counts of every kept node, and its parent; returns the nodes, parents first."""
     order, todo = [], [(root, None, False)]
     while todo:
         node, parent, linked = todo.pop()
         linked = linked or node.tag == "a"
-        order.append((node, parent))
-        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
-        node.chars, node.tags = own, 0
+        order.append(node)
+        own, inner = 0, []
+        for c in node.children:
+            if isinstance(c, str):
+                own += len("".join(c.split()))
+            elif not c.cut:
+                inner.append((c, node, linked))
+        todo += inner
+        node.parent, node.linked, node.chars, node.tags = parent, linked, own, 0
         node.link_chars, node.link_tags = (own, 0) if linked else (0, 0)
-        todo.extend((c, node, linked) for c in node.children if isinstance(c, Node) and not c.cut)
-    linked = {id(root): False}
-    for node, parent in order[1:]:
-        linked[id(node)] = linked[id(parent)] or node.tag == "a"
-    for node, parent in reversed(order[1:]):
+    for node in reversed(order[1:]):
+        parent = node.parent
         parent.chars += node.chars
         parent.tags += node.tags + 1
         parent.link_chars += node.link_chars
-        parent.link_tags += node.link_tags + (1 if linked[id(node)] else 0)
+        parent.link_tags += node.link_tags + node.linked
     return order
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite density of a node's counts; ``ratio`` is the body's share of characters in links."""
+    if not chars:
+        return 0.0
+    c, t, lc, lt = chars, max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(c / max(c - link_chars, 1) * link_chars + ratio * c + math.e)
+    own = c / t * math.log(max(c * t / (lc * lt), 1.0000001))
+    return own / max(math.log(base), 1e-6) if base > 1.0001 else own
+
+
 def main_part(root: Node) -> Node:
     """The subtree of the largest sum of densities whose own density reaches the threshold."""
     body = _find(root, "body") or root
     order = _measure(body)
     ratio = body.link_chars / max(body.chars, 1)
-    parents = {id(node): parent for node, parent in order}
-    for node, _ in order:
-        c, t = node.chars, max(node.tags, 1)
-        lc, lt = max(node.link_chars, 1), max(node.link_tags, 1)
-        if not c:
-            node.density = 0.0
-            continue
-        base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e)
-        node.density = c / t * math.log(max(c * t / (lc * lt), 1.0000001)) / max(math.log(base), 1e-6) if base > 1.0001 else c / t * math.log(max(c * t / (lc * lt), 1.0000001))
-    for node, _ in order:
-        node.score = sum(c.density for c in node.children if isinstance(c, Node) and not c.cut)
-        if not node.score:
-            node.score = node.density if any(isinstance(c, str) and c.strip() for c in node.children) else 0.0
-    top = max((node for node, _ in order), key=lambda x: x.score)
-    path, at = [], top
-    while at is not None:
-        path.append(at.density)
-        at = parents[id(at)]
-    least = min(path)
-    main = max((node for node, _ in order if node.density >= least), key=lambda x: x.score)
-    # Text that stands beside the part's blocks in an unbroken run (an article's own wrapper) belongs to it.
-    while (parent := parents[id(main)]) is not None and main.tag not in ("article", "main", "body") and any(a.tag in ("article", "main") for a in _above(main, parents)):
-        main = parent
-    return main
-
-
-def _above(node: Node, parents: dict) -> Iterator[Node]:
-    while (node := parents[id(node)]) is not None:
-        yield node
+    for node in order:
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
+        node.score, node.least = 0.0, node.density if node.parent is None else min(node.density, node.parent.least)
+    for node in order[1:]:
+        node.parent.score += node.density
+    for node in order:
+        if not node.score and any(isinstance(c, str) and c.strip() for c in node.children):
+            node.score = node.density
+    top = max(order, key=lambda x: x.score)
+    main = max((node for node in order if node.density >= top.least), key=lambda x: x.score)
+    # Of a part inside an article (or main), the whole innermost article is the part: its title and
+    # first lines often stand in wrappers of their own.
+    above, at = None, main
+    while at is not None and at.tag not in ("article", "main"):
+        at = above = at.parent
+    return above if above is not None and main.tag != "body" else main
 
 
 def _find(root: Node, tag: str) -> Node | None:
