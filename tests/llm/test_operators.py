@@ -142,7 +142,7 @@ def test_repeated_passages(docs, run, monkeypatch):
 
 
 def test_exact(docs, monkeypatch):
-    for hot in (64, 1):
+    for hot in (256, 1):
         monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
         groups = {}
         for d, t, *_ in corpus():
