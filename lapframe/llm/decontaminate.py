@@ -1,17 +1,18 @@
 """Benchmark decontamination by a prefix-filtered set join, with DataFrame functions only.
 
 Every item gives windows of 13 consecutive words (an item of fewer words is one window). A
-window is a set of word shingles at known places; a document can hold it only if it holds
+window is a chain of word shingles at known places; a document can hold it only if it holds
 its rarest shingle. So:
 
-1. one pass over the documents hashes their shingles and keeps those that any item has,
-   joined by broadcast while the items' shingles number at most BROADCAST_SHINGLES and by
-   shuffle beyond;
+1. one pass over the documents hashes their shingles and keeps those that any item has: first
+   by a bitmap of at most BITMAP_WORDS numbers, the same for any count of shingles and so always
+   small enough to broadcast, then by an exact join of what is left;
 2. shingles are ordered by their count in the documents, and each window keeps its rarest
    as its prefix; windows with a shingle that no document has are out;
 3. prefixes are joined with the documents' shingles; length and position bounds drop windows
    that would begin before or end after the document;
-4. the windows left are compared word by word, within the document's row.
+4. the windows left are verified within the document's row: every shingle of the chain must
+   stand at its place. Texts aren't read again.
 
 Edge cases: null and empty texts have no words; a document without words is never
 contaminated; rows that repeat a ``doc_id`` are judged on their own texts; an item
@@ -26,16 +27,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import salted_join, stored
 
 WINDOW = 13
 SHINGLE = 4
-#: 16 bytes each: a table of at most 16 MB is broadcast.
-BROADCAST_SHINGLES = 1_000_000
-#: Candidate documents whose ids (8 bytes) are broadcast to prune the second read.
-BROADCAST_IDS = 1_000_000
-#: Windows that are broadcast with their words: 13 words of at most 64 bytes.
-BROADCAST_WINDOWS = 50_000
+#: Numbers of 64 bits in a bitmap of shingles: a broadcast of 16 MB.
+BITMAP_WORDS = 1 << 20
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BASE = 0  # stands for the row itself among its shingles
 
@@ -49,9 +46,9 @@ def words_of(text: Column) -> Column:
 
 
 def _shingles(words: Column, n: Column, size: int) -> Column:
-    """Hash of each ``size`` consecutive words; never _BASE."""
-    h = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]))
-    return F.when(n >= size, h).otherwise(F.array().cast("array<bigint>"))
+    """(sh, place) of each ``size`` consecutive words: their hash, and SHINGLE times the first word's number plus size - 1."""
+    h = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]).alias("sh"), (i * SHINGLE + (size - 1)).cast("long").alias("place")))
+    return F.when(n >= size, h).otherwise(F.array().cast("array<struct<sh:bigint,place:bigint>>"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -62,6 +59,19 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("size", F.size("words"))
 
 
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """At most BITMAP_WORDS rows (word, bits) in which every key has its bit set."""
+    bit = keys.select(F.pmod(F.xxhash64(F.lit(7), key), F.lit(64 * BITMAP_WORDS)).alias("bit"))
+    return bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
+
+
+def may_be_in(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key has its bit set: all with a key of the bitmap, and a few others."""
+    bit = rows.withColumn("_bit", F.pmod(F.xxhash64(F.lit(7), key), F.lit(64 * BITMAP_WORDS))).withColumn("word", F.shiftright("_bit", 6))
+    held = bit.join(F.broadcast(bits), "word").filter("(shiftright(bits, CAST(_bit & 63 AS INT)) & 1L) = 1L")
+    return held.select(*rows.columns)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs`` (doc_id, text)."""
     return judged_rows(docs, items, window, one_in).drop("key")
@@ -72,55 +82,49 @@ def judged_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in:
 
     contaminated: some word is hit, and at least one word in ``one_in``.
     """
+    spark = docs.sparkSession
     windows = stored(item_windows(items, window), "windows")
-    sizes = [r.s for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("s")).distinct().collect()]  # at most SHINGLE values
-    parts = []
+    sizes = sorted(r.s for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("s")).distinct().collect())  # at most SHINGLE values
+    chain = F.array().cast("array<struct<sh:bigint,place:bigint>>")
     for s in sizes:
-        own = windows.filter(F.least("size", F.lit(SHINGLE)) == s)
-        parts.append(own.select("words", "items", "size", F.posexplode(_shingles(F.col("words"), F.col("size"), s)).alias("off", "sh")))
-    if not parts:
-        parts.append(windows.select("words", "items", "size", F.lit(0).alias("off"), F.lit(1).cast("long").alias("sh")))
-    placed = parts[0]
-    for p in parts[1:]:
-        placed = placed.unionByName(p)
-    spark = docs.sparkSession
-    wanted = stored(placed.select("sh").distinct().unionByName(spark.range(_BASE, _BASE + 1).toDF("sh")), "shingles")
-    small = wanted.count() <= BROADCAST_SHINGLES
+        chain = F.when(F.least("size", F.lit(SHINGLE)) == s, _shingles(F.col("words"), F.col("size"), s)).otherwise(chain)
+    windows = stored(windows.select("items", "size", F.least("size", F.lit(SHINGLE)).alias("s"), chain.alias("chain")), "chains")
+    placed = windows.select("items", "size", "s", "chain", F.posexplode("chain").alias("off", "x")).select("items", "size", "s", "chain", "off", F.col("x.sh").alias("sh"))
+    wanted = stored(placed.select("sh").distinct(), "shingles")
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
-    hashed = [F.array(F.lit(_BASE).cast("bigint"))] + [_shingles(F.col("words"), F.col("n_words"), s) for s in sizes]
-    starts = [F.array(F.lit(0))] + [F.sequence(F.lit(0), F.greatest(F.col("n_words") - s, F.lit(0))) for s in sizes]
-    if len(sizes) > 1:
-        pairs = F.arrays_zip(F.concat(*hashed).alias("sh"), F.concat(*[F.slice(p, 1, F.size(h)) for p, h in zip(starts, hashed, strict=True)]).alias("pos"))
-        d = d.select("doc_id", "key", "n_words", F.explode(pairs).alias("x")).select("doc_id", "key", "n_words", F.col("x.sh").alias("sh"), F.col("x.pos").alias("pos"))
-    else:
-        d = d.select("doc_id", "key", "n_words", F.posexplode(F.concat(*hashed)).alias("pos", "sh")).withColumn("pos", F.col("pos") - 1)
-    hits = stored(d.join(F.broadcast(wanted) if small else wanted, "sh"), "shingle_hits")
-
-    found = hits.filter(F.col("sh") != _BASE)
+    own = F.array(F.struct(F.lit(_BASE).cast("long").alias("sh"), F.lit(-1).cast("long").alias("place")))
+    d = d.select("doc_id", "key", "n_words", F.inline(F.concat(own, *[_shingles(F.col("words"), F.col("n_words"), s) for s in sizes])))
+    bits = bitmap(wanted.unionByName(spark.range(_BASE, _BASE + 1).toDF("sh")), "sh")
+    probed = stored(may_be_in(d, "sh", bits), "probed")
+    rows = probed.filter(F.col("place") < 0).select("doc_id", "key", "n_words")
+    found = salted_join(probed.filter(F.col("place") >= 0), wanted, "sh").dropDuplicates(["doc_id", "key", "place"])
+    found = stored(found, "shingle_hits")
+
     counts = found.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
-    rarest = placed.join(counts, "sh", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "sh")).alias("r"), F.first("items").alias("items"), F.first("size").alias("size"))
-    prefixes = stored(rarest.filter("r.df > 0").select("words", "items", "size", "r.off", "r.sh"), "prefixes")
-    few = prefixes.count() <= BROADCAST_WINDOWS
-    near = found.join(F.broadcast(prefixes) if few else prefixes, "sh").withColumn("start", F.col("pos") - F.col("off"))
+    rarest = placed.join(counts, "sh", "left").groupBy("chain").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "sh")).alias("r"), *[F.first(c).alias(c) for c in ("items", "size", "s")])
+    prefixes = stored(rarest.filter("r.df > 0").select("r.sh", "r.off", "items", "size", "s", F.transform("chain", lambda x: x.sh).alias("chain")), "prefixes")
+    near = salted_join(found, prefixes, "sh").withColumn("start", (F.shiftright("place", 2) - F.col("off")).cast("int"))
     near = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
-    near = stored(near.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "words", "items")).alias("near")), "candidates")
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = near.select(F.xxhash64("doc_id", "key").alias("row")).distinct()
-    texts = texts.withColumn("key", F.xxhash64("text"))
-    if near.count() <= BROADCAST_IDS:
-        texts = texts.withColumn("row", F.xxhash64("doc_id", "key")).join(F.broadcast(ids), "row", "left_semi").drop("row")
-    texts = texts.dropDuplicates(["doc_id", "key"]).withColumnsRenamed({"doc_id": "id2", "key": "key2"})
-    held = near.join(texts, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))).select("doc_id", "key", "near", words_of(F.col("text")).alias("w"))
-    held = held.withColumn("held", F.filter("near", lambda c: F.slice(F.col("w"), c.start + 1, F.size(c.words)) == c.words)).filter(F.size("held") > 0)
-    covered = F.array_distinct(F.flatten(F.transform("held", lambda c: F.sequence(c.start, c.start + F.size(c.words) - 1))))
+    near = stored(near.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size", "s", "chain", "items")).alias("near")), "candidates")
+
+    # Of each row with candidates, its hits by place: no more than it has words.
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) & (F.col("key") == F.col("key2"))
+    near = near.withColumnsRenamed({"doc_id": "id2", "key": "key2"})
+    own = found.join(near.select("id2", "key2"), same("doc_id", "id2"), "left_semi").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("place", "sh"))).alias("at"))
+    held = near.join(own, same("doc_id", "id2"))
+
+    def whole(c: Column) -> Column:
+        there = lambda x, i: F.coalesce(F.try_element_at("at", ((c.start + i) * SHINGLE + c.s - 1).cast("long")) == x, F.lit(False))
+        return F.forall(F.transform(c.chain, there), lambda x: x)
+
+    held = held.withColumn("held", F.filter("near", whole)).filter(F.size("held") > 0)
+    covered = F.array_distinct(F.flatten(F.transform("held", lambda c: F.sequence(c.start, c.start + c.size - 1))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("held", lambda c: c.items))))
-    held = held.select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), F.size(covered).alias("hit"), names.alias("names"))
+    held = held.select("id2", "key2", F.size(covered).alias("hit"), names.alias("names"))
 
-    rows = hits.filter(F.col("sh") == _BASE).select("doc_id", "key", "n_words")
-    out = rows.join(held, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
+    out = rows.join(held, same("doc_id", "id2"), "left")
     n_hit = F.coalesce(F.col("hit"), F.lit(0)).cast("long")
     return out.select(
         "doc_id",
