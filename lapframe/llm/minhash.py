@@ -12,11 +12,13 @@ share none of them with a chance below 1e-7. Classes with more hot values than t
 join hot lists. There each member is compared with the list's first and last member; what is
 linked so is one component, and only members of different components are compared further:
 full sets meet by exact prefixes (of two linked sets, the rarest quarter of each holds a
-common value), sets that meet so form a family, and a family is compared in square blocks, each
-block's intersections counted by a matrix product. In the same way, of a class's ordinary
-candidates the best is confirmed first, and others only if their components still differ. No
-link between different components is left out. Work in blocks grows with the square of a family's
-open members, rows do not: a block returns fewer links than it has components.
+common value), and sets that meet so form a family. A family's sets are put in blocks by size and
+component, and blocks are paired only where sizes allow a link and components differ; so a
+component of any size meets its family's strays once, not itself. A pair of blocks is one
+matrix product and returns fewer links than it has components. In the same way, of a class's
+ordinary candidates the best is confirmed first, and others only if their components still
+differ. No link between different components is left out. Work in blocks grows with the square
+of those members of a family that are of similar size and still apart after the first links.
 
 Edge cases: a text without words, or null, has an empty set and links with nothing; with
 fewer than five words the whole sequence is the one shingle; rows that repeat a ``doc_id`` with
@@ -27,6 +29,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import stored
+from .store import salted_join, stored
 from .windows import keyed, only
 from .words import mix, phrase_hashes, pieces, split, word_hashes
 
@@ -45,8 +48,8 @@ SKETCH = 64
 CANDIDATES, CANDIDATES_BESIDE_HOT = 16, 32
 HOT_LIST = 50
 MOSTLY_COLD = 0.6
-#: Sets in one side of a block, and columns of a block's matrix.
-BLOCK_SETS, BLOCK_COLUMNS = 512, 4096
+#: Sets, and values of sets, in a block, about, and columns of a block's matrix.
+BLOCK_SETS, BLOCK_VALUES, BLOCK_COLUMNS = 512, 1 << 20, 4096
 #: Least estimate that is confirmed: 5.5 standard deviations below 0.75.
 LEAST_ESTIMATE = 0.45
 
@@ -134,7 +137,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between components in one block: enough of them to join what belongs together."""
     i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    sides = [pdf[pdf["blk"] == b] for b in (i, j)]
+    sides = [pdf[pdf["blk"] == b].sort_values("id") for b in (i, j)]
     sets = [[np.asarray(h, np.int64) for h in side["hashes"]] for side in sides]
     flat = [np.concatenate(s) if s else np.zeros(0, np.int64) for s in sets]
     both = np.intersect1d(*[np.unique(f) for f in flat], assume_unique=True)
@@ -177,21 +180,53 @@ def _family_links(ids: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFra
     counts = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "set_values")
     # A set's values that no other has are its rarest, and need no list.
     own = Window.partitionBy("id")
-    shared = values.join(counts, "value").withColumn("rank", F.row_number().over(own.orderBy("df", "value"))).withColumn("m", F.count(F.lit(1)).over(own))
+    shared = salted_join(values, counts, "value").withColumn("rank", F.row_number().over(own.orderBy("df", "value"))).withColumn("m", F.count(F.lit(1)).over(own))
     prefix = shared.filter(F.col("rank") + F.col("n") - F.col("m") <= F.floor(F.col("n") / 4) + 1).select("value", "id")
     of = labels.select(F.col("v").alias("id"), "label")
     prefix = stored(prefix.join(of, "id", "left").withColumn("label", F.coalesce("label", "id")), "prefixes")
     lists = prefix.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).filter("lo < hi")
-    met = stored(prefix.join(lists, "value").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    met = stored(salted_join(prefix, lists, "value").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "met")
     if not met.limit(1).count():
         return None
     family = connected_components(met).select(F.col("v").alias("id"), F.col("label").alias("family"))
-    blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    member = family.join(blocks, "family").join(of, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    member = member.join(sets, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("family", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "label", "hashes")
-    return member.groupBy("family", "bi", "bj").applyInPandas(_block_links, "a long, b long")
+    member = family.join(of, "id", "left").withColumn("label", F.coalesce("label", "id")).join(sets.select("id", F.size("hashes").alias("n")), "id")
+    member = _in_blocks(stored(member, "members"))
+    pairs = stored(_block_pairs(member), "block_pairs")
+    if not pairs.limit(1).count():
+        return None
+    # Each block goes to its pairs; a pair's two blocks meet in one task.
+    sides = pairs.select("bi", "bj", F.col("bi").alias("blk")).union(pairs.filter("bi <> bj").select("bi", "bj", F.col("bj").alias("blk")))
+    shipped = member.select("id", "label", "blk").join(sides, "blk").join(sets, "id").select("bi", "bj", "blk", "id", "label", "hashes")
+    return shipped.groupBy("bi", "bj").applyInPandas(_block_links, "a long, b long")
+
+
+def _in_blocks(member: DataFrame) -> DataFrame:
+    """Members (id, family, label, n) with ``band`` and ``blk``: blocks of about BLOCK_SETS sets or BLOCK_VALUES values of one family and band.
+
+    Linked sets differ in size by a factor of 4/3 at most, so they are in one band or in two that follow
+    each other. A label with many members in a band has blocks of its own; the others share blocks.
+    """
+    member = member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / (math.log(4 / 3) + 1e-6)).cast("int"))
+    place = ["family", "band"]
+    fill = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_VALUES)
+    labels = member.groupBy(*place, "label").agg(fill.alias("fill"))
+    big = F.col("fill") > 1
+    shared = labels.filter(~big).groupBy(*place).agg(F.ceil(F.sum("fill")).alias("parts"))
+    split = labels.join(shared, place, "left").select(*place, "label", F.when(big, F.ceil("fill")).alias("own"), "parts")
+    member = member.join(split, [*place, "label"])
+    number = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id"), "own")).otherwise(F.pmod(F.xxhash64(F.lit(1), "label"), "parts"))
+    return member.withColumn("blk", F.xxhash64(*place, F.when(F.col("own").isNotNull(), F.col("label")), number)).select("id", "family", "label", "n", "band", "blk")
+
+
+def _block_pairs(member: DataFrame) -> DataFrame:
+    """Pairs of blocks (bi, bj) that can hold a link between two labels."""
+    blocks = member.groupBy("family", "band", "blk").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    other = blocks.select("family", *[F.col(c).alias(f"{c}2") for c in ("band", "blk", "lo", "hi", "least", "most")])
+    near = blocks.withColumn("band2", F.explode(F.array("band", F.col("band") + 1))).join(other, ["family", "band2"])
+    near = near.filter((F.col("band") < F.col("band2")) | (F.col("blk") <= F.col("blk2")))
+    two = (F.col("lo") < F.col("hi")) | (F.col("lo2") < F.col("hi2")) | (F.col("lo") != F.col("lo2"))
+    sized = (4 * F.col("most") >= 3 * F.col("least2")) & (4 * F.col("most2") >= 3 * F.col("least"))
+    return near.filter(two & sized).select(F.col("blk").alias("bi"), F.col("blk2").alias("bj"))
 
 
 def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
@@ -239,7 +274,7 @@ def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("both", -F.col("a"))).alias("a")).select("a", "b")
     if hot_listed is not None:
         ends = hot_listed.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        star = hot_listed.join(ends, "value")
+        star = salted_join(hot_listed, ends, "value")
         star = star.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(star.select(F.col("id").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct()
         first = first.unionByName(_estimated(star, classes).select("a", "b")).distinct()
     links = stored(_confirmed(stored(first, "first"), docs), "links")
@@ -263,7 +298,7 @@ def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
     linked = stored(labels.withColumnRenamed("v", "id").join(classes.select("id", "lead"), "id"), "linked")
     heads = linked.groupBy("label").agg(F.min("lead").alias("head"))
     of_class = classes.join(linked.join(heads, "label").select("id", "head"), "id", "left").select("n", "f1", "f2", F.coalesce("head", "lead").alias("head"))
-    found = own.filter(real).join(of_class, ["n", "f1", "f2"])
+    found = salted_join(own.filter(real), of_class, "n", "f1", "f2")
     found = found.select("doc_id", "key", "n", F.col("head.doc_id").alias("component_id"), (F.col("key") == F.col("head.key")).alias("kept"))
     alone = own.filter(~real).select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return found.unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -85,6 +85,7 @@ def near_expected(rows):
 def test_near_duplicates(docs, monkeypatch, hot):
     monkeypatch.setattr(minhash, "HOT_LIST", hot)
     monkeypatch.setattr(minhash, "BLOCK_SETS", 7)
+    monkeypatch.setattr(store, "HOT_ROWS", hot)
     want = near_expected(corpus())
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == len(corpus())
@@ -379,3 +380,22 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
     # Links of either text of an id count, and none is false.
     got = minhash.near_duplicates(spark.createDataFrame([(1, a), (2, b), (7, near), (7, b + " end"), (8, c), (7, d)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted([(1, 86, 1, True), (2, 76, 2, True), (7, 86, 1, False), (7, 77, 2, False), (8, 66, 8, True), (7, 56, 7, True)])
+
+
+def test_blocks_hold_every_link_between_components(spark):
+    rng = random.Random(23)
+    sets, rows = {}, []
+    for i in range(240):  # a family of three sizes: linked, close and far sets
+        base = [(i % 6) * 1000 + k for k in range(60 if i % 3 else 90)]
+        own = set(rng.sample(base, len(base) - rng.randrange(0, 9))) | {10_000 + rng.randrange(3) for _ in range(2)}
+        sets[i] = own
+        rows.append((i, 0, i if i >= 100 else 0, len(own)))  # a large component, and members of their own
+    member = minhash._in_blocks(spark.createDataFrame(rows, "id long, family long, label long, n int")).collect()
+    pairs = {tuple(sorted(p)) for p in minhash._block_pairs(spark.createDataFrame(member)).collect()}
+    block, label = {r.id: r.blk for r in member}, {r[0]: r[2] for r in rows}
+    assert len(member) == 240
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and label[a] != label[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                assert tuple(sorted((block[a], block[b]))) in pairs
