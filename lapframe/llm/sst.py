@@ -36,7 +36,12 @@ from .tokens import encoder
 
 MAGIC = b"LFSST001"
 BLOCK_BYTES = 1 << 18
-SHARD_IDS = 16_000_000
+#: A shard ends after so many ids or documents, whichever comes first.
+SHARD_IDS, SHARD_DOCS = 16_000_000, 1_000_000
+#: Schemes of Hadoop's stores that pyarrow knows by another name; file, hdfs, viewfs, gs and abfs(s) are the same.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+#: Keys whose filter bits are set at once.
+BLOOM_KEYS = 1 << 16
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQ8s")  # index place and length, filter place and length, entries, ids
 _ENTRY = struct.Struct("<BBII")  # shared and own key bytes, ids, spare
@@ -106,7 +111,8 @@ class ShardWriter:
         n_bits = max(64, len(self.keys) * BLOOM_BITS_PER_KEY)
         bits = np.zeros(n_bits, bool)
         if self.keys:
-            bits[_bloom_places(self.keys, n_bits).ravel().astype(np.int64)] = True
+            for i in range(0, len(self.keys), BLOOM_KEYS):
+                bits[_bloom_places(self.keys[i : i + BLOOM_KEYS], n_bits).ravel().astype(np.int64)] = True
         bloom = struct.pack("<Q", n_bits) + np.packbits(bits).tobytes()
         footer = _FOOTER.pack(self.place, len(index), self.place + len(index), len(bloom), len(self.keys), self.n_ids, MAGIC)
         self.out.write(index + bloom + footer)
@@ -173,8 +179,14 @@ class Shard:
         return None
 
 
+def file_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's store for one of Spark's URIs, and the path in it."""
+    scheme, colon, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 def open_shard(path: str) -> Shard:
-    store, at = pafs.FileSystem.from_uri(path)
+    store, at = file_store(path)
     return Shard(store.open_input_file(at))
 
 
@@ -189,7 +201,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, rows = encoder(tokenizer), np.array([end_id], np.uint32), []
-        store, base = pafs.FileSystem.from_uri(folder)
+        store, base = file_store(folder)
         store.create_dir(base, recursive=True)
         writer = stream = path = first = None
 
@@ -209,7 +221,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
                         stream = store.open_output_stream(f"{base}/{name}")
                         writer = ShardWriter(stream)
                     writer.add(key, np.concatenate([ids[offsets[i] : offsets[i + 1]], end]))
-                    if writer.n_ids >= SHARD_IDS:
+                    if writer.n_ids >= SHARD_IDS or len(writer.keys) >= SHARD_DOCS:
                         finish()
                         writer = None
         if writer is not None:
@@ -227,7 +239,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the shards: doc_id, ids of all documents before it, its ids (little-endian uint32).
 
-    The running start needs one row per shard, in one task: a shard holds 16 million ids.
+    The running start needs one row per shard, in one task: a shard holds up to 16 million ids or a million documents.
     """
     order = Window.orderBy("first_key", "first_hash", "path").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
