@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import text_batches
-from .toxicity import held_out
+from .toxicity import held_out, labelled_rows
 from .words import mix, pieces, split, word_hashes
 
 PASSAGE = 64
@@ -161,8 +161,7 @@ _SHAPES = {"E": (N_FEATURES, WIDTH), "e": (WIDTH,), "V": (WIDTH, GATE), "U": (WI
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = TRAIN_ROWS) -> list[dict]:
     """One model for each shard of at most ``max_rows`` labelled rows in all."""
     text_batches(docs.sparkSession)
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
-    chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = labelled_rows(labels, label, max_rows)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

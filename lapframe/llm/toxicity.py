@@ -6,9 +6,11 @@ with one word between, hashed to 2**20 places; a feature is there or not, howeve
 Per-coordinate learning rates and an L1 penalty leave a few thousand weights, which travel
 with the tasks that score (4 MB if none were zero).
 
-Training takes at most TRAIN_ROWS labelled rows, those with the smallest hash of their id,
-dealt to groups of about SHARD_ROWS; each runs FTRL in a fixed order and the weights are
-averaged.
+Training takes at most TRAIN_ROWS labelled rows, those with the smallest hash of their id. One
+in CALIBRATION of them sets the bias only; the others are dealt to groups of about SHARD_ROWS,
+each runs FTRL in a fixed order and the weights are averaged. Then the bias moves so that
+THRESHOLD stands where, on the rows set apart, misses (POSITIVE_WEIGHT each) and false alarms
+cost least; of cuts that cost the same, in the middle of the widest gap between scores.
 
 Edge cases: null and empty texts score as the bias alone; a null ``doc_id`` is scored but
 never learned from; of labels that disagree on a ``doc_id`` the larger counts; without
@@ -17,6 +19,7 @@ labelled rows every score is 0; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import text_batches
+from .store import stored, text_batches
 from .words import mix, pieces, split, word_hashes
 
 BITS = 20
@@ -37,6 +40,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
 #: Toxic rows are the fewer; each counts so many times.
 POSITIVE_WEIGHT = 2
 THRESHOLD = 0.7
+CALIBRATION = 5
 
 _SEP = np.ones(256, bool)
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -80,11 +84,38 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
     return w[:size], float(w[size])
 
 
+def labelled_rows(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows (doc_id, y): those with the smallest hash of their id.
+
+    Most others go by a bound on the hash before any task gathers rows.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
+    own = own.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    share = (max_rows + 6 * max_rows**0.5 + 64) / max(own.count(), 1)
+    if share < 1:
+        own = own.filter(F.col("h") <= int(-(2**63) + share * 2**64))
+    return own.orderBy("h", "doc_id").limit(max_rows).select("doc_id", "y")
+
+
+def cut_between(logits: np.ndarray, labels: np.ndarray) -> float | None:
+    """The logit from which on rows should be called toxic; None without rows of both labels."""
+    if len(np.unique(labels)) < 2:
+        return None
+    order = np.argsort(logits, kind="stable")
+    x, y = logits[order], labels[order]
+    # A cut before row i misses the toxic rows below and alarms at the others from i on.
+    cost = POSITIVE_WEIGHT * np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    gap = np.concatenate([[0], np.diff(x), [0]])
+    able = (gap > 0) | (np.arange(len(gap)) % len(x) == 0)  # not between rows of one score
+    best = np.flatnonzero(able & (cost == cost[able].min()))
+    i = int(best[gap[best].argmax()])
+    return float(x[0] - 1 if i == 0 else x[-1] + 1 if i == len(x) else (x[i - 1] + x[i]) / 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id and a 0/1 column)."""
     text_batches(docs.sparkSession)
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
-    chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = labelled_rows(labels, label, max_rows)
     # At most max_rows rows of 12 bytes are broadcast.
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -100,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, n), b.column("y").slice(first, n), lists], names=["doc_id", "y", "places"])
 
     shards = max(1, -(-chosen.count() // SHARD_ROWS))
-    rows = known.mapInArrow(places, "doc_id long, y int, places array<int>")
+    rows = stored(known.mapInArrow(places, "doc_id long, y int, places array<int>"), "features")
+    apart = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(CALIBRATION)) == 0
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
@@ -110,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         return pd.DataFrame({"place": np.append(at, -1), "w": np.append(w[at], bias)})
 
     shard = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards))
-    learned = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(learn, "place long, w double")
+    learned = rows.filter(~apart).withColumn("shard", shard).groupBy("shard").applyInPandas(learn, "place long, w double")
     # At most 2**BITS + 1 places come to the driver, whatever the input.
     total = learned.groupBy("place").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).toPandas()
     weights, bias = np.zeros(1 << BITS, np.float32), -30.0
@@ -119,6 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         own = total[total["place"] >= 0]
         weights[own["place"].to_numpy()] = (own["w"] / parts).to_numpy()
         bias = float(total.loc[total["place"] == -1, "w"].iloc[0] / parts)
+        at = np.flatnonzero(weights).astype(np.int32)
+        value = weights[at]  # the sparse form travels with the task
+
+        def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = np.zeros(1 << BITS)
+            w[at] = value
+            for b in batches:
+                x = [w[np.asarray(p.values)].sum() + bias for p in b.column("places")]
+                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.float64())], names=["y", "logit"])
+
+        # No more rows than one in CALIBRATION of max_rows, about.
+        own = rows.filter(apart).mapInArrow(logits, "y int, logit double").toPandas()
+        cut = cut_between(own["logit"].to_numpy(), own["y"].to_numpy())
+        bias += 0.0 if cut is None else math.log(THRESHOLD / (1 - THRESHOLD)) - cut
     return weights, bias
 
 
