@@ -102,10 +102,14 @@ def assign_laps(samples: DataFrame, laps: DataFrame, inclusive: bool = False) ->
     """Samples with lap_num, start_tc and end_tc of their lap, half-open; rows outside laps go.
 
     ``inclusive`` (P1) also gives a sample on a lap's end to that lap. Samples keep all columns.
+    A session's laps (tens) are one sorted array that its samples meet by session: samples are
+    neither sorted nor gathered, so a long session may be split over tasks.
     """
-    starts = laps.select("session_id", F.col("start_tc").alias("tc"), "lap_num", "end_tc").filter("end_tc > tc")
-    found = asof(samples, starts, ("session_id",), "tc", ("lap_num", "end_tc")).filter("tc < prev_end_tc")
-    found = found.select(*samples.columns, F.col("prev_lap_num").alias("lap_num"), F.col("prev_tc").alias("start_tc"), F.col("prev_end_tc").alias("end_tc"))
+    lap = F.struct(F.col("start_tc").cast("double").alias("start_tc"), F.col("lap_num").alias("lap_num"), F.col("end_tc").alias("end_tc"))
+    own = laps.filter("end_tc > start_tc").groupBy("session_id").agg(F.array_sort(F.collect_list(lap)).alias("_laps"))
+    last = F.try_element_at(F.filter("_laps", lambda x: x.start_tc <= F.col("tc")), F.lit(-1))
+    found = samples.join(own, "session_id").withColumn("_lap", last).filter(F.col("tc") < F.col("_lap.end_tc"))
+    found = found.select(*samples.columns, *[F.col(f"_lap.{c}").alias(c) for c in ("lap_num", "start_tc", "end_tc")])
     if inclusive:
         ends = laps.select("session_id", F.col("end_tc").alias("tc"), "lap_num", "start_tc", "end_tc").filter("end_tc > start_tc")
         found = found.unionByName(samples.join(ends, ["session_id", "tc"]).select(*samples.columns, "lap_num", "start_tc", "end_tc"))

@@ -6,16 +6,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .align import align
+from ..functions.units import convert_units
+from ..sources.storage import kept
+from .align import align, grid
 from .reports import finite_channels, finite_only
 
 
 @dataclass
 class Derived:
-    """A channel by expression. ``deps`` maps names in the expression to channels."""
+    """A channel by expression. ``deps`` maps names in the expression to channels, ``units`` some of them to a unit.
+
+    nan_min(a, b) and nan_max(a, b) are functions of the expression: NaN if either is.
+    """
 
     name: str
     expr: str
@@ -23,16 +28,14 @@ class Derived:
     rate: float | None = None
     enabled: bool = True
     hold: set[str] = field(default_factory=set)
+    units: dict[str, str] = field(default_factory=dict)
 
 
-def nan_min(a: Column, b: Column) -> Column:
-    """the lesser; NULL or NaN if either is."""
-    return F.when(a.isNull() | b.isNull(), None).when(F.isnan(a) | F.isnan(b), float("nan")).otherwise(F.least(a, b))
-
-
-def nan_max(a: Column, b: Column) -> Column:
-    """the greater; NULL or NaN if either is."""
-    return F.when(a.isNull() | b.isNull(), None).when(F.isnan(a) | F.isnan(b), float("nan")).otherwise(F.greatest(a, b))
+def _nan_rules(spark: SparkSession) -> None:
+    """SQL functions nan_min and nan_max for expressions; least and greatest alone order NaN as a number."""
+    for name, pick in (("nan_min", "least"), ("nan_max", "greatest")):
+        rule = f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN isnan(a) OR isnan(b) THEN double('NaN') ELSE {pick}(a, b) END"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN {rule}")
 
 
 def ordered(derived: list[Derived]) -> list[Derived]:
@@ -65,18 +68,32 @@ def derive_channels(samples: DataFrame, derived: list[Derived], strict: bool = T
     """Samples of the derived channels.
 
     Each is a Spark SQL expression over its dependencies, aligned at their timecodes or on a grid;
-    it may refer to other derived channels, not in a cycle. Values that aren't finite drop the
-    session's whole channel (``strict``) or only their rows. A missing channel is NULL.
+    it may refer to other derived channels, not in a cycle. A dependency with a unit (F6) is converted
+    from the samples' ``units``; where that can't be, it has no rows. Without dependencies the grid is
+    once a second. Values that aren't finite drop the session's whole channel (``strict``) or
+    only their rows. A missing channel is NULL.
     """
-    have, out = samples.select("session_id", "channel", "tc", "value"), None
+    _nan_rules(samples.sparkSession)
+    units = F.col("units") if "units" in samples.columns else F.lit(None).cast("string").alias("units")
+    have, out = samples.select("session_id", "channel", "tc", "value", units), None
     for d in ordered(derived):
-        wide = align(have, {c: c not in d.hold for c in dict.fromkeys(d.deps.values())}, d.rate)
-        wide = wide.select("session_id", "tc", *[F.col(f"`{c}`").alias(n) for n, c in d.deps.items()])
-        own = wide.select("session_id", F.lit(d.name).alias("channel"), "tc", F.expr(d.expr).cast("double").alias("value")).filter("value IS NOT NULL")
-        own = finite_channels(own) if strict else finite_only(own)
-        have = have.filter(F.col("channel") != d.name).unionByName(own)
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else have.limit(0)
+        own, names = have, {n: (c, d.units.get(n)) for n, c in d.deps.items()}
+        if d.units:
+            wanted = samples.sparkSession.createDataFrame([(c, u) for c, u in set(names.values()) if u], "channel string, to_units string")
+            there = convert_units(have, F.broadcast(wanted)).withColumn("channel", F.concat("channel", F.lit(" ["), "units", F.lit("]")))
+            own = have.unionByName(there)
+        label = {n: c if u is None else f"{c} [{u}]" for n, (c, u) in names.items()}
+        if d.deps:
+            wide = align(own, {label[n]: c not in d.hold for n, (c, _) in names.items()}, d.rate)
+        else:
+            wide = grid(have, d.rate or 1.0)
+        wide = wide.select("session_id", "tc", *[F.col(f"`{c}`").alias(n) for n, c in label.items()])
+        made = wide.select("session_id", F.lit(d.name).alias("channel"), "tc", F.expr(d.expr).cast("double").alias("value")).filter("value IS NOT NULL")
+        # Written, so that channels that refer to each other don't multiply the plan.
+        made = kept(finite_channels(made) if strict else finite_only(made), "derived")
+        have = have.filter(F.col("channel") != d.name).unionByName(made.withColumn("units", F.lit(None).cast("string")))
+        out = made if out is None else out.unionByName(made)
+    return out if out is not None else have.drop("units").limit(0)
 
 
 _functions: dict[str, Callable[[pd.DataFrame], pd.Series]] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .align import asof, interp_join
+from .align import asof, assign_laps, interp_join
 
 
 def _by_session() -> WindowSpec:
@@ -124,6 +124,13 @@ def with_lap_distances(laps: DataFrame, dist_map: DataFrame, grid_ms: float = 10
     return laps.join(d, ["session_id", "lap_num"])
 
 
+def slice_distance(samples: DataFrame, laps: DataFrame, dist_map: DataFrame, lo: float, hi: float, offset: float = 0.0, grid_ms: float = 10.0) -> DataFrame:
+    """P2 by distance: samples of each lap (laps with start_dist) in [lo, hi) metres after its start plus ``offset``; adds ``dist`` and ``rel``."""
+    own = assign_laps(samples, laps).join(laps.select("session_id", "lap_num", "start_dist"), ["session_id", "lap_num"])
+    own = time_to_dist(own, dist_map, grid_ms).withColumn("rel", F.col("dist") - F.col("start_dist") - F.lit(offset))
+    return own.filter((F.col("rel") >= lo) & (F.col("rel") < hi)).drop("start_dist")
+
+
 def time_slip(laps: DataFrame, reference: DataFrame, dist_map: DataFrame, step_m: float, grid_ms: float = 10.0) -> DataFrame:
     """Seconds lost to the session's reference lap at equal distance from the lap's start.
 

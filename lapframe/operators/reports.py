@@ -142,17 +142,28 @@ def axis_ranges(samples: DataFrame, laps: DataFrame) -> DataFrame:
     return r.select("channel", (F.col("a") - pad).alias("lo"), (F.col("b") + pad).alias("hi"))
 
 
-def values_at_cursor(samples: DataFrame, laps: DataFrame, channels: dict[str, bool], position: float) -> DataFrame:
-    """Every channel at one time after each lap's start; True interpolates, False holds; with the gap to the session's first lap."""
-    at = laps.select("session_id", "lap_num", (F.col("start_tc") + position).alias("tc"), "end_tc").filter("tc < end_tc").drop("end_tc")
+def values_at_cursor(samples: DataFrame, laps: DataFrame, channels: dict[str, bool], position: float, dist_map: DataFrame | None = None, baseline: int | None = None, grid_ms: float = 10.0) -> DataFrame:
+    """Every channel at one time after each lap's start; True interpolates, False holds.
+
+    With a ``dist_map`` the position is a distance (laps with start_dist, end_dist). ``delta`` is the gap to lap number
+    ``baseline``, or else to the session's first lap.
+    """
+    if dist_map is None:
+        at = laps.select("session_id", "lap_num", (F.col("start_tc") + position).alias("tc"), "end_tc").filter("tc < end_tc").drop("end_tc")
+    else:
+        at = laps.withColumn("dist", F.col("start_dist") + position).filter("dist < end_dist").select("session_id", "lap_num", "dist")
+        at = dist_to_time(at, dist_map, grid_ms).drop("dist")
     at = at.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
     lines = [c for c, linear in channels.items() if linear]
     own = samples.filter(F.col("channel").isin(*channels))
     a = interp_join(at.filter(F.col("channel").isin(*lines)), own)
     b = hold_join(at.filter(~F.col("channel").isin(*lines)), own)
     both = a.unionByName(b)
-    first = F.first("value").over(_by_series().orderBy("lap_num").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("delta", F.col("value") - first).select("session_id", "lap_num", "channel", "value", "delta")
+    if baseline is None:
+        base = F.first("value").over(_by_series().orderBy("lap_num").rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        base = F.max(F.when(F.col("lap_num") == baseline, F.col("value"))).over(_by_series())
+    return both.withColumn("delta", F.col("value") - base).select("session_id", "lap_num", "channel", "value", "delta")
 
 
 def robust_offset(df: DataFrame, within: float = 10.0) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.geo import bearing, cell, lla_to_ecef, mercator
-from .distance import build_dist_map
+from ..sources.storage import kept
+from .distance import build_dist_map, resample_by_distance
+from .laps import best_lap
 
 
 def _by_tc() -> WindowSpec:
@@ -100,12 +102,34 @@ def segments(track_points: DataFrame) -> DataFrame:
     return nxt.filter("lat1 IS NOT NULL").select("track_id", "seq", "lat", "lon", "lat1", "lon1")
 
 
-def nearest_on_track(points: DataFrame, track_points: DataFrame, max_dist: float = 30.0) -> DataFrame:
-    """Per point (session_id, tc, lat, lon, track_id) the closest track segment within ``max_dist`` metres.
+#: Metres in which nearest_on_track looks first; and no two places on earth are further apart than that.
+FIRST_LOOK, FURTHEST = 30.0, 20_100_000.0
 
-    Adds idx (segment and part of it) and off (metres); points further off have NULLs. Segments are met
-    through grid cells at least ``max_dist`` wide, each segment in every cell that its box reaches, so a
-    point compares with its own cell's segments only.
+
+def nearest_on_track(points: DataFrame, track_points: DataFrame, max_dist: float | None = None) -> DataFrame:
+    """Per point (session_id, tc, lat, lon, track_id) the closest segment of its track, within ``max_dist`` metres if given.
+
+    Adds idx (segment and part of it) and off (metres). Points that find nothing near look again eight times
+    as far, until all have found a segment; so only far points meet wide cells. Of a track without
+    segments, or beyond ``max_dist``, both are NULL.
+    """
+    within = min(max_dist or FIRST_LOOK, FURTHEST)
+    found = _nearest_within(points, track_points, within)
+    if max_dist is not None:
+        return found
+    # Each look is written once: the next one reads the points that are left.
+    found = kept(found, "near")
+    done = found.filter("off IS NOT NULL")
+    while within < FURTHEST and found.filter("off IS NULL").limit(1).count():
+        within = min(within * 8, FURTHEST)
+        found = kept(_nearest_within(found.filter("off IS NULL").select(*points.columns), track_points, within), "near")
+        done = done.unionByName(found.filter("off IS NOT NULL"))
+    return done.unionByName(found.filter("off IS NULL"))
+
+
+def _nearest_within(points: DataFrame, track_points: DataFrame, max_dist: float) -> DataFrame:
+    """The closest segment within ``max_dist``. Segments are met through grid cells at least that wide, each
+    segment in every cell that its box reaches, so a point compares with its own cell's segments only.
     """
     size = max(max_dist, 50.0) / 111_000.0  # degrees of latitude; a degree of longitude is no longer
     lon_size = size * 2.5  # up to 66 degrees of latitude a cell stays at least as wide
@@ -148,53 +172,58 @@ def match_track(paths: DataFrame, track_points: DataFrame, max_off: float = 15.0
 def turn_rate(path: DataFrame, spacing_m: float = 1.0) -> DataFrame:
     """Signed turn rate along a path (track_id, seq, lat, lon, speed), sampled every ``spacing_m`` metres.
 
-    Bearing over 4 m, its change over 10 m brought to ±180, times speed, then a sliding mean of four.
+    Bearing over 4 m, its change over 10 m brought to ±180, times the speed half-way, then a sliding mean
+    of four; each at the middle of what it is taken from. NULL where the path is too short for that.
     """
     w = Window.partitionBy("track_id").orderBy("seq")
     a, b = max(1, round(4 / spacing_m)), max(1, round(10 / spacing_m))
+    half = a // 2 + b // 2
     x = path.withColumn("brg", bearing(F.col("lat"), F.col("lon"), F.lead("lat", a).over(w), F.lead("lon", a).over(w)))
     change = F.pmod(F.lead("brg", b).over(w) - F.col("brg") + 180, F.lit(360.0)) - 180
-    x = x.withColumn("raw", change * F.col("speed")).withColumn("rate", F.avg("raw").over(w.rowsBetween(-3, 0)))
+    four = w.rowsBetween(-half - 1, 2 - half)
+    x = x.withColumn("raw", change * F.lead("speed", half).over(w))
+    x = x.withColumn("rate", F.when(F.count("raw").over(four) == 4, F.avg("raw").over(four)))
     return x.select("track_id", "seq", "lat", "lon", "rate")
 
 
 def segment_track(turns: DataFrame, limit: float = 150.0, min_straight: float = 25.0, min_turn: float = 10.0, spacing_m: float = 1.0) -> DataFrame:
     """Segments of each track (track_id, seq, rate): (seg, name, kind, start_seq, end_seq).
 
-    Runs above ``limit`` are right turns, below minus it left turns, else straights. Straights under 25 m
-    between turns of one side join them; between opposite turns they are split in the middle;
-    turns under 10 m become straight. The loop over a track's tens of runs is one grouped call.
+    Runs above ``limit`` are right turns, below minus it left turns, else straights. Of the runs but the first
+    two and the last, from the end: straights under 25 m between turns of one side join them; between
+    opposite turns they are split where the rate first changes its sign, and stay if it doesn't; then
+    turns under 10 m go to the run before, with the run after. Rows without a rate are left out. The
+    loop over a track's tens of runs is one grouped call.
     """
+    turns = turns.filter("rate IS NOT NULL")
     kind = F.when(F.col("rate") > limit, "R").when(F.col("rate") < -limit, "L").otherwise("S")
     w = Window.partitionBy("track_id").orderBy("seq")
     x = turns.withColumn("kind", kind).withColumn("new", (F.col("kind") != F.coalesce(F.lag("kind").over(w), F.lit(""))).cast("int"))
     x = x.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = x.groupBy("track_id", "run").agg(F.first("kind").alias("kind"), F.min("seq").alias("a"), (F.max("seq") + 1).alias("b"))
+    crossed = (F.col("new") == 0) & ((F.col("rate") > 0) != (F.lag("rate").over(w) > 0))
+    x = x.withColumn("cross", F.when(crossed, F.col("seq")))
+    runs = x.groupBy("track_id", "run").agg(F.first("kind").alias("kind"), F.min("seq").alias("a"), (F.max("seq") + 1).alias("b"), F.min("cross").alias("cross"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = [[k, int(a), int(b)] for k, a, b in pdf.sort_values("run")[["kind", "a", "b"]].itertuples(index=False)]
-
-        def joined(rows):
-            out = []
-            for row in rows:
-                if out and out[-1][0] == row[0]:
-                    out[-1][2] = row[2]
-                else:
-                    out.append(list(row))
-            return out
-
-        i = 1
-        while i < len(r) - 1:
-            if r[i][0] == "S" and (r[i][2] - r[i][1]) * spacing_m < min_straight and r[i - 1][0] != "S" and r[i + 1][0] != "S":
-                if r[i - 1][0] == r[i + 1][0]:
-                    r[i - 1 : i + 2] = [[r[i - 1][0], r[i - 1][1], r[i + 1][2]]]
-                else:
-                    mid = (r[i][1] + r[i][2]) // 2
-                    r[i - 1][2] = r[i + 1][1] = mid
-                    del r[i]
-            else:
-                i += 1
-        r = joined([["S" if k != "S" and (b - a) * spacing_m < min_turn else k, a, b] for k, a, b in r])
+        rows = pdf.sort_values("run")[["kind", "a", "b", "cross"]]
+        r = [[k, int(a), int(b), None if pd.isna(c) else int(c)] for k, a, b, c in rows.itertuples(index=False)]
+
+        def joined(i: int) -> None:  # the run before takes this one and the next
+            r[i - 1][2] = r[i + 1][2]
+            del r[i : i + 2]
+
+        for i in range(len(r) - 2, 1, -1):
+            if i > len(r) - 2 or r[i][0] != "S" or (r[i][2] - r[i][1]) * spacing_m >= min_straight:
+                continue
+            if r[i - 1][0] == r[i + 1][0]:
+                joined(i)
+            elif r[i][3] is not None:
+                r[i - 1][2] = r[i + 1][1] = r[i][3]
+                del r[i]
+        for i in range(len(r) - 2, 1, -1):
+            if i <= len(r) - 2 and r[i][0] != "S" and (r[i][2] - r[i][1]) * spacing_m < min_turn:
+                joined(i)
+        r = [row[:3] for row in r]
         names, turn = [], 0
         total = sum(k != "S" for k, *_ in r)
         for k, *_ in r:
@@ -219,15 +248,33 @@ def reinsert_laps(fixes: DataFrame, speed: DataFrame, lines: DataFrame, length:
     return laps, build_dist_map(speed, laps, grid_ms, length)
 
 
+def best_lap_path(samples: DataFrame, laps: DataFrame, dist_map: DataFrame, lat: str, lon: str, speed: str, alt: str | None = None, step_m: float = 1.0, grid_ms: float = 10.0) -> DataFrame:
+    """The best lap (A6) of each session of at least three laps as a closed path every ``step_m`` metres.
+
+    ``laps`` have start_dist and end_dist. Columns: track_id (the session), seq, lat, lon, alt (0 without the channel), speed.
+    """
+    many = laps.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("session_id")
+    best = best_lap(laps.join(many, "session_id")).select("session_id", "lap_num").join(laps, ["session_id", "lap_num"])
+    names = [c for c in (lat, lon, speed, alt) if c]
+    even = resample_by_distance(samples.filter(F.col("channel").isin(*names)), best, dist_map, step_m, grid_ms)
+    wide = even.groupBy("session_id", "i").pivot("channel", names).agg(F.first("value"))
+    rows = wide.select(F.col("session_id").alias("track_id"), F.col("i").alias("seq"), F.col(f"`{lat}`").alias("lat"), F.col(f"`{lon}`").alias("lon"), (F.col(f"`{alt}`") if alt else F.lit(0.0)).alias("alt"), F.col(f"`{speed}`").alias("speed"))
+    rows = rows.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    return close_loop(rows).join(rows.select("track_id", "seq", "alt", "speed"), ["track_id", "seq"])
+
+
 def build_track(path: DataFrame, spacing_m: float = 1.0, point_m: float = 10.0, limit: float = 150.0) -> tuple[DataFrame, DataFrame]:
     """A track's points and segments from its best lap's path (track_id, seq, lat, lon, speed), evenly spaced by distance.
 
-    Points stand every ``point_m`` metres; segments carry their start's distance (O3 orders by it).
+    Points stand every ``point_m`` metres. Segments carry their start's position, and its distance along the
+    points (J7; O3 orders by it).
     """
     every = max(1, round(point_m / spacing_m))
     points = path.filter(F.pmod(F.col("seq"), F.lit(every)) == 0).select("track_id", (F.col("seq") / every).cast("long").alias("seq"), "lat", "lon", (F.col("seq") * F.lit(float(spacing_m))).alias("dist"))
     parts = segment_track(turn_rate(path, spacing_m), limit, spacing_m=spacing_m)
-    return points, parts.withColumn("dist", F.col("start_seq") * F.lit(float(spacing_m)))
+    marks = parts.join(path.select("track_id", F.col("seq").alias("start_seq"), "lat", "lon"), ["track_id", "start_seq"])
+    on = nearest_on_track(marks.select(F.col("track_id").alias("session_id"), F.col("seg").alias("tc"), "track_id", "lat", "lon"), points)
+    return points, marks.join(on.select("track_id", F.col("tc").alias("seg"), (F.col("idx") * F.lit(float(every * spacing_m))).alias("dist")), ["track_id", "seg"])
 
 
 def close_loop(path: DataFrame, within: float = 20.0) -> DataFrame:

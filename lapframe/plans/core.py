@@ -64,6 +64,23 @@ def p2(spark, sf):
     return out(align.slice_window(fx.samples(spark, sf), fx.laps(spark, sf), 1000, 60000, 500).select("session_id", "channel", "tc", "lap_num", "rel"))
 
 
+_BY_DIST = """
+WITH s AS (SELECT x.session_id, x.channel, x.tc, l.lap_num, l.start_dist FROM fx_samples x JOIN fx_dlaps l ON x.session_id = l.session_id AND x.tc >= l.start_tc AND x.tc < l.end_tc),
+d AS (
+  SELECT s.*, CASE WHEN floor(s.tc / 1000) >= k_last THEN d_last ELSE a.dist + (s.tc / 1000 - floor(s.tc / 1000)) * (b.dist - a.dist) END AS dist
+  FROM s JOIN fx_top USING (session_id)
+  LEFT JOIN fx_dist a ON a.session_id = s.session_id AND a.k = CAST(floor(s.tc / 1000) AS BIGINT)
+  LEFT JOIN fx_dist b ON b.session_id = s.session_id AND b.k = CAST(floor(s.tc / 1000) AS BIGINT) + 1)
+SELECT session_id, channel, round(tc, 2) AS tc, lap_num, round(dist - start_dist, 2) + 0.0 AS rel FROM d WHERE dist - start_dist >= 1000 AND dist - start_dist < 60000"""
+
+
+@query("p2_slice_distance", _BY_DIST)
+def p2b(spark, sf):
+    lp, m = fx.mapped_laps(spark, sf)
+    own = distance.slice_distance(fx.samples(spark, sf), fx.kept(lp, "mapped_laps"), m, 1000, 60000, grid_ms=fx.GRID_MS)
+    return out(own.select("session_id", "channel", "tc", "lap_num", "rel"), 2)
+
+
 @query("p5_finite_channels", "SELECT session_id, channel, count(*) AS n FROM fx_samples GROUP BY ALL HAVING bool_and(value IS NOT NULL AND isfinite(value) AND value < 450)")
 def p5(spark, sf):
     s = fx.samples(spark, sf).withColumn("value", F.when(F.col("value") < 450, F.col("value")).otherwise(float("inf")))
@@ -106,8 +123,9 @@ ASOF LEFT JOIN fx_dist b ON p.session_id = b.session_id AND p.dist < b.dist"""
 
 @query("j5_dist_to_time", f"SELECT session_id, lap_num, rel, round(CASE WHEN k0 IS NULL THEN 0.0 WHEN k1 IS NULL THEN k0 * 1000.0 ELSE (k0 + (dist - d0) / (d1 - d0)) * 1000 END, 1) AS tc FROM ({_INV})")
 def j5b(spark, sf):
-    p = fx.dist_laps(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("rel", F.col("i") * 20000.0).withColumn("dist", F.col("start_dist") + F.col("rel")).filter("dist < end_dist")
-    return out(distance.dist_to_time(p.select("session_id", "lap_num", "rel", "dist"), fx.dist_map(spark, sf), fx.GRID_MS).drop("dist"), 1)
+    lp, m = fx.mapped_laps(spark, sf)
+    p = lp.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("rel", F.col("i") * 20000.0).withColumn("dist", F.col("start_dist") + F.col("rel")).filter("dist < end_dist")
+    return out(distance.dist_to_time(p.select("session_id", "lap_num", "rel", "dist"), m, fx.GRID_MS).drop("dist"), 1)
 
 
 @query("w2_laps_from_counter", "SELECT session_id, lap_num, round(start_tc, 6) AS start_tc, round(end_tc, 6) AS end_tc FROM fx_laps")
@@ -179,7 +197,7 @@ def o2(spark, sf):
 
 @query("w11_lap_table", f"SELECT l.session_id, l.lap_num, round(l.start_tc, 6) AS start_tc, round(l.end_tc - l.start_tc, 6) AS duration, round(l.end_tc - l.start_tc - b.dur, 6) AS delta, round(l.end_tc - l.start_tc - (SELECT min(dur) FROM {_BEST}), 6) AS fleet_delta, l.lap_num = b.lap_num AS is_best FROM fx_dlaps l LEFT JOIN {_BEST} b ON l.session_id = b.session_id")
 def w11(spark, sf):
-    lp = fx.dist_laps(spark, sf)
+    lp = fx.kept(fx.dist_laps(spark, sf), "mapped_laps")
     return out(laps.lap_table(lp, laps.best_lap(lp)))
 
 
@@ -193,9 +211,10 @@ SELECT session_id, lap_num, rel, round(CASE WHEN lap_num <> ref_num THEN (max(t)
 
 @query("j6_time_slip", _SLIP)
 def j6(spark, sf):
-    lp = fx.dist_laps(spark, sf)
+    lp, m = fx.mapped_laps(spark, sf)
+    lp = fx.kept(lp, "mapped_laps")
     best = laps.best_lap(lp).select("session_id", "lap_num").join(lp, ["session_id", "lap_num"])
-    return out(distance.time_slip(lp, best, fx.dist_map(spark, sf), 50000, fx.GRID_MS), 3)
+    return out(distance.time_slip(lp, best, m, 50000, fx.GRID_MS), 3)
 
 
 @query("a8_downsample_minmax", "WITH b AS (SELECT session_id, channel, CAST(round_even(tc * 0.00001, 0) AS BIGINT) AS bucket, min(value) AS lo, max(value) AS hi, arg_min(value, tc) AS f, arg_max(value, tc) AS l FROM fx_samples GROUP BY ALL), h AS (SELECT *, lag(l) OVER (PARTITION BY session_id, channel ORDER BY bucket) AS p FROM b) SELECT session_id, channel, bucket, round(least(lo, coalesce(p, lo)), 6) AS min_value, round(greatest(hi, coalesce(p, hi)), 6) AS max_value, round(f, 6) AS first_value, round(l, 6) AS last_value FROM h")

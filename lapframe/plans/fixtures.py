@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.distance import build_dist_map, with_lap_distances
 from ..operators.laps import laps_from_counter
+from ..sources.storage import kept
 
 GRID_MS = 1000.0
 
@@ -52,11 +53,18 @@ def speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dist_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_dist_map(speed(spark, sf_dir), laps(spark, sf_dir), GRID_MS)
+    return build_dist_map(speed(spark, sf_dir), kept(laps(spark, sf_dir), "laps"), GRID_MS)
+
+
+def mapped_laps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Laps with distances, and the distance map: each built once and kept for what follows."""
+    own = kept(laps(spark, sf_dir), "laps")
+    found = kept(build_dist_map(speed(spark, sf_dir), own, GRID_MS), "dist_map")
+    return with_lap_distances(own, found, GRID_MS), found
 
 
 def dist_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_lap_distances(laps(spark, sf_dir), dist_map(spark, sf_dir), GRID_MS)
+    return mapped_laps(spark, sf_dir)[0]
 
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:

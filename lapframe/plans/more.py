@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import align, derive, distance, laps, normalize, reports, tracks
 from ..sources import catalog, storage, text_logs
+from ..sources.storage import scratch
 from ..streaming import jobs
 from . import fixtures as fx
 from .fixtures import out, sql
@@ -29,17 +28,6 @@ def query(name: str, text: str | None = None):
     return keep
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder for checkpoints; in local mode without one, a folder of our own."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lapframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Normalisation -----------------------------------------------------------------------------------
 
 
@@ -215,8 +203,16 @@ def w13(spark, sf):
 
 @query("w10_build_track")
 def w10(spark, sf):
-    p = fx.fixes(spark, sf).select(F.col("session_id").alias("track_id"), (F.col("tc") / 1000).cast("long").alias("seq"), "lat", "lon", F.lit(30.0).alias("speed"))
-    points, parts = tracks.build_track(p, 4.0, 40.0, 20.0)
+    # Laps between crossings of the start line; speed is the way from fix to fix.
+    fixes = fx.fixes(spark, sf)
+    lp = fx.kept(tracks.laps_from_gps(fixes, _line(spark, sf)), "gps_laps")
+    w = Window.partitionBy("session_id").orderBy("tc")
+    dy, dx = (F.lead("lat").over(w) - F.col("lat")) * 111_195, (F.lead("lon").over(w) - F.col("lon")) * 78_627
+    moved = fixes.withColumn("speed", F.coalesce(F.sqrt(dy * dy + dx * dx), F.lit(30.0)))
+    m = fx.kept(distance.build_dist_map(moved.select("session_id", "tc", F.col("speed").alias("value")), lp, fx.GRID_MS), "gps_map")
+    s = moved.unpivot(["session_id", "tc"], ["lat", "lon", "speed"], "channel", "value")
+    path = fx.kept(tracks.best_lap_path(s, distance.with_lap_distances(lp, m, fx.GRID_MS), m, "lat", "lon", "speed", grid_ms=fx.GRID_MS), "paths")
+    points, parts = tracks.build_track(path, limit=40.0)
     return out(points.groupBy("track_id").agg(F.count(F.lit(1)).alias("points")).join(parts.groupBy("track_id").agg(F.count(F.lit(1)).alias("parts"), F.max("dist").alias("last_dist")), "track_id"), 3)
 
 
@@ -234,21 +230,49 @@ def _track(spark, sf):
     return t.select("track_id", "seq", (45 + 0.004 * F.sin(a)).alias("lat"), (9 + 0.006 * F.cos(a)).alias("lon"))
 
 
-@query("j7_nearest_on_track", None)
+_M = "(pi() / 180 * 6371008.8)"
+# Every point with every segment of its track.
+_NEAREST = f"""
+WITH t AS (SELECT i AS seq, 45 + 0.004 * sin(2 * pi() * i / 180) AS lat, 9 + 0.006 * cos(2 * pi() * i / 180) AS lon FROM (SELECT unnest(range(0, 181)) AS i)),
+seg AS (SELECT seq, lat, lon, lead(lat) OVER (ORDER BY seq) AS lat1, lead(lon) OVER (ORDER BY seq) AS lon1 FROM t QUALIFY lat1 IS NOT NULL),
+d AS (
+  SELECT p.session_id, p.tc, seq,
+         (s.lon - p.lon) * cos(radians(p.lat)) * {_M} AS ax, (s.lat - p.lat) * {_M} AS ay,
+         (s.lon1 - s.lon) * cos(radians(p.lat)) * {_M} AS dx, (s.lat1 - s.lat) * {_M} AS dy
+  FROM fx_fixes p, seg s),
+e AS (SELECT *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS u FROM d)
+SELECT session_id, tc, session_id % 7 AS track_id,
+       round(arg_min(seq + u, (ax + u * dx) * (ax + u * dx) + (ay + u * dy) * (ay + u * dy)), 3) AS idx,
+       round(min(sqrt((ax + u * dx) * (ax + u * dx) + (ay + u * dy) * (ay + u * dy))), 3) AS off
+FROM e GROUP BY session_id, tc"""
+
+
+@query("j7_nearest_on_track", _NEAREST)
 def j7(spark, sf):
     p = fx.fixes(spark, sf).withColumn("track_id", F.col("session_id") % 7)
-    return out(tracks.nearest_on_track(p, _track(spark, sf)).select("session_id", "tc", "track_id", "idx", "off"), 4)
+    return out(tracks.nearest_on_track(p, _track(spark, sf)).select("session_id", "tc", "track_id", "idx", "off"), 3)
 
 
 @query("j8_match_track", "SELECT DISTINCT user_id AS session_id, 0 AS track_id FROM events")
 def j8(spark, sf):
     own = _track(spark, sf).filter("track_id = 0")
     away = own.withColumn("track_id", F.lit(1).cast("long")).withColumn("lat", F.col("lat") + 0.002)
-    path = fx.fixes(spark, sf).filter("tc < 55000").select("session_id", "tc", "lat", "lon")
+    path = fx.fixes(spark, sf).select("session_id", "tc", "lat", "lon")
     return tracks.match_track(path, own.withColumn("track_id", F.col("track_id").cast("long")).unionByName(away)).select("session_id", "track_id")
 
 
-@query("w8_turn_rate")
+# Bearing over one point of 4 m, change over two, speed one point on, mean of four around that.
+_TURNS = """
+WITH p AS (SELECT session_id AS track_id, CAST(tc / 1000 AS BIGINT) AS seq, radians(lat) AS a, radians(lon) AS o FROM fx_fixes),
+n AS (SELECT *, lead(a) OVER w AS a1, lead(o) OVER w AS o1 FROM p WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+b AS (SELECT track_id, seq, a, o, degrees(atan2(cos(a1) * sin(o1 - o), cos(a) * sin(a1) - sin(a) * cos(a1) * cos(o1 - o))) AS brg FROM n),
+c AS (SELECT *, lead(brg, 2) OVER (PARTITION BY track_id ORDER BY seq) - brg AS turn FROM b),
+r AS (SELECT *, ((turn + 540) - 360 * floor((turn + 540) / 360) - 180) * 30 AS raw FROM c),
+m AS (SELECT *, avg(raw) OVER w AS rate, count(raw) OVER w AS n FROM r WINDOW w AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))
+SELECT track_id, seq, round(degrees(a), 4) AS lat, round(degrees(o), 4) AS lon, CASE WHEN n = 4 THEN round(rate, 4) + 0.0 END AS rate FROM m"""
+
+
+@query("w8_turn_rate", _TURNS)
 def w8(spark, sf):
     p = fx.fixes(spark, sf).select(F.col("session_id").alias("track_id"), (F.col("tc") / 1000).cast("long").alias("seq"), "lat", "lon", F.lit(30.0).alias("speed"))
     return out(tracks.turn_rate(p, 4.0), 4)
@@ -273,17 +297,18 @@ SELECT session_id, lap_num, 'view' AS channel, i, round(CASE WHEN t0 IS NULL THE
 @query("w7_resample_by_distance", _EVEN)
 def w7(spark, sf):
     view = fx.samples(spark, sf).filter("channel = 'view'")
-    return out(distance.resample_by_distance(view, fx.dist_laps(spark, sf), fx.dist_map(spark, sf), 20000.0, fx.GRID_MS), 3)
+    lp, m = fx.mapped_laps(spark, sf)
+    return out(distance.resample_by_distance(view, lp, m, 20000.0, fx.GRID_MS), 3)
 
 
 # Sectors, pairs, cursors -------------------------------------------------------------------------
 
 
 def _sectors(spark, sf):
-    lp = fx.dist_laps(spark, sf)
+    lp, m = fx.mapped_laps(spark, sf)
     length = laps.lap_distances(lp).groupBy("session_id").agg(F.first("median_dist").alias("length"))
     marks = lp.select("session_id").distinct().join(length, "session_id").withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("session_id", "seq", F.concat(F.lit("S"), F.col("seq").cast("string")).alias("name"), (F.col("length") * F.col("seq") / 5).alias("dist"))
-    return reports.sector_times(lp, marks, fx.dist_map(spark, sf), length, fx.GRID_MS)
+    return reports.sector_times(lp, marks, m, length, fx.GRID_MS)
 
 
 _DL = "(SELECT *, end_dist - start_dist AS dist, row_number() OVER (PARTITION BY session_id ORDER BY lap_num) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM fx_dlaps)"
@@ -410,11 +435,7 @@ def a12(spark, sf):
 
 @query("o1_session_order", f"SELECT session_id, row_number() OVER (ORDER BY began, session_id) AS place FROM {_META}")
 def o1(spark, sf):
-    # Places within a day first, so that no window holds all sessions; then the days' counts add up.
-    s = _sessions(spark, sf).withColumn("day", F.to_date("started_at"))
-    own = s.withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy("started_at", "session_id")))
-    days = s.groupBy("day").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(days, "day").select("session_id", (F.col("i") + F.col("before")).cast("long").alias("place"))
+    return catalog.session_order(_sessions(spark, sf)).select("session_id", "place")
 
 
 @query("s4_catalog_changes", "SELECT change, count(*) AS n FROM (SELECT CASE WHEN user_id % 5 = 0 THEN 'new' WHEN user_id % 5 = 1 THEN 'deleted' WHEN user_id % 5 = 2 THEN 'changed' ELSE 'unchanged' END AS change FROM (SELECT DISTINCT user_id FROM events)) GROUP BY change")
@@ -547,11 +568,15 @@ def t3(spark, sf):
     return out(spark.read.schema(s.schema).parquet(path))
 
 
-@query("t1_stream_catalog", "SELECT 'wide text' AS format, true AS readable, count(DISTINCT user_id) AS n FROM events")
+@query(
+    "t1_stream_catalog",
+    "SELECT session_id, 'wide text' AS format, true AS readable, count(*) AS n_samples, round(sum(value), 2) AS total"
+    " FROM fx_samples WHERE channel IN ('click', 'view', 'purchase', 'signup', 'error') GROUP BY session_id",
+)
 def t1(spark, sf):
-    # A log for each session, written by Spark; the stream records each once.
-    users = fx.table(spark, sf, "events").select("user_id").distinct()
-    root, path = scratch(spark, "logs"), scratch(spark, "catalog")
-    users.select(F.col("user_id").alias("session_id"), F.lit("1,2").alias("value")).repartition("session_id").write.partitionBy("session_id").options(**LOG).csv(root)
-    jobs.stream_catalog(spark, root, path, scratch(spark, "catalog-state")).awaitTermination()
-    return spark.read.parquet(path).groupBy("format", "readable").agg(F.count(F.lit(1)).alias("n"))
+    # A log for each session, written by Spark; the stream takes each once, in batches.
+    path, kept = scratch(spark, "catalog"), scratch(spark, "ingested")
+    jobs.stream_catalog(spark, _wide_logs(spark, sf), path, scratch(spark, "catalog-state"), kept, max_files=100).awaitTermination()
+    files = _session(spark.read.parquet(path).select("path", "format", "readable", "n_samples"))
+    total = _session(spark.read.parquet(kept).select("path", "value")).groupBy("session_id").agg(F.sum("value").alias("total"))
+    return out(files.join(total, "session_id"), 2)

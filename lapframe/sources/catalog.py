@@ -42,9 +42,11 @@ def removed(new: DataFrame, old: DataFrame) -> DataFrame:
 def session_metadata(entries: DataFrame) -> DataFrame:
     """(session_id, format, key, value) rows to one row a session: metadata map, started_at, readable.
 
-    A session whose only row has a NULL key is unreadable and kept.
+    A session whose only row has a NULL key is unreadable and kept. Of several values of a key the
+    smallest counts.
     """
-    m = entries.groupBy("session_id", "format").agg(F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))).alias("metadata"))
+    one = entries.groupBy("session_id", "format", "key").agg(F.min("value").alias("value"))
+    m = one.groupBy("session_id", "format").agg(F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))).alias("metadata"))
     text = F.concat_ws(" ", F.try_element_at("metadata", F.lit("Log Date")), F.try_element_at("metadata", F.lit("Log Time")))
     at = F.lit(None).cast("timestamp")
     for name, pattern in STARTED.items():
@@ -88,9 +90,16 @@ def facets(sessions: DataFrame, keys: tuple[str, ...] = ("Venue", "Driver", "Veh
 
 
 def session_order(sessions: DataFrame) -> DataFrame:
-    """O1: sessions by start, then by date and time as text."""
+    """O1: sessions with their ``place`` by start, then by date and time as text; unknown starts come last.
+
+    Places within a day come first, so that no window holds all sessions; then the days' counts add up.
+    """
     text = F.concat_ws(" ", F.try_element_at("metadata", F.lit("Log Date")), F.try_element_at("metadata", F.lit("Log Time")))
-    return sessions.orderBy(F.asc_nulls_last("started_at"), text, "session_id")
+    s = sessions.withColumn("_day", F.to_date("started_at"))
+    own = s.withColumn("_i", F.row_number().over(Window.partitionBy("_day").orderBy("started_at", text, "session_id")))
+    by_day = Window.orderBy(F.asc_nulls_last("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = s.groupBy("_day").count().withColumn("_before", F.coalesce(F.sum("count").over(by_day), F.lit(0))).withColumnRenamed("_day", "_d")
+    return own.join(days, own["_day"].eqNullSafe(days["_d"])).select(*sessions.columns, (F.col("_i") + F.col("_before")).cast("long").alias("place"))
 
 
 def align_clock(sessions: DataFrame, recordings: DataFrame, leap_seconds: float = 18.0) -> DataFrame:

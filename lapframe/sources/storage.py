@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +33,21 @@ def read_samples(spark: SparkSession, path: str, sessions: list | None = None, c
     if channels is not None:
         df = df.filter(F.col("channel").isin(channels))
     return df.select("session_id", "channel", "tc", "value")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder for checkpoints; in local mode without one, a folder of our own."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lapframe-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the folder for checkpoints and read again, so that several uses build it once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

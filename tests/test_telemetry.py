@@ -126,8 +126,10 @@ def test_segments_of_a_track(spark):
 def test_nearest_on_track_and_far_points(spark):
     track = spark.createDataFrame([(1, i, 45.0, 9.0 + i * 0.001) for i in range(5)], "track_id long, seq int, lat double, lon double")
     p = spark.createDataFrame([(1, 0.0, 45.0001, 9.0015, 1), (1, 1.0, 46.0, 9.0, 1)], "session_id long, tc double, lat double, lon double, track_id long")
-    a, b = tracks.nearest_on_track(p, track).orderBy("tc").collect()
+    a, b = tracks.nearest_on_track(p, track, 30.0).orderBy("tc").collect()
     assert a.idx == pytest.approx(1.5, abs=1e-6) and a.off == pytest.approx(11.12, abs=0.01) and b.idx is None
+    a, b = tracks.nearest_on_track(p, track).orderBy("tc").collect()
+    assert a.off == pytest.approx(11.12, abs=0.01) and b.idx == 0 and b.off == pytest.approx(111_195, rel=1e-3)
 
 
 def test_turn_rate_of_a_circle_and_closed_loop(spark):
@@ -178,6 +180,57 @@ def test_text_logs_and_storage(spark, tmp_path):
     assert rows(storage.read_samples(spark, f"{tmp_path}/samples", [1], ["a", "b"]), "tc") == [(1, "a", 0.0, 1.0)]
 
 
+def test_headers_are_first_lines_and_metadata_of_logs(spark, tmp_path):
+    (tmp_path / "a.log").write_text('"Interval"|"ms","Utc"|"ms","Speed"|"km/h"\n100,1700000000000,1.5\n,9.9,7\n120,,2.5\n')
+    (tmp_path / "b.log").write_text('"Interval"|"ms","Speed"|"km/h"\n5,4\n')
+    (tmp_path / "c.log").write_text("File created on 03/02/2024 at 10:11:12\n")
+    got = text_logs.read_wide_log(spark, str(tmp_path), "*.log").filter("channel = 'Speed'").select("tc", "value")
+    assert rows(got, "value") == [(0.0, 1.5), (20.0, 2.5), (0.0, 4.0)]
+    m = text_logs.log_metadata(spark, str(tmp_path), "*.log").withColumnRenamed("path", "session_id")
+    by = {r.session_id[-5]: r for r in catalog.session_metadata(m).collect()}
+    assert by["a"].metadata == {"Log Date": "11/14/2023", "Log Time": "22:13:20"} and by["a"].started_at is not None
+    assert not by["b"].readable and by["c"].metadata == {"Log Date": "03/02/2024", "Log Time": "10:11:12"} and by["c"].format == "sectioned text"
+    twice = spark.createDataFrame([(1, "x", "Driver", "b"), (1, "x", "Driver", "a")], "session_id long, format string, key string, value string")
+    assert catalog.session_metadata(twice).first().metadata == {"Driver": "a"}
+
+
+def test_expressions_with_units_constants_and_nan_rules(spark):
+    s = spark.createDataFrame([(1, "v", 0.0, 36.0, "km/h"), (1, "v", 2000.0, 72.0, "km/h"), (1, "n", 0.0, float("nan"), "")], S + ", units string")
+    made = [derive.Derived("ms", "v", {"v": "v"}, units={"v": "m/s"}), derive.Derived("both", "v / w", {"v": "v", "w": "v"}, units={"w": "m/s"}), derive.Derived("three", "1 + 2", {}), derive.Derived("lost", "v", {"v": "v"}, units={"v": "bar"}), derive.Derived("low", "nan_min(v, 50)", {"v": "v"}), derive.Derived("nan", "nan_max(n, 1)", {"n": "n"})]
+    got = rows(derive.derive_channels(s, made), "channel", "tc")
+    near = [(r[1], r[2], round(r[3], 6)) for r in got]
+    assert near == [("both", 0.0, 3.6), ("both", 2000.0, 3.6), ("low", 0.0, 36.0), ("low", 2000.0, 50.0), ("ms", 0.0, 10.0), ("ms", 2000.0, 20.0), ("three", 0.0, 3.0), ("three", 1000.0, 3.0), ("three", 2000.0, 3.0)]
+
+
+def test_opposite_turns_are_split_where_the_rate_changes_sign(spark):
+    rate = [0] * 40 + [200] * 30 + [90, 60, 40, -10, -80, -100, -120, -140] + [-200] * 30 + [0] * 50
+    t = spark.createDataFrame([(1, i, float(r)) for i, r in enumerate(rate)] + [(1, 500, None)], "track_id long, seq long, rate double")
+    got = [(r.kind, r.start_seq, r.end_seq) for r in tracks.segment_track(t).orderBy("seg").collect()]
+    assert got == [("Straight", 0, 40), ("Right", 40, 73), ("Left", 73, 108), ("Straight", 108, 158)]
+
+
+def test_cursor_by_distance_and_baseline(spark):
+    lp = spark.createDataFrame([(1, k, 10_000.0 * k, 10_000.0 * (k + 1)) for k in range(4)], "session_id long, lap_num int, start_tc double, end_tc double")
+    v = spark.createDataFrame([(1, "v", t * 1000.0, 10.0) for t in range(41)] + [(1, "a", t * 1000.0, float(t)) for t in range(41)], S)
+    m = distance.build_dist_map(v.filter("channel = 'v'").select("session_id", "tc", "value"), lp, 100.0)
+    laps_ = distance.with_lap_distances(lp, m, 100.0)
+    got = rows(reports.values_at_cursor(v, laps_, {"a": True}, 50.0, m, 2, 100.0).select("lap_num", "value", "delta"), "lap_num")
+    assert [r[0] for r in got] == [0, 1, 2, 3]
+    assert all(r[1] == pytest.approx(10 * r[0] + 5, abs=0.11) and r[2] == pytest.approx(10.0 * (r[0] - 2), abs=0.11) for r in got)
+    part = distance.slice_distance(v.filter("channel = 'a'"), laps_, m, 20.0, 40.0, grid_ms=100.0)
+    assert {(r.lap_num, r.tc) for r in part.collect()} == {(k, 10_000.0 * k + x) for k in range(4) for x in (2000.0, 3000.0)}
+
+
+def test_tables_over_channels_and_inverse_positions(spark):
+    s = spark.createDataFrame([(1, c, float(t), float(t * k)) for t in range(6) for c, k in (("x", 1), ("y", 2), ("v", 10))], S)
+    cells = reports.value_table(s, "v", "x", "y", 2.0, 4.0, 60.0)
+    got = {(r.x_cell, r.y_cell): (r.mean_value, r.n) for r in cells.collect()}
+    assert got == {(0.0, 0.0): (5.0, 2), (2.0, 4.0): (20.0, 1), (4.0, 8.0): (40.0, 3)} and reports.matrix(cells).count() == 3
+    x, y = geo.mercator(F.lit(45.0), F.lit(9.0))
+    back = spark.range(1).select(*[c.alias(n) for n, c in zip("ab", geo.mercator_inverse(x, y), strict=True)]).first()
+    assert (back.a, back.b) == pytest.approx((45.0, 9.0))
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
