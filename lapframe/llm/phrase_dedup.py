@@ -144,23 +144,27 @@ class PassageAutomaton:
         number = np.where(self.words[i] == h, 2 + i % self.MOST, 1)
         return (number + 0x800 * (number >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
 
-    def spans(self, doc_id: int, h: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of words (given by their hashes) in windows that a passage of an earlier document has."""
+    def held(self, h: np.ndarray, first: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a piece of documents (word hashes, first words, ids) the windows that a passage of an earlier one has, and their rows."""
+        none = np.zeros(0, np.int64)
         n = len(h) - WINDOW + 1
         if self.empty or n <= 0:
-            return []
+            return none, none
         at = np.fromiter((end for end, _ in self.automaton.iter(self._text(h))), np.int64) - BLOCK + 1
         if not len(at):
-            return []
+            return none, none
         # A passage's window that holds the block whole begins at most WINDOW - BLOCK words before it.
         near = np.zeros(len(h) + 1, np.int64)
         np.add.at(near, np.maximum(at - (WINDOW - BLOCK), 0), 1)
         np.add.at(near, at + 1, -1)
         near = np.flatnonzero(np.cumsum(near)[:n] > 0)
+        row = np.searchsorted(first, near, side="right") - 1
+        inside = near + WINDOW <= first[row + 1]
+        near, row = near[inside], row[inside]
         w, check = phrase_hashes(h, WINDOW)[near], phrase_hashes(h, WINDOW, SEED)[near]
         i = np.minimum(np.searchsorted(self.windows, w), len(self.windows) - 1)
-        held = near[(self.windows[i] == w) & (self.checks[i] == check) & (self.owners[i] < doc_id)]
-        return _runs(held) if len(held) else []
+        same = (self.windows[i] == w) & (self.checks[i] == check) & (self.owners[i] < doc_ids[row])
+        return near[same], row[same]
 
 
 def passage_spans(docs: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
@@ -182,14 +186,15 @@ def passage_spans(docs: DataFrame, same: DataFrame, found: DataFrame) -> DataFra
     def stream(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         automaton = PassageAutomaton(parts["owner"].tolist(), parts["passage"].tolist())
         keys, starts_, ends_ = [], [], []
-        doc_ids, own_keys = own["doc_id"].tolist(), own["key"].tolist()
+        doc_ids, own_keys = own["doc_id"].to_numpy(), own["key"].tolist()
         for row, data, offsets in pieces(pa.array(own["text"], pa.large_string())):
             h, _, _, first = hashed(data, offsets)
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                if spans := automaton.spans(doc_ids[row + i], h[a:b]):
-                    keys.append(own_keys[row + i])
-                    starts_.append([s for s, _ in spans])
-                    ends_.append([e for _, e in spans])
+            at, i = automaton.held(h, first, doc_ids[row : row + len(offsets) - 1])
+            for k in np.unique(i).tolist():
+                runs = _runs(at[i == k] - first[k])
+                keys.append(own_keys[row + k])
+                starts_.append([s for s, _ in runs])
+                ends_.append([e for _, e in runs])
         return pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "starts": pd.Series(starts_, dtype=object), "ends": pd.Series(ends_, dtype=object)})
 
     spans = texts.groupBy("shard", "grp").cogroup(dealt.groupBy("shard", "grp")).applyInPandas(stream, "key long, starts array<int>, ends array<int>")
