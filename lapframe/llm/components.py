@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     vertex is first among its neighbours with a chance of at most a half, so vertices are
     expected to shrink by a fixed share a round, whatever the graph and its ids are.
     """
-    left = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    left = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     went: list[DataFrame] = []
     while not went or left.limit(1).count():
         place = lambda v, k=len(went): F.struct((F.xxhash64(F.lit(k), v) if k else F.col(v)).alias("at"), F.col(v).alias("v"))

@@ -180,12 +180,14 @@ def _family_links(ids: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFra
     counts = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "set_values")
     # A set's values that no other has are its rarest, and need no list.
     own = Window.partitionBy("id")
-    shared = salted_join(values, counts, "value").withColumn("rank", F.row_number().over(own.orderBy("df", "value"))).withColumn("m", F.count(F.lit(1)).over(own))
+    shared = salted_join(values, counts, "value", counts=counts.withColumnRenamed("df", "count")).withColumn("rank", F.row_number().over(own.orderBy("df", "value"))).withColumn("m", F.count(F.lit(1)).over(own))
     prefix = shared.filter(F.col("rank") + F.col("n") - F.col("m") <= F.floor(F.col("n") / 4) + 1).select("value", "id")
     of = labels.select(F.col("v").alias("id"), "label")
     prefix = stored(prefix.join(of, "id", "left").withColumn("label", F.coalesce("label", "id")), "prefixes")
-    lists = prefix.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first")).filter("lo < hi")
-    met = stored(salted_join(prefix, lists, "value").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    lists = prefix.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first"), F.count(F.lit(1)).alias("count"))
+    lists = stored(lists, "prefix_lists")
+    open_lists = lists.filter("lo < hi").select("value", "first")
+    met = stored(salted_join(prefix, open_lists, "value", counts=lists).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "met")
     if not met.limit(1).count():
         return None
     family = connected_components(met).select(F.col("v").alias("id"), F.col("label").alias("family"))
@@ -238,7 +240,7 @@ def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
     rows = stored(sketches(docs), "sketches")
     real = (F.col("n") > 0) if null_ids else (F.col("n") > 0) & F.col("doc_id").isNotNull()
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = rows.filter(real).groupBy("n", "f1", "f2").agg(lead.alias("lead"), F.first("sketch").alias("sketch"))
+    classes = rows.filter(real).groupBy("n", "f1", "f2").agg(lead.alias("lead"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("count"))
     classes = stored(classes.withColumn("id", F.col("lead.key")), "classes")
 
     values = classes.select("id", F.posexplode("sketch").alias("rank", "value"))
@@ -273,8 +275,8 @@ def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
 
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("both", -F.col("a"))).alias("a")).select("a", "b")
     if hot_listed is not None:
-        ends = hot_listed.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        star = salted_join(hot_listed, ends, "value")
+        ends = stored(hot_listed.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("count")), "hot_lists")
+        star = salted_join(hot_listed, ends.drop("count"), "value", counts=ends)
         star = star.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(star.select(F.col("id").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct()
         first = first.unionByName(_estimated(star, classes).select("a", "b")).distinct()
     links = stored(_confirmed(stored(first, "first"), docs), "links")
@@ -291,14 +293,19 @@ def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
         more = more if ends is None else more.unionByName(ends)
     more = stored(more, "more_links")
     if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
+        # The components found so far are the vertices now; one without links so far is a class.
+        ends = component(component(more, "a"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = connected_components(ends)
+        last = labels.join(merged.select(F.col("v").alias("label"), F.col("label").alias("last")), "label", "left")
+        new = merged.join(labels.select("v"), "v", "left_anti")
+        labels = stored(last.select("v", F.coalesce("last", "label").alias("label")).unionByName(new), "all_labels")
 
     own = rows.select("doc_id", "key", "n", "f1", "f2")
     # A class of one needs no lookup; others find their class by the fingerprint, then its component's first row.
     linked = stored(labels.withColumnRenamed("v", "id").join(classes.select("id", "lead"), "id"), "linked")
     heads = linked.groupBy("label").agg(F.min("lead").alias("head"))
     of_class = classes.join(linked.join(heads, "label").select("id", "head"), "id", "left").select("n", "f1", "f2", F.coalesce("head", "lead").alias("head"))
-    found = salted_join(own.filter(real), of_class, "n", "f1", "f2")
+    found = salted_join(own.filter(real), of_class, "n", "f1", "f2", counts=classes)
     found = found.select("doc_id", "key", "n", F.col("head.doc_id").alias("component_id"), (F.col("key") == F.col("head.key")).alias("kept"))
     alone = own.filter(~real).select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return found.unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -49,15 +49,17 @@ HOT_SHARE = 4096
 HOT_ROWS = 1000
 
 
-def salted_join(big: DataFrame, small: DataFrame, *on: str) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, *on: str, counts: DataFrame | None = None) -> DataFrame:
     """Inner join with ``small``, which has each key once; a hot key's rows in ``big`` are dealt to several tasks.
 
-    Keys are counted with sums before the shuffle. At most HOT_SHARE are hot; with the number of
+    Keys are counted with sums before the shuffle, unless a stored table ``counts`` (keys, count) has
+    the number of rows of all keys that ``big`` has more than once. At most HOT_SHARE are hot; with the number of
     parts that each needs they are broadcast, and ``small`` has their rows once for each part.
     """
     keys = list(on)
-    least = max(HOT_ROWS, big.count() // HOT_SHARE)
-    hot = big.groupBy(*keys).count().filter(F.col("count") > least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_parts"))
+    total = big.count() if counts is None else counts.agg(F.sum("count")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = (big.groupBy(*keys).count() if counts is None else counts).filter(F.col("count") > least).select(*keys, F.ceil(F.col("count") / least).cast("int").alias("_parts"))
     hot = stored(hot, "hot_keys")
     if not hot.limit(1).count():
         return big.join(small, keys)
