@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, minhash, packing, phrase_dedup, quality, sst, suffix_dedup, toxicity
+from . import alignment, decontaminate, exact_dedup, html_text, minhash, packing, phrase_dedup, quality, simhash, sst, suffix_dedup, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -67,10 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_token_shards": op9_token_shards,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 SQL: dict[str, str] = {
     "op1_suffix_array_dedup": phrase_dedup.SQL,
     "op4_substring_dedup": phrase_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }

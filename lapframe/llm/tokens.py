@@ -37,7 +37,7 @@ _SURE = np.zeros(256, bool)
 _SURE[[0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = True
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
@@ -47,11 +47,13 @@ def _byte_symbols() -> list[str]:
 class Encoder:
     """Encodes Arrow string arrays with one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain``: strings of special tokens inside texts are text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
@@ -62,7 +64,7 @@ class Encoder:
                 self.rule = "byte level"
             elif split.get("type") == "Sequence" and split["pretokenizers"][0].get("pattern") == {"Regex": WORD_END_PATTERN} and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
                 self.rule = "word end"
-        self.symbols = np.array([ord(c) for c in _byte_symbols()], "<u2")
+        self.symbols = np.array([ord(c) for c in byte_symbols()], "<u2")
         self._clear()
 
     def _clear(self) -> None:
