@@ -9,12 +9,14 @@ them would have to be searched for most others. So the trees stand over bands of
 fingerprints that differ in at most four bits differ in at most one bit of some band (``BAND_RADIUS``).
 For each band a tree is grown on a bounded sample (TREE_SAMPLE classes; it
 decides how even the shards are, never which links are found): a node splits band values at the median
-of their Hamming distances to a vantage point. A class has one home shard; by the triangle bound it
-also visits each shard whose region comes within BAND_RADIUS of it. A shard searches its homes with
-all that visit: again by vantage points, until few are left, which are compared by whole
-fingerprints. Shards grow in number with the classes, so none is expected to
-hold more than about SHARD homes; one that does (classes that share band values) is cut in blocks
-of homes and visitors. A shard returns a spanning forest of its links, not all pairs.
+of their Hamming distances to a vantage point. A class has one home shard, and visits shards that its ball
+of BAND_RADIUS overlaps: the triangle bound prunes the branches, and of the leaves it leaves those
+count in which a value of the ball is at home, at most one for each bit of the band. Of two shards only the one with the
+smaller number is visited, so a pair meets once. A shard searches its homes with all that visit: again by
+vantage points and triangle bounds, until few are left, which are compared by whole fingerprints.
+Shards grow in number with the classes, so none is expected to hold more than about SHARD homes; one that does
+(classes that share band values) is cut in blocks of homes and visitors. A shard returns a
+spanning forest of its links, not all pairs.
 
 Edge cases: a text that is null or without words has fingerprint zero and links like any other; with fewer than
 four words the whole sequence is the one shingle. A null doc_id takes part; a component with no other has a
@@ -40,7 +42,9 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: First bit and bits of each band, and the bits that one of them differs in at most: RADIUS // 3.
 BANDS, BAND_RADIUS = ((0, 21), (21, 21), (42, 22)), 1
 #: Homes expected in a shard, visitors in a block of one, and most classes that a tree is grown on.
-SHARD, VISITORS, TREE_SAMPLE = 8192, 1 << 17, 1 << 15
+SHARD, VISITORS, TREE_SAMPLE = 1 << 15, 1 << 18, 1 << 17
+#: Levels of a tree at least: shards enough for the tasks of any cluster that small tables need.
+LEVELS = 8
 #: Comparisons at which a shard's search stops splitting.
 COMPARED = 1 << 16
 
@@ -113,14 +117,21 @@ class Tree:
             node = 2 * node + (_distance(values, self.vantage[node]) > self.median[node])
         return node - (1 << self.depth)
 
-    def visits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of a value and shard, for all shards that can hold a value within BAND_RADIUS of it."""
+    def visits(self, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of a value and shard, for all shards of values within BAND_RADIUS of it, up to that of its own."""
         at, node = np.arange(len(values)), np.ones(len(values), np.int64)
         for _ in range(self.depth):
             d, m = _distance(values[at], self.vantage[node]), self.median[node]
             near, far = d - BAND_RADIUS <= m, d + BAND_RADIUS > m
             at, node = np.concatenate([at[near], at[far]]), np.concatenate([2 * node[near], 2 * node[far] + 1])
-        return at, node - (1 << self.depth)
+        shard = node - (1 << self.depth)
+        lower = shard <= self.homes(values)[at]
+        at, shard = at[lower], shard[lower]
+        # The bound lets branches pass that the ball doesn't reach: its values' homes decide.
+        ball = [values, *[values ^ np.uint32(1 << bit) for bit in range(bits)]]
+        reached = np.concatenate([(np.arange(len(values)) << self.depth) | self.homes(v) for v in ball])
+        held = np.isin((at << self.depth) | shard, reached)
+        return at[held], shard[held]
 
 
 class Forest:
@@ -179,7 +190,7 @@ def links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between different ``fp`` of a stored table, enough of them to join what is joined by all."""
     spark = classes.sparkSession
     n = classes.count()
-    depth = min(TREE_SAMPLE.bit_length() - 4, max(0, (n // SHARD).bit_length()))
+    depth = min(TREE_SAMPLE.bit_length() - 4, max(LEVELS, (n // SHARD).bit_length()))
     sample = np.array([r.fp for r in classes.orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(TREE_SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
     trees = [Tree(_band(sample, b), depth) for b in range(len(BANDS))]
 
@@ -188,7 +199,7 @@ def links(classes: DataFrame) -> DataFrame:
             fp = np.asarray(batch.column("fp")).view(np.uint64)
             for band, tree in enumerate(trees):
                 values = _band(fp, band)
-                home, (at, shard) = tree.homes(values), tree.visits(values)
+                home, (at, shard) = tree.homes(values), tree.visits(values, BANDS[band][1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), band, np.int32)), pa.array(shard), pa.array(shard == home[at]), pa.array(fp[at].view(np.int64))], names=["band", "shard", "home", "fp"])
 
     routed = stored(classes.select("fp").mapInArrow(route, "band int, shard long, home boolean, fp long"), "routed")

@@ -208,12 +208,13 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("shard,visitors", [(8192, 1 << 17), (64, 1 << 17), (50, 100)])
-def test_simhash_trees_lose_no_link(spark, monkeypatch, shard, visitors):
+@pytest.mark.parametrize("shard,visitors,levels", [(8192, 1 << 17, 0), (64, 1 << 17, 5), (50, 100, 2)])
+def test_simhash_trees_lose_no_link(spark, monkeypatch, shard, visitors, levels):
     """Random prints, chains of prints, one dense cloud and prints that share a band, in many shards and cut ones."""
     monkeypatch.setattr(simhash, "SHARD", shard)
     monkeypatch.setattr(simhash, "VISITORS", visitors)
     monkeypatch.setattr(simhash, "TREE_SAMPLE", 512)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     rng = np.random.default_rng(11)
     flip = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
     prints = rng.integers(0, 2**64, 600, dtype=np.uint64).tolist()
