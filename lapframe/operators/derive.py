@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.units import convert_units
 from ..sources.storage import kept
 from .align import align, grid
+from .buckets import BUCKET_MS, bucket
 from .reports import finite_channels, finite_only
 
 
@@ -96,24 +98,70 @@ def derive_channels(samples: DataFrame, derived: list[Derived], strict: bool = T
     return out if out is not None else have.drop("units").limit(0)
 
 
-_functions: dict[str, Callable[[pd.DataFrame], pd.Series]] = {}
+_functions: dict[str, Callable] = {}
 
 
-def register_channel_fn(name: str, fn: Callable[[pd.DataFrame], pd.Series]) -> None:
-    """A function of a session's aligned channels (columns tc and the channels, in order of tc) to one value a row."""
+def register_channel_fn(name: str, fn: Callable) -> None:
+    """A function of aligned channels (a frame with columns tc and the channels, in order of tc).
+
+    For apply_channel_fn, a frame to one value a row. For apply_channel_fn_in_chunks, a frame and the state that the
+    chunk before left (None at first) to the values and the state for the next.
+    """
     _functions[name] = fn
 
 
-def apply_channel_fn(samples: DataFrame, name: str, channels: dict[str, bool], result: str) -> DataFrame:
+def _samples(pdf: pd.DataFrame, result: str, values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"session_id": pdf["session_id"], "channel": result, "tc": pdf["tc"], "value": np.asarray(values, "float64")})
+
+
+def _schema(samples: DataFrame) -> str:
+    return f"session_id {samples.schema['session_id'].dataType.simpleString()}, channel string, tc double, value double"
+
+
+def apply_channel_fn(samples: DataFrame, name: str, channels: dict[str, bool], result: str, halo_ms: float | None = None, width: float = BUCKET_MS) -> DataFrame:
     """``name`` over each session's aligned channels, as samples of channel ``result``.
 
-    One call holds one session's aligned rows of these channels: a log, not the fleet.
+    Without ``halo_ms`` one call holds one session's aligned rows of these channels: a log, not the fleet. With it, a
+    call holds a bucket of ``width`` ms and ``halo_ms`` of rows before and after it, for functions that look no
+    further (filters, slopes, moving means): long sessions are spread over tasks.
     """
     fn = _functions[name]
-    kind = dict(samples.dtypes)["session_id"]
+    rows = align(samples, channels)
+    if halo_ms is None:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("tc").reset_index(drop=True)
+            return _samples(pdf, result, fn(pdf))
+
+        return rows.groupBy("session_id").applyInPandas(whole, _schema(samples))
+    near = F.sequence(bucket(F.col("tc") - halo_ms, width), bucket(F.col("tc") + halo_ms, width))
+    rows = rows.withColumn("_own", bucket(F.col("tc"), width)).withColumn("_bucket", F.explode(near))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tc").reset_index(drop=True)
-        return pd.DataFrame({"session_id": pdf["session_id"], "channel": result, "tc": pdf["tc"], "value": fn(pdf).astype("float64")})
+        made = _samples(pdf, result, fn(pdf.drop(columns=["_own", "_bucket"])))
+        return made[(pdf["_own"] == pdf["_bucket"]).to_numpy()]
+
+    return rows.groupBy("session_id", "_bucket").applyInPandas(run, _schema(samples))
+
+
+def apply_channel_fn_in_chunks(samples: DataFrame, name: str, channels: dict[str, bool], result: str, rows: int = 10_000) -> DataFrame:
+    """``name`` over chunks of at most ``rows`` aligned rows of a session in order of time, each with the state that the one before left.
+
+    For functions that depend on all rows before (running sums, filters with memory). Sessions are dealt to tasks and
+    sorted there, on disk if need be; a worker holds one chunk and one state.
+    """
+    fn = _functions[name]
 
-    return align(samples, channels).groupBy("session_id").applyInPandas(run, f"session_id {kind}, channel string, tc double, value double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state = None, None
+        for pdf in batches:
+            for _, own in pdf.groupby((pdf["session_id"] != pdf["session_id"].shift()).cumsum(), sort=False):
+                if session is None or own["session_id"].iloc[0] != session[0]:
+                    session, state = (own["session_id"].iloc[0],), None
+                for at in range(0, len(own), rows):
+                    chunk = own.iloc[at : at + rows].reset_index(drop=True)
+                    values, state = fn(chunk, state)
+                    yield _samples(chunk, result, values)
+
+    return align(samples, channels).repartition("session_id").sortWithinPartitions("session_id", "tc").mapInPandas(run, _schema(samples))

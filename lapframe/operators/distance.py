@@ -10,52 +10,68 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from .align import asof, assign_laps, interp_join
+from .buckets import BUCKET_MS, bucket, edges, first_of, ignoring_nulls, running, within
 
 
-def _by_session() -> WindowSpec:
-    return Window.partitionBy("session_id")
+#: Width of a bucket of distance, in metres.
+BUCKET_M = 30_000.0
 
 
-def build_dist_map(speed: DataFrame, laps: DataFrame, grid_ms: float = 10.0, expected: DataFrame | None = None) -> DataFrame:
+def build_dist_map(speed: DataFrame, laps: DataFrame, grid_ms: float = 10.0, expected: DataFrame | None = None, width: float = BUCKET_MS) -> DataFrame:
     """``speed`` (session_id, tc ms, value m/s) over ``laps`` to the map's stretches.
 
     Inner laps (neither first nor last) within 5 % of the inner laps' median distance, or of
     ``expected`` (session_id, length), are scaled to it. Columns: k0, k1 (grid points [k0, k1)),
     v (speed at k0) and slope (per grid point), f (metres per unit of speed, scaled), before (distance
-    ahead of k0).
+    ahead of k0), next_step (metres that k1 adds), k_last (the session's last grid point).
+
+    Sums run on two levels: within the buckets of a session (``width`` ms), and over the totals of
+    each bucket and lap, which are few.
     """
     g = F.lit(float(grid_ms))
-    numbered = laps.withColumn("i", F.row_number().over(_by_session().orderBy("start_tc"))).withColumn("n_laps", F.count(F.lit(1)).over(_by_session()))
-    bounds = numbered.select("session_id", F.rint(F.col("start_tc") / g).cast("long").alias("k"), "lap_num", ((F.col("i") > 1) & (F.col("i") < F.col("n_laps"))).alias("inner"))
+    by = Window.partitionBy("session_id")
+    numbered = laps.withColumn("i", F.row_number().over(by.orderBy("start_tc"))).withColumn("n_laps", F.count(F.lit(1)).over(by))
+    inner = ((F.col("i") > 1) & (F.col("i") < F.col("n_laps"))).alias("inner")
+    bound = numbered.select("session_id", F.rint(F.col("start_tc") / g).cast("long").alias("k"), F.struct(F.rint(F.col("start_tc") / g).cast("double").alias("_on"), F.col("lap_num").cast("int").alias("lap_num"), inner).alias("lap"))
     ends = laps.groupBy("session_id").agg(F.ceil(F.max("end_tc") / g).cast("long").alias("k_end"))
-    one = speed.groupBy("session_id", "tc").agg(F.max("value").alias("value"))
-    nxt = Window.partitionBy("session_id").orderBy("tc")
-    pts = one.select("session_id", F.ceil(F.col("tc") / g).cast("long").alias("k"), F.struct("tc", "value", F.lead("tc").over(nxt).alias("tc1"), F.lead("value").over(nxt).alias("value1")).alias("s"))
-    both = pts.withColumn("lap", F.lit(None).cast("struct<lap_num:int,inner:boolean>")).unionByName(
-        bounds.select("session_id", "k", F.lit(None).cast(pts.schema["s"].dataType).alias("s"), F.struct(F.col("lap_num").cast("int").alias("lap_num"), "inner").alias("lap"))
-    )
-    both = both.unionByName(ends.select("session_id", F.lit(0).cast("long").alias("k"), F.lit(None).cast(pts.schema["s"].dataType).alias("s"), F.lit(None).cast("struct<lap_num:int,inner:boolean>").alias("lap")))
-    both = both.groupBy("session_id", "k").agg(F.max("s").alias("s"), F.max("lap").alias("lap")).join(ends, "session_id").filter("k < k_end").repartition("session_id")
-    w = Window.partitionBy("session_id").orderBy("k")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    first = one.groupBy("session_id").agg(F.min_by("value", "tc").alias("first_value"))
-    seg = both.withColumn("s", F.last("s", ignorenulls=True).over(run)).withColumn("lap", F.last("lap", ignorenulls=True).over(run)).withColumn("k1", F.coalesce(F.lead("k").over(w), F.col("k_end")))
-    seg = seg.join(first, "session_id").withColumnRenamed("k", "k0")
-    span = F.col("s.tc1") - F.col("s.tc")
-    slope = F.when(F.col("s").isNull() | F.col("s.tc1").isNull() | (span == 0), 0.0).otherwise(F.try_divide(F.col("s.value1") - F.col("s.value"), span) * g)
-    seg = seg.withColumn("slope", slope).withColumn("v", F.when(F.col("s").isNull(), F.col("first_value")).otherwise(F.col("s.value") + F.col("slope") * (F.col("k0") * g - F.col("s.tc")) / g))
+    tc = F.col("tc").cast("double")
+    rows = speed.select("session_id", F.ceil(tc / g).cast("long").alias("k"), F.struct(tc.alias("_on"), F.col("value").alias("v")).alias("s"))
+    rows = rows.unionByName(bound, allowMissingColumns=True).unionByName(ends.select("session_id", F.lit(0).cast("long").alias("k")), allowMissingColumns=True)
+    rows = rows.withColumn("_bucket", bucket(F.col("k") * g, width)).withColumn("_side", F.lit(0)).withColumn("at", F.struct(F.col("k").cast("double").alias("_on"), "k"))
+    # Ahead of a bucket stand its session's end and first speed as well.
+    firsts = speed.filter("value IS NOT NULL").groupBy("session_id").agg(F.min(F.struct(tc.alias("tc"), (-F.col("value")).alias("v"))).alias("x")).select("session_id", (-F.col("x.v")).alias("first_value"))
+    known = edges(rows, ("session_id",), ["s", "lap", "at"]).join(ends, "session_id").join(firsts, "session_id").withColumn("k", F.when(F.col("_side") > 0, F.col("at.k")))
+    rows = rows.drop("at").unionByName(known.drop("at"), allowMissingColumns=True).repartition("session_id", "_bucket")
+    rows = rows.groupBy("session_id", "_bucket", "_side", "k").agg(F.max("s").alias("s"), first_of("s").alias("s_first"), F.max("lap").alias("lap"), F.max("k_end").alias("k_end"), F.max("first_value").alias("first_value"))
+    w = within(("session_id",), "k")
+    so_far = [F.max(c).over(running(w)).alias(c) for c in ("s", "lap", "k_end", "first_value")]
+    seg = rows.select("session_id", "_bucket", "_side", F.col("k").alias("k0"), *so_far, ignoring_nulls("s_first", ["session_id", "_bucket"], ["_side", "k"]).alias("next"), F.lead("k").over(w).alias("k1"))
+    seg = seg.filter("_side = 0 AND k0 < k_end").withColumn("k1", F.least(F.coalesce("k1", "k_end"), F.col("k_end")))
+    span = F.col("next._on") - F.col("s._on")
+    slope = F.when(F.col("s").isNull() | F.col("next").isNull() | (span == 0), 0.0).otherwise(F.try_divide(F.col("next.v") - F.col("s.v"), span) * g)
+    seg = seg.withColumn("slope", slope).withColumn("v", F.when(F.col("s").isNull(), F.col("first_value")).otherwise(F.col("s.v") + F.col("slope") * (F.col("k0") * g - F.col("s._on")) / g))
     n = F.col("k1") - F.col("k0")
-    seg = seg.withColumn("raw", (n * F.col("v") + F.col("slope") * n * (n - 1) / 2) * g / 1000)
-    lens = seg.filter("lap.inner").groupBy("session_id", F.col("lap.lap_num").alias("lap_num")).agg(F.sum("raw").alias("len"))
+    seg = seg.select("session_id", "_bucket", F.col("lap.lap_num").alias("lap_num"), F.col("lap.inner").alias("inner"), "k0", "k1", "k_end", "v", "slope", ((n * F.col("v") + F.col("slope") * n * (n - 1) / 2) * g / 1000).alias("raw"))
+
+    # The stretches of one lap in one bucket are a run: few to a session.
+    runs = seg.groupBy("session_id", "_bucket", "lap_num").agg(F.sum("raw").alias("raw"), F.first("inner").alias("inner"), F.min("k0").alias("k0"), F.min_by("v", "k0").alias("v"))
+    lens = runs.filter("inner").groupBy("session_id", "lap_num").agg(F.sum("raw").alias("len"))
     want = expected if expected is not None else lens.groupBy("session_id").agg(F.median("len").alias("length"))
-    factor = lens.join(want, "session_id").select("session_id", "lap_num", F.when(F.abs(F.try_divide(F.col("len") - F.col("length"), "length")) <= 0.05, F.try_divide("length", "len")).otherwise(1.0).alias("factor"))
-    seg = seg.withColumn("lap_num", F.col("lap.lap_num")).join(factor, ["session_id", "lap_num"], "left")
-    seg = seg.withColumn("f", F.coalesce("factor", F.lit(1.0)) * g / 1000).withColumn("own", F.coalesce("factor", F.lit(1.0)) * F.col("raw"))
-    before = F.coalesce(F.sum("own").over(Window.partitionBy("session_id").orderBy("k0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return seg.select("session_id", "lap_num", "k0", "k1", "v", "slope", "f", before.alias("before"))
+    factor = F.when(F.abs(F.try_divide(F.col("len") - F.col("length"), "length")) <= 0.05, F.try_divide("length", "len")).otherwise(1.0)
+    factor = lens.join(want, "session_id").select("session_id", "lap_num", factor.alias("factor"))
+    in_turn = by.orderBy("k0")
+    runs = runs.join(factor, ["session_id", "lap_num"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    ahead = F.coalesce(F.sum(F.col("factor") * F.col("raw")).over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    follows = F.lead(F.col("factor") * F.col("v") * g / 1000).over(in_turn)
+    runs = runs.select("session_id", "_bucket", F.struct("lap_num", "factor", ahead.alias("before"), follows.alias("next_step")).alias("run"))
+    runs = runs.groupBy("session_id", "_bucket").agg(F.collect_list("run").alias("runs"))
+    seg = seg.join(runs, ["session_id", "_bucket"]).withColumn("run", F.try_element_at(F.filter("runs", lambda x: x.lap_num.eqNullSafe(F.col("lap_num"))), F.lit(1)))
+    in_run = Window.partitionBy("session_id", "_bucket", "lap_num").orderBy("k0")
+    local = F.coalesce(F.sum("raw").over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    f = F.col("run.factor") * g / 1000
+    return seg.select("session_id", "lap_num", "k0", "k1", "v", "slope", f.alias("f"), (F.col("run.before") + F.col("run.factor") * local).alias("before"), F.coalesce(F.lead("v").over(in_run) * f, F.col("run.next_step")).alias("next_step"), (F.col("k_end") - 1).alias("k_last"))
 
 
 def _sum_to(k: Column) -> Column:
@@ -70,20 +86,14 @@ def _step_at(k: Column) -> Column:
     return F.when(k < F.col("k1"), own).otherwise(F.coalesce("next_step", F.lit(0.0)))
 
 
-def _with_next(dist_map: DataFrame) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("k0")
-    last = Window.partitionBy("session_id")
-    return dist_map.withColumn("next_step", F.lead(F.col("f") * F.col("v")).over(w)).withColumn("k_last", F.max("k1").over(last) - 1).withColumn("first_dist", F.col("before") + F.col("f") * F.col("v"))
-
-
-_CARRY = ("k0", "k1", "v", "slope", "f", "before", "next_step", "k_last", "first_dist")
+_CARRY = ("k0", "k1", "v", "slope", "f", "before", "next_step", "k_last")
 
 
 def time_to_dist(points: DataFrame, dist_map: DataFrame, grid_ms: float = 10.0, name: str = "dist") -> DataFrame:
     """Distance at each point's tc, linear between grid points, clamped at both ends."""
-    m = _with_next(dist_map).withColumn("k", F.col("k0").cast("double"))
+    m = dist_map.withColumn("k", F.col("k0").cast("double"))
     x = points.withColumn("k", F.greatest(F.floor(F.col("tc") / grid_ms), F.lit(0)).cast("double"))
-    found = asof(x, m, ("session_id",), "k", _CARRY, prefix="m_").select(*points.columns, "k", *[F.col(f"m_{c}").alias(c) for c in _CARRY])
+    found = asof(x, m, ("session_id",), "k", _CARRY, prefix="m_", width=BUCKET_MS / grid_ms).select(*points.columns, "k", *[F.col(f"m_{c}").alias(c) for c in _CARRY])
     k = F.least(F.col("k"), F.col("k_last").cast("double"))
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("tc") / grid_ms - k))
     dist = _sum_to(k) + F.when(k >= F.col("k_last"), 0.0).otherwise(part * _step_at(k + 1))
@@ -92,9 +102,9 @@ def time_to_dist(points: DataFrame, dist_map: DataFrame, grid_ms: float = 10.0,
 
 def dist_to_time(points: DataFrame, dist_map: DataFrame, grid_ms: float = 10.0, name: str = "tc") -> DataFrame:
     """Time at each point's dist, the inverse of time_to_dist where speed is above zero."""
-    m = _with_next(dist_map).withColumn("at", F.col("first_dist"))
+    m = dist_map.withColumn("at", F.col("before") + F.col("f") * F.col("v"))
     x = points.withColumn("at", F.col("dist").cast("double"))
-    found = asof(x, m, ("session_id",), "at", _CARRY, prefix="m_").select(*points.columns, *[F.col(f"m_{c}").alias(c) for c in _CARRY])
+    found = asof(x, m, ("session_id",), "at", _CARRY, prefix="m_", width=BUCKET_M).select(*points.columns, *[F.col(f"m_{c}").alias(c) for c in _CARRY])
     # m points of the stretch reach the distance: solve f*(m*v + slope*m*(m-1)/2) = dist - before.
     need = (F.col("dist") - F.col("before")) / F.col("f")
     a, b = F.col("slope") / 2, F.col("v") - F.col("slope") / 2

@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from .align import assign_laps
+from .buckets import BUCKET_MS, bucket, edges, within
 
 
 def _by_session() -> WindowSpec:
     return Window.partitionBy("session_id")
 
 
-def laps_from_counter(samples: DataFrame, channel: str) -> DataFrame:
+def laps_from_counter(samples: DataFrame, channel: str, width: float = BUCKET_MS) -> DataFrame:
     """A lap begins wherever the counter changes; the first at 0, the last ends with the session.
 
-    Laps are numbered on from the counter's first value.
+    Laps are numbered on from the counter's first value. Changes are found within buckets of time; only
+    they, a few for each lap, are put in order over the session.
     """
     ends = samples.groupBy("session_id").agg(F.max("tc").alias("session_end"))
-    by_tc = _by_session().orderBy("tc")
-    own = samples.filter(F.col("channel") == channel).select("session_id", "tc", "value")
-    marks = own.withColumn("before", F.lag("value").over(by_tc)).filter(F.col("before").isNull() | (F.col("before") != F.col("value")))
+    own = samples.filter((F.col("channel") == channel) & F.col("value").isNotNull()).select("session_id", "tc", F.struct(F.col("tc").cast("double").alias("_on"), "value").alias("s"))
+    own = own.withColumn("_bucket", bucket(F.col("tc"), width)).withColumn("_side", F.lit(0))
+    own = own.unionByName(edges(own, ("session_id",), ["s"]).filter("_side < 0"), allowMissingColumns=True)
+    marks = own.withColumn("before", F.lag("s.value").over(within(("session_id",), "s"))).filter("_side = 0").select("session_id", "tc", "s.value", "before")
+    marks = marks.filter(F.col("before").isNull() | (F.col("before") != F.col("value")))
     marks = marks.select("session_id", "value", F.when(F.col("before").isNull(), 0.0).otherwise(F.col("tc")).alias("start_tc"))
     by_start = _by_session().orderBy("start_tc")
     laps = marks.select(

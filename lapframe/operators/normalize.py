@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import ecef_to_lla_steps
 from .align import asof, interp_join
+from .buckets import BUCKET_MS, bucket, edges, within
 
 
-def unwrap_counter(df: DataFrame, column: str, modulus: float, order: str, keys: tuple[str, ...] = ("session_id",), name: str = "tc") -> DataFrame:
-    """Monotone time from a counter that wraps at ``modulus``: steps modulo it, summed."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    step = F.pmod(F.col(column) - F.coalesce(F.lag(column).over(w), F.lit(0)), F.lit(modulus))
-    return df.withColumn("_step", step).withColumn(name, F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+def unwrap_counter(df: DataFrame, column: str, modulus: float, order: str, keys: tuple[str, ...] = ("session_id",), name: str = "tc", width: float = BUCKET_MS) -> DataFrame:
+    """Monotone time from a counter that wraps at ``modulus``: steps modulo it, summed.
 
-
-def drop_replayed(df: DataFrame, order: str = "seq", keys: tuple[str, ...] = ("session_id", "channel")) -> DataFrame:
-    """Records whose tc exceeds every earlier one's of their channel, by a record sequence."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_top", F.max("tc").over(w)).filter(F.col("_top").isNull() | (F.col("tc") > F.col("_top"))).drop("_top")
+    Steps are summed within buckets of ``order`` (a number; ``width`` is a bucket's), and the buckets'
+    totals, with the step from one to the next, over the key.
+    """
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    rows = df.withColumn("_bucket", bucket(F.col(order), width))
+    step = F.pmod(F.col(column) - F.lag(column).over(w), F.lit(modulus))
+    rows = rows.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("_run", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = rows.groupBy(*keys, "_bucket").agg(F.min_by(column, order).alias("_first"), F.max_by(column, order).alias("_last"), F.sum("_step").alias("_total"))
+    by = Window.partitionBy(*keys).orderBy("_bucket")
+    jump = F.pmod(F.col("_first") - F.coalesce(F.lag("_last").over(by), F.lit(0)), F.lit(modulus))
+    base = F.sum("_jump").over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_total").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    bases = totals.withColumn("_jump", jump).select(*keys, "_bucket", base.alias("_base"))
+    return rows.join(bases, [*keys, "_bucket"]).select(*[c for c in df.columns if c != name], (F.col("_base") + F.col("_run")).alias(name))
+
+
+def drop_replayed(df: DataFrame, order: str = "seq", keys: tuple[str, ...] = ("session_id", "channel"), width: float = BUCKET_MS) -> DataFrame:
+    """Records whose tc exceeds every earlier one's of their channel, by a record sequence (a number; ``width`` is a bucket's)."""
+    rows = df.withColumn("_at", F.col(order)).withColumn("_t", F.struct(F.col("tc").alias("_on"))).withColumn("_bucket", bucket(F.col(order), width)).withColumn("_side", F.lit(0))
+    rows = rows.unionByName(edges(rows, keys, ["_t"]).filter("_side < 0"), allowMissingColumns=True)
+    top = F.max("_t").over(within(keys, "_at").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_top", top).filter("_side = 0 AND (_top IS NULL OR tc > _top._on)").select(*df.columns)
 
 
 def explode_batches(df: DataFrame, step_ms: float | str) -> DataFrame:

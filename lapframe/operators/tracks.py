@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -186,14 +185,41 @@ def turn_rate(path: DataFrame, spacing_m: float = 1.0) -> DataFrame:
     return x.select("track_id", "seq", "lat", "lon", "rate")
 
 
+_RUN = "struct<kind:string,a:bigint,b:bigint,cross:bigint>"
+
+
+def _folded(runs: Column, decide: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+    """Runs (an array) merged from the last to the first, in one pass.
+
+    ``decide`` says of a run, the kind of the run before it and the run that follows whether the three become
+    one, or else where the two around it meet in its place (null: it stays). The first two runs and the last are kept.
+    """
+    numbered = F.transform(runs, lambda r, i: F.struct(r.alias("r"), i.alias("i"), F.get(runs, i - 1)["kind"].alias("left")))
+    # What has been done, in order, and where the run to come ends if a later one changed that.
+    start = F.struct(F.array().cast(f"array<{_RUN}>").alias("done"), F.lit(None).cast("bigint").alias("end"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.struct(x["r"]["kind"].alias("kind"), x["r"]["a"].alias("a"), F.coalesce(acc["end"], x["r"]["b"]).alias("b"), x["r"]["cross"].alias("cross"))
+        right, rest = F.get(acc["done"], F.lit(0)), F.slice(acc["done"], 2, F.greatest(F.size(acc["done"]) - 1, F.lit(0)))
+        one, meet = decide(own, x["left"], right)
+        inner = (x["i"] > 1) & (F.size(acc["done"]) > 0)
+        moved = F.struct(right["kind"].alias("kind"), meet.alias("a"), right["b"].alias("b"), right["cross"].alias("cross"))
+        joined = F.struct(rest.alias("done"), right["b"].alias("end"))
+        halved = F.struct(F.concat(F.array(moved), rest).alias("done"), meet.alias("end"))
+        stays = F.struct(F.concat(F.array(own), acc["done"]).alias("done"), F.lit(None).cast("bigint").alias("end"))
+        return F.when(inner & one, joined).when(inner & meet.isNotNull(), halved).otherwise(stays)
+
+    return F.aggregate(F.reverse(numbered), start, step, lambda acc: acc["done"])
+
+
 def segment_track(turns: DataFrame, limit: float = 150.0, min_straight: float = 25.0, min_turn: float = 10.0, spacing_m: float = 1.0) -> DataFrame:
     """Segments of each track (track_id, seq, rate): (seg, name, kind, start_seq, end_seq).
 
     Runs above ``limit`` are right turns, below minus it left turns, else straights. Of the runs but the first
     two and the last, from the end: straights under 25 m between turns of one side join them; between
     opposite turns they are split where the rate first changes its sign, and stay if it doesn't; then
-    turns under 10 m go to the run before, with the run after. Rows without a rate are left out. The
-    loop over a track's tens of runs is one grouped call.
+    turns under 10 m go to the run before, with the run after. Rows without a rate are left out. A track's
+    runs, tens of them, are one array; two folds over it merge them.
     """
     turns = turns.filter("rate IS NOT NULL")
     kind = F.when(F.col("rate") > limit, "R").when(F.col("rate") < -limit, "L").otherwise("S")
@@ -203,40 +229,26 @@ def segment_track(turns: DataFrame, limit: float = 150.0, min_straight: float =
     crossed = (F.col("new") == 0) & ((F.col("rate") > 0) != (F.lag("rate").over(w) > 0))
     x = x.withColumn("cross", F.when(crossed, F.col("seq")))
     runs = x.groupBy("track_id", "run").agg(F.first("kind").alias("kind"), F.min("seq").alias("a"), (F.max("seq") + 1).alias("b"), F.min("cross").alias("cross"))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("run")[["kind", "a", "b", "cross"]]
-        r = [[k, int(a), int(b), None if pd.isna(c) else int(c)] for k, a, b, c in rows.itertuples(index=False)]
-
-        def joined(i: int) -> None:  # the run before takes this one and the next
-            r[i - 1][2] = r[i + 1][2]
-            del r[i : i + 2]
-
-        for i in range(len(r) - 2, 1, -1):
-            if i > len(r) - 2 or r[i][0] != "S" or (r[i][2] - r[i][1]) * spacing_m >= min_straight:
-                continue
-            if r[i - 1][0] == r[i + 1][0]:
-                joined(i)
-            elif r[i][3] is not None:
-                r[i - 1][2] = r[i + 1][1] = r[i][3]
-                del r[i]
-        for i in range(len(r) - 2, 1, -1):
-            if i <= len(r) - 2 and r[i][0] != "S" and (r[i][2] - r[i][1]) * spacing_m < min_turn:
-                joined(i)
-        r = [row[:3] for row in r]
-        names, turn = [], 0
-        total = sum(k != "S" for k, *_ in r)
-        for k, *_ in r:
-            if k == "S":
-                names.append(f"Str {turn or total}-{turn % max(total, 1) + 1}")
-            else:
-                turn += 1
-                names.append(f"Turn {turn}")
-        kinds = {"S": "Straight", "R": "Right", "L": "Left"}
-        return pd.DataFrame({"track_id": pdf["track_id"].iloc[0], "seg": np.arange(len(r)), "name": names, "kind": [kinds[k] for k, *_ in r], "start_seq": [a for _, a, _ in r], "end_seq": [b for *_, b in r]})
-
-    kind_of = dict(turns.dtypes)["track_id"]
-    return runs.groupBy("track_id").applyInPandas(merge, f"track_id {kind_of}, seg long, name string, kind string, start_seq long, end_seq long")
+    tracks = runs.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("run", F.struct("kind", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cross").cast("long").alias("cross")).alias("r")))).alias("all"))
+    length = lambda r: (r["b"] - r["a"]) * F.lit(float(spacing_m))
+
+    def short_straight(own: Column, left: Column, right: Column) -> tuple[Column, Column]:
+        short = (own["kind"] == "S") & (length(own) < min_straight)
+        return short & (left == right["kind"]), F.when(short, own["cross"])
+
+    def short_turn(own: Column, left: Column, right: Column) -> tuple[Column, Column]:
+        return (own["kind"] != "S") & (length(own) < min_turn), F.lit(None).cast("bigint")
+
+    tracks = tracks.select("track_id", _folded(F.transform("all", lambda x: x["r"].cast(_RUN)), short_straight).alias("r"))
+    tracks = tracks.select("track_id", _folded(F.col("r"), short_turn).alias("r"))
+    turns_in = lambda part: F.size(F.filter(part, lambda r: r["kind"] != "S"))
+    rows = tracks.select("track_id", "r", turns_in(F.col("r")).alias("total"), F.posexplode("r").alias("seg", "own"))
+    rows = rows.withColumn("turn", turns_in(F.slice("r", 1, F.col("seg")))).withColumn("is_turn", F.col("own.kind") != "S")
+    after = F.when(F.col("turn") > 0, F.col("turn")).otherwise(F.col("total"))
+    straight = F.concat(F.lit("Str "), after.cast("string"), F.lit("-"), (F.pmod(F.col("turn"), F.greatest("total", F.lit(1))) + 1).cast("string"))
+    name = F.when(F.col("is_turn"), F.concat(F.lit("Turn "), (F.col("turn") + 1).cast("string"))).otherwise(straight)
+    shown = F.when(F.col("own.kind") == "R", "Right").when(F.col("own.kind") == "L", "Left").otherwise("Straight")
+    return rows.select("track_id", F.col("seg").cast("long").alias("seg"), name.alias("name"), shown.alias("kind"), F.col("own.a").alias("start_seq"), F.col("own.b").alias("end_seq"))
 
 
 def reinsert_laps(fixes: DataFrame, speed: DataFrame, lines: DataFrame, length: DataFrame, grid_ms: float = 10.0) -> tuple[DataFrame, DataFrame]:

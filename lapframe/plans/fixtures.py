@@ -106,6 +106,7 @@ def sql(body: str) -> str:
     """``body`` with the views it needs, and those that they need, ahead of it."""
     import re
 
+    body = body.lstrip()
     wanted: set[str] = set()
 
     def need(text: str) -> None:
@@ -117,4 +118,7 @@ def sql(body: str) -> str:
     views = ", ".join(f"{k} AS ({v})" for k, v in VIEWS.items() if k in wanted)
     if not views:
         return body
-    return f"WITH {views}, {body[5:]}" if body.lstrip().startswith("WITH ") else f"WITH {views} {body}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(word):
+            return f"{word}{views}, {body[len(word) :]}"
+    return f"WITH {views} {body}"

@@ -216,6 +216,68 @@ def w10(spark, sf):
     return out(points.groupBy("track_id").agg(F.count(F.lit(1)).alias("points")).join(parts.groupBy("track_id").agg(F.count(F.lit(1)).alias("parts"), F.max("dist").alias("last_dist")), "track_id"), 3)
 
 
+# Turn rates made of values, so that runs are short and every rule of merging is met.
+_RATES = "(SELECT session_id AS track_id, row_number() OVER (PARTITION BY session_id ORDER BY tc, event_id) - 1 AS seq, (CAST(floor(value * 100) AS BIGINT) % 100 - 50) * 8.0 AS rate FROM ev)"
+_TRACK_RUNS = f"""
+rates AS (SELECT *, CASE WHEN rate > 150 THEN 'R' WHEN rate < -150 THEN 'L' ELSE 'S' END AS kind FROM {_RATES}),
+marked AS (
+  SELECT *, coalesce(kind <> lag(kind) OVER w, true) AS fresh, (rate > 0) <> (lag(rate) OVER w > 0) AS turned
+  FROM rates WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+counted AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY track_id ORDER BY seq) AS run FROM marked),
+runs AS (
+  SELECT track_id, run, any_value(kind) AS kind, min(seq)::BIGINT AS a, max(seq)::BIGINT + 1 AS b,
+         (min(seq) FILTER (turned AND NOT fresh))::BIGINT AS crossing
+  FROM counted GROUP BY track_id, run),
+lists AS (SELECT track_id, list({{'kind': kind, 'a': a, 'b': b, 'crossing': crossing}} ORDER BY run) AS r FROM runs GROUP BY track_id)"""
+
+
+def _sql_fold(name: str, source: str, one: str, meet: str) -> str:
+    """A recursive query that merges the runs of ``source`` from the last to the first; a step takes run i (from 1)."""
+    own = "{'kind': r[i].kind, 'a': r[i].a, 'b': coalesce(upto, r[i].b), 'crossing': r[i].crossing}"
+    moved = f"{{'kind': done[1].kind, 'a': {meet}, 'b': done[1].b, 'crossing': done[1].crossing}}"
+    inner = "i > 2 AND len(done) > 0"
+    return f"""
+{name} AS (
+  SELECT track_id, r, len(r) AS i, r[1:0] AS done, CAST(NULL AS BIGINT) AS upto FROM {source}
+  UNION ALL
+  SELECT track_id, r, i - 1,
+         CASE WHEN {inner} AND ({one}) THEN done[2:] WHEN {inner} AND ({meet}) IS NOT NULL THEN list_concat([{moved}], done[2:]) ELSE list_concat([{own}], done) END,
+         CASE WHEN {inner} AND ({one}) THEN done[1].b WHEN {inner} AND ({meet}) IS NOT NULL THEN {meet} END
+  FROM {name} WHERE i > 0)"""
+
+
+_LONG = "(coalesce(upto, r[i].b) - r[i].a) * 4.0"
+_SHORT = f"r[i].kind = 'S' AND {_LONG} < 25"
+_FOLDS = ",".join(
+    [
+        _sql_fold("straight", "lists", f"{_SHORT} AND r[i - 1].kind = done[1].kind", f"CASE WHEN {_SHORT} THEN r[i].crossing END"),
+        " merged AS (SELECT track_id, done AS r FROM straight WHERE i = 0)",
+        _sql_fold("turned_once", "merged", f"r[i].kind <> 'S' AND {_LONG} < 10", "CAST(NULL AS BIGINT)"),
+    ]
+)
+
+
+@query(
+    "w9_merge_segments",
+    f"""WITH RECURSIVE {_TRACK_RUNS}, {_FOLDS},
+parts AS (SELECT track_id, done, generate_subscripts(done, 1) AS i FROM turned_once WHERE i = 0),
+named AS (
+  SELECT track_id, i, done[i] AS own, count(*) FILTER (done[i].kind <> 'S') OVER (PARTITION BY track_id) AS total,
+         coalesce(count(*) FILTER (done[i].kind <> 'S') OVER (PARTITION BY track_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn
+  FROM parts)
+SELECT track_id, i - 1 AS seg, own.a AS start_seq, own.b AS end_seq,
+       CASE own.kind WHEN 'R' THEN 'Right' WHEN 'L' THEN 'Left' ELSE 'Straight' END AS kind,
+       CASE WHEN own.kind <> 'S' THEN 'Turn ' || (turn + 1) ELSE 'Str ' || (CASE WHEN turn > 0 THEN turn ELSE total END) || '-' || (turn % greatest(total, 1) + 1) END AS name
+FROM named""",
+)
+def w9b(spark, sf):
+    w = Window.partitionBy("session_id").orderBy("tc", "event_id")
+    e = fx.events(spark, sf)
+    rate = (F.pmod(F.floor(F.col("value") * 100).cast("long"), F.lit(100)) - 50) * 8.0
+    turns = e.select(F.col("session_id").alias("track_id"), (F.row_number().over(w) - 1).cast("long").alias("seq"), rate.alias("rate"))
+    return tracks.segment_track(turns, spacing_m=4.0)
+
+
 @query("o3_markers_by_distance", "SELECT track_id, name, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(dist, 0), name) AS place FROM (SELECT session_id % 7 AS track_id, channel || '_' || session_id AS name, CASE WHEN channel <> 'error' THEN min(value) END AS dist FROM fx_samples GROUP BY session_id, channel)")
 def o3(spark, sf):
     m = fx.samples(spark, sf).groupBy("session_id", "channel").agg(F.min("value").alias("v"))
@@ -557,14 +619,61 @@ def t2(spark, sf):
     return out(spark.read.schema(stats.schema).parquet(path).withColumn("day", F.unix_timestamp("window_start").cast("double")).drop("window_start"))
 
 
-@query("t3_stream_laps", "SELECT session_id, lap_num, round(start_tc, 6) AS start_tc, round(end_tc, 6) AS end_tc FROM (SELECT *, max(lap_num) OVER (PARTITION BY session_id) AS last FROM fx_laps) WHERE lap_num < last")
-def t3(spark, sf):
-    # Laps that have closed by the end of the stream.
-    c, feed, path = fx.counter(spark, sf).select("session_id", "tc", "value"), scratch(spark, "feed"), scratch(spark, "laps")
-    c.write.parquet(feed)
-    s = jobs.stream_laps(spark.readStream.schema(c.schema).parquet(feed), None)
-    run = s.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "laps-state")).trigger(availableNow=True).start()
+def _fed(df, spark, name, part):
+    """A stream of a table in three files, one to a batch: rows by ``part`` (0, 1 or 2)."""
+    feed, kind = scratch(spark, name), df.schema
+    for i in range(3):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(feed)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(feed)
+
+
+# Ten days to a batch. One row in 20 of the first five days comes with the last ten days, too late for its windows;
+# one in 20 of each other's last day comes a batch late, in time.
+_BATCH = "CASE WHEN day < 5 AND event_id % 20 = 3 THEN 2 WHEN day IN (9, 19) AND event_id % 20 = 5 THEN day // 10 + 1 ELSE least(day // 10, 2) END"
+
+
+@query(
+    "t2_stream_sliding_stats",
+    f"""WITH days AS (SELECT *, CAST(floor(tc / 86400) AS BIGINT) AS day FROM ev),
+batches AS (SELECT *, {_BATCH} AS batch FROM days),
+kept AS (SELECT *, CAST(floor(tc / 43200) AS BIGINT) - w AS slot FROM batches, (SELECT unnest([0, 1]) AS w) WHERE NOT (day < 5 AND batch = 2))
+SELECT session_id, channel, 1704067200 + slot * 43200.0 AS start, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(avg(value), 6) AS mean_value, count(value) AS n
+FROM kept GROUP BY session_id, channel, slot
+HAVING slot * 43200 + 86400 <= (SELECT floor(max(tc) * 1000) / 1000 - 172800 FROM ev)""",
+)
+def t2b(spark, sf):
+    # Windows of a day every half a day, in append mode: each comes out once, when the watermark has passed it.
+    e = fx.events(spark, sf)
+    day = F.floor(F.col("tc") / 86400)
+    late = (day < 5) & (F.col("event_id") % 20 == 3)
+    after = day.isin(9, 19) & (F.col("event_id") % 20 == 5)
+    part = F.when(late, 2).when(after, F.floor(day / 10) + 1).otherwise(F.least(F.floor(day / 10), F.lit(2)))
+    s = _fed(e.select("session_id", "channel", "ts", "value", part.alias("part")), spark, "late-feed", F.col("part"))
+    stats, path = jobs.stream_channel_stats(s, "1 day", "12 hours", "2 days"), scratch(spark, "sliding")
+    run = stats.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "sliding-state")).trigger(availableNow=True).start()
     run.awaitTermination()
+    return out(spark.read.schema(stats.schema).parquet(path).withColumn("start", F.unix_timestamp("window_start").cast("double")).drop("window_start"))
+
+
+_CLOSED = """WITH c AS (SELECT session_id, tc, value FROM fx_counter),
+ends AS (SELECT session_id, max(tc) AS last FROM c GROUP BY session_id),
+top AS (SELECT floor(max(tc) * 1000) / 1000 AS now FROM c)
+SELECT l.session_id, l.lap_num, round(l.start_tc, 6) AS start_tc, round(l.end_tc, 6) AS end_tc
+FROM (SELECT *, max(start_tc) OVER (PARTITION BY session_id) AS open FROM fx_laps) l JOIN ends USING (session_id), top
+WHERE CASE WHEN l.start_tc < l.open THEN floor(l.end_tc * 1000) / 1000 <= now - 21600 ELSE floor(last * 1000) / 1000 + 43200 <= now - 21600 END"""
+
+
+@query("t3_stream_laps", _CLOSED)
+def t3(spark, sf):
+    # Samples in three batches: one in seven of the last hours of a batch comes with the next. Half a day without samples ends a session.
+    e, run = fx.events(spark, sf), Window.partitionBy("session_id").orderBy("tc", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    c = e.select("session_id", "ts", "tc", F.sum((F.col("channel") == "signup").cast("double")).over(run).alias("value"), "event_id")
+    third = F.least(F.floor(F.col("tc") / 864_000), F.lit(2))
+    late = (F.col("event_id") % 7 == 0) & (F.pmod(F.col("tc"), F.lit(864_000.0)) > 864_000 - 14_400)
+    c = c.withColumn("part", F.least(third + late.cast("int"), F.lit(2))).drop("event_id")
+    s, path = jobs.stream_laps(_fed(c, spark, "laps-feed", F.col("part")), "6 hours", 43_200_000), scratch(spark, "laps")
+    q = s.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "laps-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
     return out(spark.read.schema(s.schema).parquet(path))
 
 
@@ -575,8 +684,32 @@ def t3(spark, sf):
 )
 def t1(spark, sf):
     # A log for each session, written by Spark; the stream takes each once, in batches.
-    path, kept = scratch(spark, "catalog"), scratch(spark, "ingested")
-    jobs.stream_catalog(spark, _wide_logs(spark, sf), path, scratch(spark, "catalog-state"), kept, max_files=100).awaitTermination()
-    files = _session(spark.read.parquet(path).select("path", "format", "readable", "n_samples"))
-    total = _session(spark.read.parquet(kept).select("path", "value")).groupBy("session_id").agg(F.sum("value").alias("total"))
+    tables = scratch(spark, "tables")
+    jobs.stream_catalog(spark, _wide_logs(spark, sf), tables, scratch(spark, "catalog-state"), max_files=100).awaitTermination()
+    files = _session(spark.read.parquet(f"{tables}/catalog").select("path", "format", (F.col("status") == "read").alias("readable"), "n_samples"))
+    total = _session(spark.read.option("recursiveFileLookup", True).parquet(f"{tables}/samples").select("path", "value")).groupBy("session_id").agg(F.sum("value").alias("total"))
     return out(files.join(total, "session_id"), 2)
+
+
+@query(
+    "t1_stream_laps_and_metadata",
+    """WITH c AS (SELECT session_id, tc, row_number() OVER (PARTITION BY session_id ORDER BY tc, event_id) // 20 AS lap FROM ev),
+base AS (SELECT session_id, min(tc) AS base, max(tc) AS top, min(ts) AS began FROM ev GROUP BY session_id),
+marks AS (SELECT session_id, lap, tc, lag(lap) OVER (PARTITION BY session_id ORDER BY tc) AS before FROM c),
+laps AS (SELECT session_id, lap, CASE WHEN before IS NULL THEN 0.0 ELSE tc - base END AS start_tc, top - base AS top FROM marks JOIN base USING (session_id) WHERE before IS NULL OR before <> lap)
+SELECT session_id, lap AS lap_num, round(start_tc, 3) + 0.0 AS start_tc, round(coalesce(lead(start_tc) OVER w, top), 3) + 0.0 AS end_tc, strftime(began, '%m/%d/%Y') AS log_date
+FROM laps JOIN (SELECT session_id, began FROM base) USING (session_id) WINDOW w AS (PARTITION BY session_id ORDER BY start_tc)""",
+)
+def t1b(spark, sf):
+    # Logs that carry a lap counter and a clock.
+    e, w = fx.events(spark, sf), Window.partitionBy("session_id").orderBy("tc", "event_id")
+    e = e.withColumn("lap", F.floor(F.row_number().over(w) / 20))
+    rows = e.select("session_id", F.concat_ws(",", F.col("tc").cast("string"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.col("lap").cast("string")).alias("value"), "tc")
+    head = F.lit('"Interval"|"ms","Utc"|"ms","LapCount"|""')
+    logs, tables = scratch(spark, "lap-logs"), scratch(spark, "lap-tables")
+    lines = rows.unionByName(rows.select("session_id").distinct().select("session_id", head.alias("value"), F.lit(-1.0).alias("tc")))
+    lines.repartition("session_id").sortWithinPartitions("session_id", "tc").select("session_id", "value").write.partitionBy("session_id").options(**LOG).csv(logs)
+    jobs.stream_catalog(spark, logs, tables, scratch(spark, "lap-state"), max_files=200).awaitTermination()
+    found = _session(spark.read.parquet(f"{tables}/laps"))
+    meta = _session(spark.read.parquet(f"{tables}/metadata")).select("session_id", F.col("metadata")["Log Date"].alias("log_date"))
+    return out(found.join(meta, "session_id").select("session_id", "lap_num", "start_tc", "end_tc", "log_date"), 3)

@@ -42,16 +42,20 @@ def removed(new: DataFrame, old: DataFrame) -> DataFrame:
 def session_metadata(entries: DataFrame) -> DataFrame:
     """(session_id, format, key, value) rows to one row a session: metadata map, started_at, readable.
 
-    A session whose only row has a NULL key is unreadable and kept. Of several values of a key the
+    ``readable`` is what the reader said in a column of that name: a session without metadata may well be
+    readable. Without that column, sessions with metadata are. Unreadable ones are kept. Of several values of a key the
     smallest counts.
     """
+    if "readable" not in entries.columns:
+        entries = entries.withColumn("readable", F.col("key").isNotNull())
+    said = entries.groupBy("session_id", "format").agg(F.coalesce(F.bool_or("readable"), F.lit(False)).alias("readable"))
     one = entries.groupBy("session_id", "format", "key").agg(F.min("value").alias("value"))
     m = one.groupBy("session_id", "format").agg(F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))).alias("metadata"))
     text = F.concat_ws(" ", F.try_element_at("metadata", F.lit("Log Date")), F.try_element_at("metadata", F.lit("Log Time")))
     at = F.lit(None).cast("timestamp")
     for name, pattern in STARTED.items():
         at = F.when(F.col("format") == name, F.try_to_timestamp(text, F.lit(pattern))).otherwise(at)
-    return m.select("session_id", "format", "metadata", at.alias("started_at"), (F.size("metadata") > 0).alias("readable"))
+    return m.join(said, ["session_id", "format"]).select("session_id", "format", "metadata", at.alias("started_at"), "readable")
 
 
 def _matches(words: Column, text: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,21 +15,31 @@ def write_samples(samples: DataFrame, path: str, buckets: int = 0) -> None:
     ``buckets`` above 0 deals sessions to that many folders instead of one each: use it for large fleets.
     """
     if buckets:
-        samples = samples.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+        samples = samples.withColumn("bucket", _bucket(buckets))
     part = "bucket" if buckets else "session_id"
     samples.repartition(part).sortWithinPartitions(part, "session_id", "channel", "tc").write.mode("overwrite").partitionBy(part).parquet(path)
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+
+
 def write_small(table: DataFrame, path: str, kind: str = "parquet") -> None:
     """A dimension table (catalog, tracks, channel definitions) as Parquet or JSON lines."""
     table.coalesce(1).write.mode("overwrite").format(kind).save(path)
 
 
-def read_samples(spark: SparkSession, path: str, sessions: list | None = None, channels: list[str] | None = None) -> DataFrame:
-    """Samples, of the sessions and channels wanted; both reach the scan as pushed filters."""
+def read_samples(spark: SparkSession, path: str, sessions: list | None = None, channels: list[str] | None = None, buckets: int = 0) -> DataFrame:
+    """Samples, of the sessions and channels wanted; both reach the scan as pushed filters.
+
+    With the ``buckets`` that write_samples dealt them to, only the folders of the wanted sessions' buckets are opened.
+    """
     df = spark.read.parquet(path)
     if sessions is not None:
         df = df.filter(F.col("session_id").isin(sessions))
+        if buckets:
+            wanted = spark.createDataFrame([(s,) for s in sessions], df.select("session_id").schema).select(_bucket(buckets).alias("b")).distinct()
+            df = df.filter(F.col("bucket").isin([r.b for r in wanted.collect()]))  # no more than were asked for
     if channels is not None:
         df = df.filter(F.col("channel").isin(channels))
     return df.select("session_id", "channel", "tc", "value")
