@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Menus, forms, scripts and other parts that name themselves (by tag or
-role) are cut. So are containers with such a name as class or id: a whole token, or a compound
-of nothing but such names and words like "box"; not if they hold at least half of the text, for
-which the densities decide. Every node gets its characters and tags, and those inside links;
+role) are cut. So are reader comments, adverts and notices of cookies that a class, id or label names, in
+whatever tag and however much of the page they hold. Of blocks, those go as well whose name is one of a wider list: a
+whole token, or a compound of nothing but such names and words like "box"; not if they are wrappers, that is hold an
+article, a main or a first-level heading, and not if no text were left without them: then the
+densities decide. Every node gets its characters and tags, and those inside links;
 its composite density is characters per tag, adjusted for links:
 
     d = C/T * log_b(C*T / (LC*LT)),   b = ln(C/nLC * LC + LCb/Cb * C + e)
@@ -35,16 +37,24 @@ RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe",
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-CUT_TAGS = frozenset("head script style noscript template nav footer aside form button select input textarea iframe object embed svg canvas audio video dialog menu title noembed noframes xmp map datalist".split())
+CUT_TAGS = frozenset("head script style noscript template nav footer aside form fieldset legend label output progress meter button select input textarea iframe object embed svg canvas audio video dialog menu title noembed noframes xmp map datalist".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsored sponsors promo promos promotion promoted nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs sidebar sidebars sidenav footer footers header masthead topbar comment comments commentlist respond disqus replies cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright legal disclaimer login search skip teaser teasers trending".split()
 )
-#: Containers that a name may cut, and words that make compounds with names.
-NAMED_TAGS = frozenset("div section ul ol dl table center figure details header".split())
+#: Names that cut any element, with whatever other words.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsored comment comments commentlist commenters disqus respond replies discussion discussions cookie cookies consent gdpr".split()
+)
+COMMENT_NAMES = frozenset("comment comments commentlist commenters disqus respond replies discussion discussions".split())
+#: Words that say of a name how things stand with it: the element isn't the part itself.
+STATES = frozenset("no has have with without open opened closed enabled disabled free off on status count counter support supported loaded ready active allowed".split())
+#: Words that make compounds with names.
 COMPANIONS = frozenset(
-    "site page main global top bottom left right primary secondary post posts article articles entry story stories news blog content wrapper wrap container box block area section inner outer list links link item items bar button buttons icon icons panel row col column unit slot text title heading mobile desktop sticky fixed".split()
+    "site page main global top bottom left right primary secondary post posts article articles entry story stories news blog content wrapper wrap container box block area section inner outer list lists links link item items bar button buttons icon icons panel row col column unit slot text title heading mobile desktop sticky fixed reader readers user users visitor visitors guest guests customer customers thread body form".split()
 )
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby s samp small span strike strong sub sup time tt u var".split())
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 KEEP_TAGS = frozenset("html body main article".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -60,7 +70,7 @@ _NAME = re.compile(r"[a-z0-9]+")
 class Node:
     """An element: its tag, children (nodes and strings), and counts once measured."""
 
-    __slots__ = ("chars", "children", "cut", "density", "least", "link_chars", "link_tags", "linked", "named", "parent", "score", "tag", "tags")
+    __slots__ = ("chars", "children", "cut", "density", "holds", "least", "link_chars", "link_tags", "linked", "named", "parent", "score", "tag", "tags")
 
     def __init__(self, tag: str, cut: bool = False, named: bool = False):
         self.tag, self.cut, self.named, self.children = tag, cut, named, []
@@ -81,36 +91,47 @@ def _cut(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def _named(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether a container's class or id says that it is other than main text."""
-    if not attrs or tag not in NAMED_TAGS:
-        return False
+def _named(tag: str, attrs: str, inside: bool) -> str:
+    """What a class, id or label says: "sure" if the element is cut, "name" if it is unless it is a wrapper, else nothing."""
+    if not attrs or tag in ("html", "body", "main"):
+        return ""
+    found = ""
     for name, *values in _ATTR.findall(attrs):
-        # The ids of sections are often made from their headings.
-        if name.lower() != "class" and (name.lower() != "id" or tag == "section"):
+        name = name.lower()
+        if name not in ("class", "id", "aria-label", "itemprop") or (name == "id" and tag in HEADINGS):
             continue
-        for word in "".join(values).lower().split():
+        value = "".join(values).lower()
+        for word in [value] if name == "aria-label" else value.split():
             parts = _NAME.findall(word)
-            if parts[:1] in (["no"], ["has"], ["with"], ["without"]):
+            if STATES.intersection(parts):
                 continue
+            # The ids of sections are often made from their headings.
+            own = SURE_NAMES if name != "id" or tag != "section" else COMMENT_NAMES
+            plain = all(p in CUT_NAMES or p in SURE_NAMES or p in COMPANIONS or p.isdigit() for p in parts)
+            if own.intersection(parts) and (plain or (tag != "article" and name in ("class", "id"))):
+                return "sure"
             if "header" in parts and (inside or len(parts) > 1):
                 parts = [p for p in parts if p != "header"]
-            if CUT_NAMES.intersection(parts) and all(p in CUT_NAMES or p in COMPANIONS or p.isdigit() for p in parts):
-                return True
-    return False
+            if plain and name != "itemprop" and CUT_NAMES.intersection(parts) and tag not in INLINE and tag not in ("article", "h1") and (name != "id" or tag != "section"):
+                found = "name"
+    return found
 
 
 def _cut_named(root: Node) -> None:
-    """Cut the named containers that hold less than half of the text."""
+    """Cut the named parts but for wrappers: those that hold an article, a main or a first-level heading."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo.extend(c for c in node.children if isinstance(c, Node) and not c.cut)
     for node in reversed(order):
-        node.chars = sum(len("".join(c.split())) if isinstance(c, str) else 0 if c.cut else c.chars for c in node.children)
-    for node in order:
-        node.cut = node.named and 2 * node.chars < root.chars
+        node.holds = any(isinstance(c, Node) and not c.cut and (c.holds or c.tag in ("article", "main", "h1")) for c in node.children)
+    cut = [node for node in order if node.named and not node.holds]
+    for node in cut:
+        node.cut = True
+    if cut and not blocks(_find(root, "body") or root):
+        for node in cut:
+            node.cut = False
 
 
 class _Open:
@@ -189,7 +210,8 @@ def parse(html: str) -> Node:
         if tag in CLOSES and (place := opened.last(CLOSES[tag])) > opened.last(_SCOPES[tag]):
             opened.close(place)
         inside = bool(opened.places.get("article") or opened.places.get("main"))
-        node = Node(tag, _cut(tag, attrs, inside), bool(attrs) and _named(tag, attrs, inside))
+        name = _named(tag, attrs, inside) if attrs else ""
+        node = Node(tag, name == "sure" or _cut(tag, attrs, inside), name == "name")
         named = named or node.named
         opened.stack[-1].children.append(node)
         if tag in RAW:
