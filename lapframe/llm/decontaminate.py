@@ -11,8 +11,9 @@ its rarest shingle. So:
    as its prefix; windows with a shingle that no document has are out;
 3. prefixes are joined with the documents' shingles; length and position bounds drop windows
    that would begin before or end after the document;
-4. the windows left are verified within the document's row: every shingle of the chain must
-   stand at its place. Texts aren't read again.
+4. the windows left are verified: of a chain's shingles, those that cover all its words must stand at their
+   places, which is an equi-join by document and place. Texts aren't read again, and what a
+   document holds isn't gathered into a row: a document with a million hits is a million small rows.
 
 Edge cases: null and empty texts have no words; a document without words is never
 contaminated; rows that repeat a ``doc_id`` are judged on their own texts; an item
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import salted_join, stored
@@ -51,12 +52,13 @@ def _shingles(words: Column, n: Column, size: int) -> Column:
     return F.when(n >= size, h).otherwise(F.array().cast("array<struct<sh:bigint,place:bigint>>"))
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows: words, size, the ids of the items that have them (as strings)."""
+def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (wid, words, size), and the ids of the items that have them (wid, item_id as a string)."""
     w = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0))))
-    w = w.select("item_id", "w", at.alias("i")).select("item_id", F.slice("w", F.col("i") + 1, window).alias("words"))
-    return w.groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("size", F.size("words"))
+    w = stored(w.select("item_id", "w", at.alias("i")).select("item_id", F.slice("w", F.col("i") + 1, window).alias("words")).distinct(), "item_windows")
+    windows = stored(w.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words", F.size("words").alias("size")), "windows")
+    return windows, salted_join(w.filter("item_id IS NOT NULL"), windows.select("words", "wid"), "words").select("wid", "item_id")
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
@@ -83,51 +85,50 @@ def judged_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in:
     contaminated: some word is hit, and at least one word in ``one_in``.
     """
     spark = docs.sparkSession
-    windows = stored(item_windows(items, window), "windows")
+    windows, named = item_windows(items, window)
+    named = stored(named, "window_items")
     sizes = sorted(r.s for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("s")).distinct().collect())  # at most SHINGLE values
     chain = F.array().cast("array<struct<sh:bigint,place:bigint>>")
     for s in sizes:
         chain = F.when(F.least("size", F.lit(SHINGLE)) == s, _shingles(F.col("words"), F.col("size"), s)).otherwise(chain)
-    windows = stored(windows.select("items", "size", F.least("size", F.lit(SHINGLE)).alias("s"), chain.alias("chain")), "chains")
-    placed = windows.select("items", "size", "s", "chain", F.posexplode("chain").alias("off", "x")).select("items", "size", "s", "chain", "off", F.col("x.sh").alias("sh"))
+    windows = stored(windows.select("wid", "size", F.least("size", F.lit(SHINGLE)).alias("s"), F.transform(chain, lambda x: x.sh).alias("chain")), "chains")
+    placed = windows.select("wid", F.posexplode("chain").alias("off", "sh"))
     wanted = stored(placed.select("sh").distinct(), "shingles")
 
+    # A row is told by its doc_id, null included, and its text's hash.
+    who = ["id", "none", "key"]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    d = d.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     own = F.array(F.struct(F.lit(_BASE).cast("long").alias("sh"), F.lit(-1).cast("long").alias("place")))
-    d = d.select("doc_id", "key", "n_words", F.inline(F.concat(own, *[_shingles(F.col("words"), F.col("n_words"), s) for s in sizes])))
+    d = d.select(*who, "n_words", F.inline(F.concat(own, *[_shingles(F.col("words"), F.col("n_words"), s) for s in sizes])))
     bits = bitmap(wanted.unionByName(spark.range(_BASE, _BASE + 1).toDF("sh")), "sh")
     probed = stored(may_be_in(d, "sh", bits), "probed")
-    rows = probed.filter(F.col("place") < 0).select("doc_id", "key", "n_words")
-    found = salted_join(probed.filter(F.col("place") >= 0), wanted, "sh").dropDuplicates(["doc_id", "key", "place"])
+    rows = probed.filter(F.col("place") < 0).select(*who, "n_words")
+    found = salted_join(probed.filter(F.col("place") >= 0), wanted, "sh").dropDuplicates([*who, "place"])
     found = stored(found, "shingle_hits")
 
     counts = found.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
-    rarest = placed.join(counts, "sh", "left").groupBy("chain").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "sh")).alias("r"), *[F.first(c).alias(c) for c in ("items", "size", "s")])
-    prefixes = stored(rarest.filter("r.df > 0").select("r.sh", "r.off", "items", "size", "s", F.transform("chain", lambda x: x.sh).alias("chain")), "prefixes")
+    rarest = placed.join(counts, "sh", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "sh")).alias("r")).filter("r.df > 0")
+    # Shingles side by side, and the last, cover all words of a window; the prefix is known to be there.
+    cover = F.filter(F.transform("chain", lambda x, i: F.struct(i.alias("off"), x.alias("sh"))), lambda c: ((c.off % F.col("s") == 0) | (c.off == F.col("size") - F.col("s"))) & (c.off != F.col("off")))
+    prefixes = stored(windows.join(rarest.select("wid", "r.off", "r.sh"), "wid").select("wid", "size", "s", "off", "sh", cover.alias("cover")), "prefixes")
     near = salted_join(found, prefixes, "sh").withColumn("start", (F.shiftright("place", 2) - F.col("off")).cast("int"))
-    near = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
-    near = stored(near.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size", "s", "chain", "items")).alias("near")), "candidates")
-
-    # Of each row with candidates, its hits by place: no more than it has words.
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) & (F.col("key") == F.col("key2"))
-    near = near.withColumnsRenamed({"doc_id": "id2", "key": "key2"})
-    own = found.join(near.select("id2", "key2"), same("doc_id", "id2"), "left_semi").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("place", "sh"))).alias("at"))
-    held = near.join(own, same("doc_id", "id2"))
-
-    def whole(c: Column) -> Column:
-        there = lambda x, i: F.coalesce(F.try_element_at("at", ((c.start + i) * SHINGLE + c.s - 1).cast("long")) == x, F.lit(False))
-        return F.forall(F.transform(c.chain, there), lambda x: x)
-
-    held = held.withColumn("held", F.filter("near", whole)).filter(F.size("held") > 0)
-    covered = F.array_distinct(F.flatten(F.transform("held", lambda c: F.sequence(c.start, c.start + c.size - 1))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("held", lambda c: c.items))))
-    held = held.select("id2", "key2", F.size(covered).alias("hit"), names.alias("names"))
-
-    out = rows.join(held, same("doc_id", "id2"), "left")
+    near = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words"))).select(*who, "wid", "start", "size", "s", "cover")
+    near = stored(near, "candidates")
+    check = near.select(*who, "wid", "start", "size", "s", F.size("cover").alias("checks"), F.explode("cover").alias("c"))
+    check = check.select(*who, "wid", "start", "size", "checks", ((F.col("start") + F.col("c.off")) * SHINGLE + F.col("s") - 1).cast("long").alias("place"), F.col("c.sh").alias("sh"))
+    there = check.join(found.select(*who, "place", "sh"), [*who, "place", "sh"]).groupBy(*who, "wid", "start", "size", "checks").count().filter("count = checks")
+    hits = stored(there.select(*who, "wid", "start", "size").unionByName(near.filter(F.size("cover") == 0).select(*who, "wid", "start", "size")), "hits")
+
+    # Words that a hit adds to those of the hits before it.
+    reached = F.max(F.col("start") + F.col("size")).over(Window.partitionBy(*who).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
+    added = F.greatest(F.lit(0), F.col("start") + F.col("size") - F.greatest("start", F.coalesce(reached, F.lit(0))))
+    hit = hits.select(*who, "start", "size").distinct().withColumn("added", added).groupBy(*who).agg(F.sum("added").alias("hit"))
+    items_of = salted_join(hits.select(*who, "wid").distinct(), named, "wid").groupBy(*who).agg(F.array_sort(F.collect_set("item_id")).alias("names"))
+    out = rows.join(hit.join(items_of, who, "left"), who, "left")
     n_hit = F.coalesce(F.col("hit"), F.lit(0)).cast("long")
     return out.select(
-        "doc_id",
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         "key",
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),

@@ -399,3 +399,16 @@ def test_blocks_hold_every_link_between_components(spark):
             both = len(sets[a] & sets[b])
             if a < b and label[a] != label[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 assert tuple(sorted((block[a], block[b]))) in pairs
+
+
+def test_decontamination_of_documents_full_of_hits(spark):
+    """A long document of one word, and one that repeats an item throughout: time grows with length, results are exact."""
+    import time
+
+    item = " ".join(f"q{i}" for i in range(20))
+    items = spark.createDataFrame([("same", "word " * 14), ("seq", item), ("short", "alpha beta")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "word " * 60_000), (2, (item + " ") * 4_000), (3, "x " * 50 + "alpha beta"), (4, "word " * 12)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (60_000, 60_000, 1, True), 2: (80_000, 80_000, 1, True), 3: (52, 2, 1, False), 4: (12, 0, 0, False)}
+    assert time.time() - began < 120
