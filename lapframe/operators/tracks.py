@@ -103,51 +103,80 @@ def segments(track_points: DataFrame) -> DataFrame:
 
 #: Metres in which nearest_on_track looks first; and no two places on earth are further apart than that.
 FIRST_LOOK, FURTHEST = 30.0, 20_100_000.0
+#: Sizes of cells in metres, each eight times the one before, up to one that holds all.
+LEVELS = [50.0 * 8**i for i in range(6)] + [FURTHEST]
+_DEGREE = 111_000.0
+#: Degrees of longitude to one of latitude in a cell: up to 66 degrees north or south it stays at least as wide as high.
+_WIDER = 2.5
 
 
 def nearest_on_track(points: DataFrame, track_points: DataFrame, max_dist: float | None = None) -> DataFrame:
     """Per point (session_id, tc, lat, lon, track_id) the closest segment of its track, within ``max_dist`` metres if given.
 
-    Adds idx (segment and part of it) and off (metres). Points that find nothing near look again eight times
-    as far, until all have found a segment; so only far points meet wide cells. Of a track without
+    Adds idx (segment and part of it) and off (metres). Points that have no segment within FIRST_LOOK meet a pyramid of
+    cells: the smallest level whose cells around a point hold some of its track bounds how far the closest
+    segment can be, and the level above holds all segments within that. So a far point meets few, wide cells,
+    and a segment stands in cells of those levels only that its track's points need. Of a track without
     segments, or beyond ``max_dist``, both are NULL.
     """
-    within = min(max_dist or FIRST_LOOK, FURTHEST)
-    found = _nearest_within(points, track_points, within)
     if max_dist is not None:
-        return found
-    # Each look is written once: the next one reads the points that are left.
-    found = kept(found, "near")
-    done = found.filter("off IS NOT NULL")
-    while within < FURTHEST and found.filter("off IS NULL").limit(1).count():
-        within = min(within * 8, FURTHEST)
-        found = kept(_nearest_within(found.filter("off IS NULL").select(*points.columns), track_points, within), "near")
-        done = done.unionByName(found.filter("off IS NOT NULL"))
-    return done.unionByName(found.filter("off IS NULL"))
+        return _nearest_within(points, track_points, min(max_dist, FURTHEST))
+    found = kept(_nearest_within(points, track_points, FIRST_LOOK), "near")
+    far = found.filter("off IS NULL").select(*points.columns)
+    seg = segments(track_points)
+    sizes = F.array(*[F.lit(x) for x in LEVELS])
+    every = lambda df: df.select("*", F.posexplode(sizes).alias("level", "size"))
+    own = ["session_id", "tc", "track_id"]
+    occupied = _in_cells(every(seg)).select("track_id", "level", "cx", "cy").distinct()
+    first = _own_cell(every(far)).join(occupied, ["track_id", "level", "cx", "cy"]).groupBy(*own).agg(F.min("level").alias("level"))
+    # The cells' segments lie within about five cells and a segment's length.
+    m = math.pi / 180 * 6371008.8
+    length = F.sqrt(F.pow((F.col("lat1") - F.col("lat")) * m, F.lit(2)) + F.pow((F.col("lon1") - F.col("lon")) * m, F.lit(2)))
+    longest = seg.groupBy("track_id").agg(F.max(length).alias("longest"))
+    least = F.least(F.size(F.filter(sizes, lambda x: x < F.col("longest") / 2.5)), F.lit(len(LEVELS) - 1))
+    level = F.least(F.greatest("level", least) + 1, F.lit(len(LEVELS) - 1))
+    far = far.join(first.join(longest, "track_id").withColumn("level", level.cast("int")).select(*own, "level"), own)
+    needed = far.select("track_id", "level").distinct()
+    seg = _in_cells(seg.join(needed, "track_id").withColumn("size", F.get(sizes, F.col("level"))))
+    best = _closest(_own_cell(far.withColumn("size", F.get(sizes, F.col("level")))), seg, ["track_id", "level", "cx", "cy"])
+    reached = found.filter("off IS NOT NULL")
+    return reached.unionByName(found.filter("off IS NULL").drop("idx", "off").join(best, own, "left"))
+
+
+def _in_cells(seg: DataFrame) -> DataFrame:
+    """Segments in each cell of ``size`` metres that their box reaches, and in those around."""
+    seg = seg.withColumn("_h", F.col("size") / _DEGREE)
+
+    def box(a: str, b: str, width: Column) -> Column:
+        lo, hi = F.floor(F.least(a, b) / width) - 1, F.floor(F.greatest(a, b) / width) + 1
+        return F.explode(F.sequence(lo.cast("long"), hi.cast("long")))
 
+    return seg.withColumn("cy", box("lat", "lat1", F.col("_h"))).withColumn("cx", box("lon", "lon1", F.col("_h") * _WIDER)).drop("_h", "size")
 
-def _nearest_within(points: DataFrame, track_points: DataFrame, max_dist: float) -> DataFrame:
-    """The closest segment within ``max_dist``. Segments are met through grid cells at least that wide, each
-    segment in every cell that its box reaches, so a point compares with its own cell's segments only.
-    """
-    size = max(max_dist, 50.0) / 111_000.0  # degrees of latitude; a degree of longitude is no longer
-    lon_size = size * 2.5  # up to 66 degrees of latitude a cell stays at least as wide
 
-    def box(a: str, b: str, width: float) -> Column:
-        lo, hi = F.floor(F.least(a, b) / width) - 1, F.floor(F.greatest(a, b) / width) + 1
-        return F.explode(F.sequence(lo.cast("long"), hi.cast("long")))
+def _own_cell(points: DataFrame) -> DataFrame:
+    high = F.col("size") / _DEGREE
+    return points.withColumn("cy", F.floor(F.col("lat") / high).cast("long")).withColumn("cx", F.floor(F.col("lon") / (high * _WIDER)).cast("long"))
+
 
-    seg = segments(track_points).withColumn("cy", box("lat", "lat1", size)).withColumn("cx", box("lon", "lon1", lon_size))
-    seg = seg.select("track_id", "seq", *[F.col(c).alias(f"s_{c}") for c in ("lat", "lon", "lat1", "lon1")], "cx", "cy")
-    own = points.withColumn("cy", F.floor(F.col("lat") / size).cast("long")).withColumn("cx", F.floor(F.col("lon") / lon_size).cast("long"))
+def _closest(points: DataFrame, seg: DataFrame, cells: list[str], within: float = FURTHEST * 2) -> DataFrame:
+    """session_id, tc, track_id, idx and off of the closest segment that a point shares a cell with."""
+    seg = seg.select("seq", *[F.col(c).alias(f"s_{c}") for c in ("lat", "lon", "lat1", "lon1")], *cells)
     m = math.pi / 180 * 6371008.8
     k = F.cos(F.radians("lat"))
     ax, ay = (F.col("s_lon") - F.col("lon")) * k * m, (F.col("s_lat") - F.col("lat")) * m
     dx, dy = (F.col("s_lon1") - F.col("s_lon")) * k * m, (F.col("s_lat1") - F.col("s_lat")) * m
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
-    x = own.join(seg, ["track_id", "cx", "cy"]).withColumn("t", t)
-    x = x.withColumn("off", F.sqrt(F.pow(ax + F.col("t") * dx, F.lit(2)) + F.pow(ay + F.col("t") * dy, F.lit(2)))).filter(F.col("off") <= max_dist)
-    best = x.groupBy("session_id", "tc", "track_id").agg(F.min(F.struct("off", (F.col("seq") + F.col("t")).alias("idx"))).alias("b")).select("session_id", "tc", "track_id", "b.idx", "b.off")
+    x = points.join(seg, cells).withColumn("t", t)
+    x = x.withColumn("off", F.sqrt(F.pow(ax + F.col("t") * dx, F.lit(2)) + F.pow(ay + F.col("t") * dy, F.lit(2)))).filter(F.col("off") <= within)
+    best = x.groupBy("session_id", "tc", "track_id").agg(F.min(F.struct("off", (F.col("seq") + F.col("t")).alias("idx"))).alias("b"))
+    return best.select("session_id", "tc", "track_id", "b.idx", "b.off")
+
+
+def _nearest_within(points: DataFrame, track_points: DataFrame, max_dist: float) -> DataFrame:
+    """The closest segment within ``max_dist``, by cells at least that wide."""
+    size = F.lit(max(max_dist, LEVELS[0]))
+    best = _closest(_own_cell(points.withColumn("size", size)), _in_cells(segments(track_points).withColumn("size", size)), ["track_id", "cx", "cy"], max_dist)
     return points.join(best, ["session_id", "tc", "track_id"], "left")
 
 

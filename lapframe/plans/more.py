@@ -315,6 +315,45 @@ def j7(spark, sf):
     return out(tracks.nearest_on_track(p, _track(spark, sf)).select("session_id", "tc", "track_id", "idx", "off"), 3)
 
 
+_FAR = "CASE session_id % 3 WHEN 0 THEN 0.0001 WHEN 1 THEN 0.045 ELSE 9.0 END"
+
+
+@query("j7_far_points", _NEAREST.replace("FROM fx_fixes p", f"FROM (SELECT session_id, tc, lat + {_FAR} AS lat, lon FROM fx_fixes WHERE CAST(tc AS BIGINT) % 20000 = 0) p"))
+def j7b(spark, sf):
+    # A third of the sessions ten metres off the track's line, a third five kilometres, a third a thousand.
+    k = F.col("session_id") % 3
+    p = fx.fixes(spark, sf).filter("tc % 20000 = 0").withColumn("track_id", F.col("session_id") % 7)
+    p = p.withColumn("lat", F.col("lat") + F.when(k == 0, 0.0001).when(k == 1, 0.045).otherwise(9.0))
+    return out(tracks.nearest_on_track(p, _track(spark, sf)).select("session_id", "tc", "track_id", "idx", "off"), 3)
+
+
+# Two circuits a few hundred metres apart and one far away; a third of the sessions run on each of the two, and a
+# third on the first in the other direction.
+_CIRCUITS = f"""
+WITH t AS (
+  SELECT track_id, i AS seq, 45 + 0.004 * sin(2 * pi() * i / 180) + CASE track_id WHEN 1 THEN 0.003 WHEN 2 THEN 1.0 ELSE 0 END AS lat, 9 + 0.006 * cos(2 * pi() * i / 180) AS lon
+  FROM (SELECT unnest(range(0, 181)) AS i), (SELECT unnest([0, 1, 2]) AS track_id)),
+seg AS (SELECT track_id, seq, lat, lon, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1 FROM t WINDOW w AS (PARTITION BY track_id ORDER BY seq) QUALIFY lat1 IS NOT NULL),
+path AS (SELECT session_id, CASE WHEN session_id % 3 = 2 THEN 60000 - tc ELSE tc END AS tc, lat + CASE WHEN session_id % 3 = 1 THEN 0.003 ELSE 0 END AS lat, lon FROM fx_fixes WHERE tc < 50000),
+d AS (
+  SELECT p.session_id, p.tc, s.track_id, seq, (s.lon - p.lon) * cos(radians(p.lat)) * {_M} AS ax, (s.lat - p.lat) * {_M} AS ay,
+         (s.lon1 - s.lon) * cos(radians(p.lat)) * {_M} AS dx, (s.lat1 - s.lat) * {_M} AS dy
+  FROM path p, seg s),
+e AS (SELECT *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS u FROM d),
+near AS (SELECT session_id, tc, track_id, min(sqrt((ax + u * dx) * (ax + u * dx) + (ay + u * dy) * (ay + u * dy))) AS off, arg_min(seq + u, (ax + u * dx) * (ax + u * dx) + (ay + u * dy) * (ay + u * dy)) AS idx FROM e GROUP BY ALL),
+steps AS (SELECT *, idx > lag(idx) OVER (PARTITION BY session_id, track_id ORDER BY tc) AS up FROM near),
+fit AS (SELECT session_id, track_id, max(off) AS off, avg(up::INT) AS up FROM steps GROUP BY ALL)
+SELECT session_id, arg_min(track_id, off) AS track_id, round(min(off), 3) AS off FROM fit WHERE off < 15 AND up > 0.9 GROUP BY session_id"""
+
+
+@query("j8_match_circuits", _CIRCUITS)
+def j8b(spark, sf):
+    one = _track(spark, sf).filter("track_id = 0")
+    shifted = lambda k, by: one.withColumn("track_id", F.lit(k).cast("long")).withColumn("lat", F.col("lat") + by)
+    path = fx.fixes(spark, sf).filter("tc < 50000").select("session_id", F.when(F.col("session_id") % 3 == 2, 60_000 - F.col("tc")).otherwise(F.col("tc")).alias("tc"), (F.col("lat") + F.when(F.col("session_id") % 3 == 1, 0.003).otherwise(0.0)).alias("lat"), "lon")
+    return out(tracks.match_track(path, one.unionByName(shifted(1, 0.003)).unionByName(shifted(2, 1.0))), 3)
+
+
 @query("j8_match_track", "SELECT DISTINCT user_id AS session_id, 0 AS track_id FROM events")
 def j8(spark, sf):
     own = _track(spark, sf).filter("track_id = 0")
@@ -388,12 +427,27 @@ def a7(spark, sf):
     return out(_sectors(spark, sf).select("session_id", "lap_num", "seq", "sector", "best"), 0)
 
 
+_BAND = "CASE WHEN delta <= 1 THEN 'best' WHEN delta < 100 THEN '<0.1' WHEN delta < 300 THEN '<0.3' WHEN delta < 500 THEN '<0.5' WHEN delta >= 500 THEN 'slower' END"
+
+
+@query("a7_delta_and_band", f"{_SECT}, g AS (SELECT session_id, lap_num, seq, sector - min(sector) OVER (PARTITION BY session_id, seq) AS delta FROM f) SELECT session_id, lap_num, seq, round(delta, 0) + 0.0 AS delta, {_BAND} AS band FROM g")
+def a7c(spark, sf):
+    return out(_sectors(spark, sf).select("session_id", "lap_num", "seq", "delta", "band"), 0)
+
+
 @query("a7_best_total", f"{_SECT}, g AS (SELECT session_id, seq, min(sector) AS b FROM f GROUP BY ALL) SELECT session_id, round(sum(b), 0) + 0.0 AS best_total FROM g GROUP BY session_id")
 def a7b(spark, sf):
     return out(reports.best_total(_sectors(spark, sf)), 0)
 
 
-@query("a9_scatter_pairs")
+_PAIRS = """WITH x AS (SELECT s.session_id, l.lap_num, s.tc, s.value AS x FROM fx_samples s JOIN fx_laps l ON s.session_id = l.session_id AND s.tc >= l.start_tc AND s.tc <= l.end_tc AND l.end_tc > l.start_tc WHERE channel = 'click'),
+v AS (SELECT * FROM fx_samples WHERE channel = 'view'),
+p AS (SELECT x.*, v.tc AS t0, v.value AS v0 FROM x ASOF LEFT JOIN v ON x.session_id = v.session_id AND x.tc >= v.tc),
+n AS (SELECT p.*, v.tc AS t1, v.value AS v1 FROM p ASOF LEFT JOIN v ON p.session_id = v.session_id AND p.tc <= v.tc)
+SELECT session_id, lap_num, round(tc, 6) AS tc, round(x, 6) AS x, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (tc - t0) / (t1 - t0) END, 6) AS y FROM n WHERE t0 IS NOT NULL OR t1 IS NOT NULL"""
+
+
+@query("a9_scatter_pairs", _PAIRS)
 def a9(spark, sf):
     return out(reports.scatter_pairs(fx.samples(spark, sf), fx.laps(spark, sf), "click", "view"))
 
@@ -508,6 +562,15 @@ def s4(spark, sf):
     return catalog.catalog_changes(u.filter(k != 1), old).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s4_changed_paths", "SELECT user_id AS session_id, CASE user_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'deleted' WHEN 2 THEN 'changed' WHEN 3 THEN 'changed' ELSE 'unchanged' END AS change FROM events GROUP BY user_id")
+def s4b(spark, sf):
+    # Of five files one is new, one gone, one of another size, one of another time, one as it was.
+    u = fx.events(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("size"), F.max("ts").alias("mtime")).withColumn("path", F.concat(F.lit("/logs/session_id="), F.col("session_id").cast("string"), F.lit("/a.log")))
+    k = F.col("session_id") % 5
+    old = u.filter(k != 0).withColumn("size", F.when(k == 2, F.col("size") + 1).otherwise(F.col("size"))).withColumn("mtime", F.when(k == 3, F.col("mtime") - F.expr("INTERVAL 1 SECOND")).otherwise(F.col("mtime")))
+    return _session(catalog.catalog_changes(u.filter(k != 1), old))
+
+
 @query("u4_removed", "SELECT DISTINCT user_id AS session_id FROM events WHERE user_id % 5 = 1")
 def u4(spark, sf):
     u = fx.events(spark, sf).select("session_id").distinct().withColumn("path", F.col("session_id").cast("string"))
@@ -519,6 +582,11 @@ def s3(spark, sf):
     return catalog.scan_catalog(spark, _wide_logs(spark, sf)).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s3_scan_paths", "SELECT user_id AS session_id, 'wide text' AS format, true AS filled FROM events GROUP BY user_id")
+def s3b(spark, sf):
+    return _session(catalog.scan_catalog(spark, _wide_logs(spark, sf)).select("path", "format", (F.col("size") > 0).alias("filled")))
+
+
 @query("s5_detect_format", "SELECT CASE user_id % 4 WHEN 0 THEN 'wide text' WHEN 1 THEN 'sectioned text' WHEN 2 THEN 'xrk' END AS format, count(*) AS n FROM events GROUP BY 1")
 def s5(spark, sf):
     ext = F.element_at(F.array(*[F.lit(x) for x in (".LOG", ".vbo", ".Xrk", ".pdf")]), (F.col("user_id") % 4 + 1).cast("int"))
@@ -558,6 +626,30 @@ def w3(spark, sf):
     return out(laps.laps_from_odometer(c), 3)
 
 
+_ODOMETER = """WITH w AS (
+  SELECT session_id, tc, coalesce(value, 0) AS value,
+         CASE WHEN session_id % 5 = 0 AND tc > 2000000 THEN 0 ELSE 1 + sum(CASE WHEN channel = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY tc, event_id) END AS lap
+  FROM ev),
+l AS (SELECT *, lag(lap) OVER p AS lap0, lag(tc) OVER p AS tc0 FROM w WINDOW p AS (PARTITION BY session_id ORDER BY tc)),
+b AS (SELECT session_id, tc, lap, CASE WHEN lap = 0 THEN tc ELSE greatest(tc0, tc - value * 100 / 40 * 1000) END AS at FROM l WHERE lap0 <> lap),
+cuts AS (
+  SELECT DISTINCT session_id, -1.0 AS o, 0.0 AS at FROM w
+  UNION ALL SELECT session_id, tc, at FROM b
+  UNION ALL SELECT session_id, 1e12, max(tc) FROM w WHERE session_id NOT IN (SELECT session_id FROM b WHERE lap = 0) GROUP BY session_id)
+SELECT session_id, row_number() OVER p - 1 AS lap_num, round(at, 3) + 0.0 AS start_tc, round(lead(at) OVER p, 3) + 0.0 AS end_tc
+FROM cuts WINDOW p AS (PARTITION BY session_id ORDER BY o) QUALIFY end_tc IS NOT NULL"""
+
+
+@query("w3_laps_put_back", _ODOMETER)
+def w3b(spark, sf):
+    # Lap distances that put boundaries back, at times beyond the sample ahead; some sessions end with lap 0.
+    e, w = fx.events(spark, sf), Window.partitionBy("session_id").orderBy("tc", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    lap = F.sum((F.col("channel") == "signup").cast("double")).over(w) + 1
+    c = e.select("session_id", "tc", lap.alias("lap"), (F.coalesce("value", F.lit(0.0)) * 100).alias("lap_dist"), F.lit(40.0).alias("speed"))
+    c = c.withColumn("lap", F.when((F.col("session_id") % 5 == 0) & (F.col("tc") > 2_000_000), 0.0).otherwise(F.col("lap")))
+    return out(laps.laps_from_odometer(c), 3)
+
+
 @query("w4_laps_from_beacon", "WITH b AS (SELECT session_id, 1 AS part, tc - 1000 + 50 AS m FROM ev WHERE channel = 'signup'), c AS (SELECT session_id, part, m FROM b UNION ALL SELECT session_id, 0, 0 FROM fx_ends UNION ALL SELECT session_id, 2, max(tc) + 0.002 FROM ev GROUP BY session_id) SELECT session_id, row_number() OVER w - 1 AS lap_num, floor(m) AS start_tc, floor(lead(m) OVER w) AS end_tc FROM c WINDOW w AS (PARTITION BY session_id ORDER BY part, m) QUALIFY lead(m) OVER w IS NOT NULL")
 def w4(spark, sf):
     # Each sign-up sends -1, an offset of 50, then 100, a thousandth apart.
@@ -596,6 +688,41 @@ def x1(spark, sf):
     return out(derive.derive_channels(fx.samples(spark, sf), made))
 
 
+@query(
+    "f2_expressions",
+    f"""WITH v AS (SELECT session_id, tc, a, b, a * 3.6 AS k FROM {_ALIGNED})
+SELECT session_id, tc, name AS channel, round(CASE name
+  WHEN 'power' THEN (a / 100) * (a / 100) * (a / 100) - b * b
+  WHEN 'above' THEN CASE WHEN a > b THEN 1 ELSE 0 END + CASE WHEN a <= 50 THEN 2 ELSE 0 END + CASE WHEN a <> b THEN 4 ELSE 0 END
+  WHEN 'logic' THEN CASE WHEN (a > 40 AND b > 40) OR NOT (a + b < 90) THEN 1 ELSE 0 END
+  WHEN 'chosen' THEN CASE WHEN a > b THEN greatest(a, 30) ELSE least(b, 70) END + CASE WHEN a > 0 THEN ln(a) ELSE 0 END
+  WHEN 'in kph' THEN k - a END, 4) + 0.0 AS value
+FROM v, (SELECT unnest(['power', 'above', 'logic', 'chosen', 'in kph']) AS name)""",
+)
+def f2(spark, sf):
+    # Power, comparisons, logic, choice, extremes, logarithm, and a reference in another unit.
+    s = fx.samples(spark, sf).withColumn("units", F.when(F.col("channel") == "click", "m/s").otherwise(""))
+    deps, hold = {"a": "click", "b": "view"}, {"click", "view"}
+    made = [
+        derive.Derived("power", "power(a / 100, 3) - power(b, 2)", deps, hold=hold),
+        derive.Derived("above", "int(a > b) + 2 * int(a <= 50) + 4 * int(a != b)", deps, hold=hold),
+        derive.Derived("logic", "int((a > 40 AND b > 40) OR NOT (a + b < 90))", deps, hold=hold),
+        derive.Derived("chosen", "if(a > b, greatest(a, 30), least(b, 70)) + if(a > 0, ln(a), 0)", deps, hold=hold),
+        derive.Derived("in kph", "k - a + 0 * b", {**deps, "k": "click"}, units={"k": "km/h"}, hold=hold),
+    ]
+    return out(derive.derive_channels(s, made), 4)
+
+
+@query("x2_running_sum_in_chunks", f"SELECT session_id, 'run' AS channel, round(tc, 3) AS tc, round(sum(a - b) OVER (PARTITION BY session_id ORDER BY tc), 3) + 0.0 AS value FROM {_ALIGNED}")
+def x2b(spark, sf):
+    def gap(pdf, state):
+        total = (pdf["click"] - pdf["view"]).cumsum() + (state or 0.0)
+        return total, float(total.iloc[-1])
+
+    derive.register_channel_fn("gap in chunks", gap)
+    return out(derive.apply_channel_fn_in_chunks(fx.samples(spark, sf), "gap in chunks", {"click": False, "view": False}, "run", 1000), 3)
+
+
 @query("x2_channel_function", f"SELECT session_id, 'run' AS channel, round(tc, 3) AS tc, round(sum(a - b) OVER (PARTITION BY session_id ORDER BY tc), 3) + 0.0 AS value FROM {_ALIGNED}")
 def x2(spark, sf):
     derive.register_channel_fn("running gap", lambda pdf: (pdf["click"] - pdf["view"]).cumsum())
