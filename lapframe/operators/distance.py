@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import kept
 from .align import asof, assign_laps, interp_join
 from .buckets import BUCKET_MS, bucket, edges, first_of, ignoring_nulls, running, within
 
@@ -43,7 +44,9 @@ def build_dist_map(speed: DataFrame, laps: DataFrame, grid_ms: float = 10.0, exp
     # Ahead of a bucket stand its session's end and first speed as well.
     firsts = speed.filter("value IS NOT NULL").groupBy("session_id").agg(F.min(F.struct(tc.alias("tc"), (-F.col("value")).alias("v"))).alias("x")).select("session_id", (-F.col("x.v")).alias("first_value"))
     known = edges(rows, ("session_id",), ["s", "lap", "at"]).join(ends, "session_id").join(firsts, "session_id").withColumn("k", F.when(F.col("_side") > 0, F.col("at.k")))
-    rows = rows.drop("at").unionByName(known.drop("at"), allowMissingColumns=True).repartition("session_id", "_bucket")
+    rows = rows.drop("at").unionByName(known.drop("at"), allowMissingColumns=True)
+    # Stretches are used twice; with the filters that joins would infer on one side only, both uses share their shuffle.
+    rows = rows.filter("session_id IS NOT NULL AND _bucket IS NOT NULL").repartition("session_id", "_bucket")
     rows = rows.groupBy("session_id", "_bucket", "_side", "k").agg(F.max("s").alias("s"), first_of("s").alias("s_first"), F.max("lap").alias("lap"), F.max("k_end").alias("k_end"), F.max("first_value").alias("first_value"))
     w = within(("session_id",), "k")
     so_far = [F.max(c).over(running(w)).alias(c) for c in ("s", "lap", "k_end", "first_value")]
@@ -55,14 +58,17 @@ def build_dist_map(speed: DataFrame, laps: DataFrame, grid_ms: float = 10.0, exp
     n = F.col("k1") - F.col("k0")
     seg = seg.select("session_id", "_bucket", F.col("lap.lap_num").alias("lap_num"), F.col("lap.inner").alias("inner"), "k0", "k1", "k_end", "v", "slope", ((n * F.col("v") + F.col("slope") * n * (n - 1) / 2) * g / 1000).alias("raw"))
 
-    # The stretches of one lap in one bucket are a run: few to a session.
+    # The stretches of one lap in one bucket are a run: few to a session, whose lengths and sums are windows over it.
     runs = seg.groupBy("session_id", "_bucket", "lap_num").agg(F.sum("raw").alias("raw"), F.first("inner").alias("inner"), F.min("k0").alias("k0"), F.min_by("v", "k0").alias("v"))
-    lens = runs.filter("inner").groupBy("session_id", "lap_num").agg(F.sum("raw").alias("len"))
-    want = expected if expected is not None else lens.groupBy("session_id").agg(F.median("len").alias("length"))
-    factor = F.when(F.abs(F.try_divide(F.col("len") - F.col("length"), "length")) <= 0.05, F.try_divide("length", "len")).otherwise(1.0)
-    factor = lens.join(want, "session_id").select("session_id", "lap_num", factor.alias("factor"))
-    in_turn = by.orderBy("k0")
-    runs = runs.join(factor, ["session_id", "lap_num"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    runs = runs.repartition("session_id")
+    in_lap, in_turn = Window.partitionBy("session_id", "lap_num"), by.orderBy("k0")
+    runs = runs.withColumn("len", F.when(F.col("inner"), F.sum("raw").over(in_lap))).withColumn("once", F.row_number().over(in_lap.orderBy("k0")) == 1)
+    if expected is None:
+        runs = runs.withColumn("length", F.median(F.when(F.col("once"), F.col("len"))).over(by))
+    else:
+        runs = runs.join(expected.select("session_id", "length"), "session_id", "left")
+    near = F.abs(F.try_divide(F.col("len") - F.col("length"), "length")) <= 0.05
+    runs = runs.withColumn("factor", F.coalesce(F.when(near, F.try_divide("length", "len")), F.lit(1.0)))
     ahead = F.coalesce(F.sum(F.col("factor") * F.col("raw")).over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     follows = F.lead(F.col("factor") * F.col("v") * g / 1000).over(in_turn)
     runs = runs.select("session_id", "_bucket", F.struct("lap_num", "factor", ahead.alias("before"), follows.alias("next_step")).alias("run"))
@@ -163,6 +169,7 @@ def resample_by_distance(samples: DataFrame, laps: DataFrame, dist_map: DataFram
     """
     i = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_dist") - F.col("start_dist")) / step_m).cast("long")))
     at = laps.withColumn("i", i).withColumn("dist", F.col("start_dist") + F.col("i") * F.lit(float(step_m)))
-    at = dist_to_time(at.select("session_id", "lap_num", "i", "dist"), dist_map, grid_ms)
+    # Written, since each ordered join looks at its points twice: once for the edges of buckets.
+    at = kept(dist_to_time(at.select("session_id", "lap_num", "i", "dist"), dist_map, grid_ms), "places")
     channels = samples.select("session_id", "channel").distinct()
     return interp_join(at.join(channels, "session_id"), samples).select("session_id", "lap_num", "channel", "i", "value")

@@ -217,13 +217,14 @@ def turn_rate(path: DataFrame, spacing_m: float = 1.0) -> DataFrame:
 _RUN = "struct<kind:string,a:bigint,b:bigint,cross:bigint>"
 
 
-def _folded(runs: Column, decide: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+def _folded(runs: Column, lefts: Column | None, decide: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
     """Runs (an array) merged from the last to the first, in one pass.
 
-    ``decide`` says of a run, the kind of the run before it and the run that follows whether the three become
+    ``decide`` says of a run, the kind of the run before it (from ``lefts``, if given) and the run that follows whether the three become
     one, or else where the two around it meet in its place (null: it stays). The first two runs and the last are kept.
     """
-    numbered = F.transform(runs, lambda r, i: F.struct(r.alias("r"), i.alias("i"), F.get(runs, i - 1)["kind"].alias("left")))
+    left = lambda i: F.lit(None).cast("string") if lefts is None else F.get(lefts, i)
+    numbered = F.transform(runs, lambda r, i: F.struct(r.alias("r"), i.alias("i"), left(i).alias("left")))
     # What has been done, in order, and where the run to come ends if a later one changed that.
     start = F.struct(F.array().cast(f"array<{_RUN}>").alias("done"), F.lit(None).cast("bigint").alias("end"))
 
@@ -258,7 +259,8 @@ def segment_track(turns: DataFrame, limit: float = 150.0, min_straight: float =
     crossed = (F.col("new") == 0) & ((F.col("rate") > 0) != (F.lag("rate").over(w) > 0))
     x = x.withColumn("cross", F.when(crossed, F.col("seq")))
     runs = x.groupBy("track_id", "run").agg(F.first("kind").alias("kind"), F.min("seq").alias("a"), (F.max("seq") + 1).alias("b"), F.min("cross").alias("cross"))
-    tracks = runs.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("run", F.struct("kind", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cross").cast("long").alias("cross")).alias("r")))).alias("all"))
+    runs = runs.withColumn("left", F.lag("kind").over(Window.partitionBy("track_id").orderBy("run")))
+    tracks = runs.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("run", "left", F.struct("kind", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cross").cast("long").alias("cross")).alias("r")))).alias("all"))
     length = lambda r: (r["b"] - r["a"]) * F.lit(float(spacing_m))
 
     def short_straight(own: Column, left: Column, right: Column) -> tuple[Column, Column]:
@@ -268,8 +270,9 @@ def segment_track(turns: DataFrame, limit: float = 150.0, min_straight: float =
     def short_turn(own: Column, left: Column, right: Column) -> tuple[Column, Column]:
         return (own["kind"] != "S") & (length(own) < min_turn), F.lit(None).cast("bigint")
 
-    tracks = tracks.select("track_id", _folded(F.transform("all", lambda x: x["r"].cast(_RUN)), short_straight).alias("r"))
-    tracks = tracks.select("track_id", _folded(F.col("r"), short_turn).alias("r"))
+    tracks = tracks.select("track_id", F.transform("all", lambda x: x["r"].cast(_RUN)).alias("r"), F.col("all.left").alias("lefts"))
+    tracks = tracks.select("track_id", _folded(F.col("r"), F.col("lefts"), short_straight).alias("r"))
+    tracks = tracks.select("track_id", _folded(F.col("r"), None, short_turn).alias("r"))
     turns_in = lambda part: F.size(F.filter(part, lambda r: r["kind"] != "S"))
     rows = tracks.select("track_id", "r", turns_in(F.col("r")).alias("total"), F.posexplode("r").alias("seg", "own"))
     rows = rows.withColumn("turn", turns_in(F.slice("r", 1, F.col("seg")))).withColumn("is_turn", F.col("own.kind") != "S")
@@ -285,7 +288,7 @@ def reinsert_laps(fixes: DataFrame, speed: DataFrame, lines: DataFrame, length:
 
     Sessions that never cross the line keep one lap from 0 to their end.
     """
-    laps = laps_from_gps(fixes, lines)
+    laps = kept(laps_from_gps(fixes, lines), "laps")  # the map looks at them several times
     return laps, build_dist_map(speed, laps, grid_ms, length)
 
 
@@ -294,8 +297,9 @@ def best_lap_path(samples: DataFrame, laps: DataFrame, dist_map: DataFrame, lat:
 
     ``laps`` have start_dist and end_dist. Columns: track_id (the session), seq, lat, lon, alt (0 without the channel), speed.
     """
+    laps = kept(laps, "laps")
     many = laps.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("session_id")
-    best = best_lap(laps.join(many, "session_id")).select("session_id", "lap_num").join(laps, ["session_id", "lap_num"])
+    best = kept(best_lap(laps.join(many, "session_id")).select("session_id", "lap_num").join(laps, ["session_id", "lap_num"]), "best_laps")
     names = [c for c in (lat, lon, speed, alt) if c]
     even = resample_by_distance(samples.filter(F.col("channel").isin(*names)), best, dist_map, step_m, grid_ms)
     wide = even.groupBy("session_id", "i").pivot("channel", names).agg(F.first("value"))
@@ -312,7 +316,7 @@ def build_track(path: DataFrame, spacing_m: float = 1.0, point_m: float = 10.0,
     """
     every = max(1, round(point_m / spacing_m))
     points = path.filter(F.pmod(F.col("seq"), F.lit(every)) == 0).select("track_id", (F.col("seq") / every).cast("long").alias("seq"), "lat", "lon", (F.col("seq") * F.lit(float(spacing_m))).alias("dist"))
-    parts = segment_track(turn_rate(path, spacing_m), limit, spacing_m=spacing_m)
+    parts = kept(segment_track(turn_rate(path, spacing_m), limit, spacing_m=spacing_m), "parts")
     marks = parts.join(path.select("track_id", F.col("seq").alias("start_seq"), "lat", "lon"), ["track_id", "start_seq"])
     on = nearest_on_track(marks.select(F.col("track_id").alias("session_id"), F.col("seg").alias("tc"), "track_id", "lat", "lon"), points)
     return points, marks.join(on.select("track_id", F.col("tc").alias("seg"), (F.col("idx") * F.lit(float(every * spacing_m))).alias("dist")), ["track_id", "seg"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -201,6 +202,29 @@ def w13(spark, sf):
     return out(cut, 1)
 
 
+def _map_sql(laps_sql: str, lengths: str) -> str:
+    """The literal grid of a distance map over other laps (session_id, lap_num, start_tc, end_tc), inner ones scaled to ``lengths`` (session_id, length)."""
+    steps = ("fx_gridlaps", "fx_kend", "fx_points", "fx_prev", "fx_next", "fx_grid", "fx_len")
+    own = {"fx_laps": "gx_laps", **{n: "g" + n[1:] for n in (*steps, "fx_factor", "fx_dist")}}
+    renamed = lambda text: re.sub(r"\bfx_\w+", lambda m: own.get(m[0], m[0]), text)
+    views = [f"gx_laps AS ({laps_sql})", *[f"{own[n]} AS ({renamed(fx.VIEWS[n])})" for n in steps]]
+    views.append(f"gx_factor AS (SELECT session_id, lap_num, CASE WHEN abs(len - length) / length <= 0.05 THEN length / len ELSE 1.0 END AS factor FROM gx_len JOIN ({lengths}) USING (session_id))")
+    views.append(f"gx_dist AS ({renamed(fx.VIEWS['fx_dist'])})")
+    return "WITH " + ", ".join(views)
+
+
+_RECUT = f"SELECT session_id, row_number() OVER w - 1 AS lap_num, tc AS start_tc, lead(tc) OVER w AS end_tc FROM (SELECT session_id, tc FROM ({_CROSS}) UNION ALL SELECT DISTINCT session_id, 0.0 FROM fx_fixes UNION ALL SELECT session_id, max(tc) FROM fx_fixes GROUP BY session_id) WINDOW w AS (PARTITION BY session_id ORDER BY tc) QUALIFY lead(tc) OVER w IS NOT NULL"
+
+
+@query("w13_rescaled_map", _map_sql(_RECUT, "SELECT session_id, avg(value) * 62 AS length FROM fx_speed GROUP BY session_id") + " SELECT session_id, k * 1000.0 AS tc, round(dist, 3) AS dist FROM gx_dist")
+def w13b(spark, sf):
+    # Laps cut again at the line, and those near the track's length scaled to it.
+    line, speed = _line(spark, sf), fx.speed(spark, sf)
+    length = speed.groupBy("session_id").agg((F.avg("value") * 62).alias("length"))
+    cut, found = tracks.reinsert_laps(fx.fixes(spark, sf), speed, line, length, fx.GRID_MS)
+    return out(distance.dist_grid(found, fx.GRID_MS), 3)
+
+
 @query("w10_build_track")
 def w10(spark, sf):
     # Laps between crossings of the start line; speed is the way from fix to fix.
@@ -533,6 +557,16 @@ def s6(spark, sf):
     return out(s.select("session_id", F.col("metadata")["Driver"].alias("driver"), F.col("metadata")["Vehicle"].alias("vehicle"), F.unix_timestamp("started_at").cast("double").alias("started"), "readable"))
 
 
+@query("s6_venue", f"SELECT session_id, CASE session_id % 3 WHEN 0 THEN 'Track 0' WHEN 1 THEN 'Track 1' END AS venue, driver FROM {_META}")
+def s6b(spark, sf):
+    # Two sessions of three run on a stored track; the third keeps its metadata as it was.
+    s = _sessions(spark, sf)
+    found = s.select("session_id", (F.col("session_id") % 3).alias("track_id")).filter("track_id < 2")
+    names = found.select("track_id").distinct().select("track_id", F.concat(F.lit("Track "), F.col("track_id").cast("string")).alias("name"))
+    v = catalog.with_venue(s, found, names)
+    return v.select("session_id", F.col("metadata")["Venue"].alias("venue"), F.col("metadata")["Driver"].alias("driver"))
+
+
 @query("p3_search_channels", "SELECT DISTINCT channel || '_' || (session_id % 7) AS channel FROM fx_samples WHERE (channel || '_' || (session_id % 7)) ~ '^p.*' AND session_id % 7 IN (3)")
 def p3(spark, sf):
     c = fx.samples(spark, sf).select(F.concat("channel", F.lit("_"), (F.col("session_id") % 7).cast("string")).alias("channel")).distinct()
@@ -631,13 +665,13 @@ _ODOMETER = """WITH w AS (
          CASE WHEN session_id % 5 = 0 AND tc > 2000000 THEN 0 ELSE 1 + sum(CASE WHEN channel = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY tc, event_id) END AS lap
   FROM ev),
 l AS (SELECT *, lag(lap) OVER p AS lap0, lag(tc) OVER p AS tc0 FROM w WINDOW p AS (PARTITION BY session_id ORDER BY tc)),
-b AS (SELECT session_id, tc, lap, CASE WHEN lap = 0 THEN tc ELSE greatest(tc0, tc - value * 100 / 40 * 1000) END AS at FROM l WHERE lap0 <> lap),
+b AS (SELECT session_id, tc, lap, CASE WHEN lap = 0 THEN tc ELSE greatest(tc0, tc - value * 100 / 40 * 1000) END AS mark FROM l WHERE lap0 <> lap),
 cuts AS (
-  SELECT DISTINCT session_id, -1.0 AS o, 0.0 AS at FROM w
-  UNION ALL SELECT session_id, tc, at FROM b
+  SELECT DISTINCT session_id, -1.0 AS o, 0.0 AS mark FROM w
+  UNION ALL SELECT session_id, tc, mark FROM b
   UNION ALL SELECT session_id, 1e12, max(tc) FROM w WHERE session_id NOT IN (SELECT session_id FROM b WHERE lap = 0) GROUP BY session_id)
-SELECT session_id, row_number() OVER p - 1 AS lap_num, round(at, 3) + 0.0 AS start_tc, round(lead(at) OVER p, 3) + 0.0 AS end_tc
-FROM cuts WINDOW p AS (PARTITION BY session_id ORDER BY o) QUALIFY end_tc IS NOT NULL"""
+SELECT session_id, row_number() OVER p - 1 AS lap_num, round(mark, 3) + 0.0 AS start_tc, round(lead(mark) OVER p, 3) + 0.0 AS end_tc
+FROM cuts WINDOW p AS (PARTITION BY session_id ORDER BY o) QUALIFY lead(mark) OVER p IS NOT NULL"""
 
 
 @query("w3_laps_put_back", _ODOMETER)
@@ -691,7 +725,7 @@ def x1(spark, sf):
 @query(
     "f2_expressions",
     f"""WITH v AS (SELECT session_id, tc, a, b, a * 3.6 AS k FROM {_ALIGNED})
-SELECT session_id, tc, name AS channel, round(CASE name
+SELECT session_id, round(tc, 4) AS tc, name AS channel, round(CASE name
   WHEN 'power' THEN (a / 100) * (a / 100) * (a / 100) - b * b
   WHEN 'above' THEN CASE WHEN a > b THEN 1 ELSE 0 END + CASE WHEN a <= 50 THEN 2 ELSE 0 END + CASE WHEN a <> b THEN 4 ELSE 0 END
   WHEN 'logic' THEN CASE WHEN (a > 40 AND b > 40) OR NOT (a + b < 90) THEN 1 ELSE 0 END

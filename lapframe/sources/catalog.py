@@ -58,6 +58,17 @@ def session_metadata(entries: DataFrame) -> DataFrame:
     return m.join(said, ["session_id", "format"]).select("session_id", "format", "metadata", at.alias("started_at"), "readable")
 
 
+def with_venue(sessions: DataFrame, matched: DataFrame, tracks: DataFrame) -> DataFrame:
+    """S6 with J8: ``sessions`` whose metadata have the name of their track (``matched``: session_id, track_id; ``tracks``: track_id, name) as Venue.
+
+    A session without a track keeps its metadata as they are.
+    """
+    own = matched.join(tracks.select("track_id", "name"), "track_id").groupBy("session_id").agg(F.min("name").alias("_venue"))
+    rest = F.map_filter("metadata", lambda k, _: k != "Venue")
+    named = F.when(F.col("_venue").isNull(), F.col("metadata")).otherwise(F.map_concat(rest, F.create_map(F.lit("Venue"), F.col("_venue"))))
+    return sessions.join(own, "session_id", "left").withColumn("metadata", named).drop("_venue")
+
+
 def _matches(words: Column, text: str) -> Column:
     """Whether each blank-separated term of ``text`` begins some word; * stands for anything."""
 

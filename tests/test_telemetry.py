@@ -189,7 +189,7 @@ def test_headers_are_first_lines_and_metadata_of_logs(spark, tmp_path):
     m = text_logs.log_metadata(spark, str(tmp_path), "*.log").withColumnRenamed("path", "session_id")
     by = {r.session_id[-5]: r for r in catalog.session_metadata(m).collect()}
     assert by["a"].metadata == {"Log Date": "11/14/2023", "Log Time": "22:13:20"} and by["a"].started_at is not None
-    assert not by["b"].readable and by["c"].metadata == {"Log Date": "03/02/2024", "Log Time": "10:11:12"} and by["c"].format == "sectioned text"
+    assert by["b"].readable and by["b"].metadata == {} and by["c"].metadata == {"Log Date": "03/02/2024", "Log Time": "10:11:12"} and by["c"].format == "sectioned text"
     twice = spark.createDataFrame([(1, "x", "Driver", "b"), (1, "x", "Driver", "a")], "session_id long, format string, key string, value string")
     assert catalog.session_metadata(twice).first().metadata == {"Driver": "a"}
 
