@@ -138,6 +138,11 @@ def compare_suffixes(sparse: DataFrame) -> DataFrame:
                         n = len(last_words)
                         spans.append((doc_id, key, place - min(place, LEFT), place + n))
                     else:
+                        # A periodic text has as many equal suffixes as words: they don't wait without bound.
+                        if len(waiting) >= WAITING:
+                            run_from = 0
+                            if batch := release(True):
+                                yield batch
                         waiting.append([doc_id, key, place, least, most, body, before, waiting[-1][7] if waiting else WINDOW])
                     continue
                 words, head = body.split(" "), body[:SPLIT_CHARS]

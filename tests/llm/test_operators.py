@@ -412,3 +412,15 @@ def test_decontamination_of_documents_full_of_hits(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect()}
     assert got == {1: (60_000, 60_000, 1, True), 2: (80_000, 80_000, 1, True), 3: (52, 2, 1, False), 4: (12, 0, 0, False)}
     assert time.time() - began < 120
+
+
+def test_suffixes_of_a_periodic_text_wait_in_bounds(spark, monkeypatch):
+    """Equal suffixes of one document beyond the bound: the same rows as with any other bound."""
+    periodic = "a b c d e f g h i j " * 400
+    rows = [(1, periodic), (2, "x " * 10 + periodic[:1200]), (3, "one " * 900), (4, "one " * 300), (5, "y " + "one " * 60 + "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    for bound in (3, 100_000):
+        monkeypatch.setattr(suffix_dedup, "WAITING", bound)
+        seen[bound] = sorted(map(tuple, suffix_dedup.remove_repeated_passages(docs).collect()))
+    assert seen[3] == seen[100_000] == sorted(map(tuple, phrase_dedup.remove_repeated_phrases(docs).collect()))
