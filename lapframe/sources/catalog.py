@@ -143,9 +143,3 @@ def key_channels(sessions: DataFrame, channels: DataFrame) -> DataFrame:
     held = named.join(channels.select("session_id", "channel").distinct(), ["session_id", "channel"], "left_semi")
     out = held.groupBy("session_id").pivot("role", list(roles)).agg(F.first("channel"))
     return sessions.select("session_id").join(out, "session_id", "left")
-
-
-def latest_run(sessions: DataFrame) -> DataFrame:
-    """The last session of each vehicle."""
-    w = Window.partitionBy(F.try_element_at("metadata", F.lit("Vehicle"))).orderBy(F.desc_nulls_last("started_at"), F.desc("session_id"))
-    return sessions.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
