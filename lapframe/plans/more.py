@@ -242,8 +242,12 @@ def w10(spark, sf):
 
 # Turn rates made of values, so that runs are short and every rule of merging is met.
 _RATES = "(SELECT session_id AS track_id, row_number() OVER (PARTITION BY session_id ORDER BY tc, event_id) - 1 AS seq, (CAST(floor(value * 100) AS BIGINT) % 100 - 50) * 8.0 AS rate FROM ev)"
-_TRACK_RUNS = f"""
-rates AS (SELECT *, CASE WHEN rate > 150 THEN 'R' WHEN rate < -150 THEN 'L' ELSE 'S' END AS kind FROM {_RATES}),
+
+
+def _runs_sql(rates: str) -> str:
+    """Runs of rates (track_id, seq, rate) as a list for each track."""
+    return f"""
+rates AS (SELECT *, CASE WHEN rate > 150 THEN 'R' WHEN rate < -150 THEN 'L' ELSE 'S' END AS kind FROM {rates} WHERE rate IS NOT NULL),
 marked AS (
   SELECT *, coalesce(kind <> lag(kind) OVER w, true) AS fresh, (rate > 0) <> (lag(rate) OVER w > 0) AS turned
   FROM rates WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
@@ -270,20 +274,16 @@ def _sql_fold(name: str, source: str, one: str, meet: str) -> str:
   FROM {name} WHERE i > 0)"""
 
 
-_LONG = "(coalesce(upto, r[i].b) - r[i].a) * 4.0"
-_SHORT = f"r[i].kind = 'S' AND {_LONG} < 25"
-_FOLDS = ",".join(
-    [
-        _sql_fold("straight", "lists", f"{_SHORT} AND r[i - 1].kind = done[1].kind", f"CASE WHEN {_SHORT} THEN r[i].crossing END"),
+def _segments_sql(rates: str, spacing: float) -> str:
+    """Segments of tracks: runs merged by two recursive queries, then named."""
+    long = f"(coalesce(upto, r[i].b) - r[i].a) * {spacing}"
+    short = f"r[i].kind = 'S' AND {long} < 25"
+    folds = [
+        _sql_fold("straight", "lists", f"{short} AND r[i - 1].kind = done[1].kind", f"CASE WHEN {short} THEN r[i].crossing END"),
         " merged AS (SELECT track_id, done AS r FROM straight WHERE i = 0)",
-        _sql_fold("turned_once", "merged", f"r[i].kind <> 'S' AND {_LONG} < 10", "CAST(NULL AS BIGINT)"),
+        _sql_fold("turned_once", "merged", f"r[i].kind <> 'S' AND {long} < 10", "CAST(NULL AS BIGINT)"),
     ]
-)
-
-
-@query(
-    "w9_merge_segments",
-    f"""WITH RECURSIVE {_TRACK_RUNS}, {_FOLDS},
+    return f"""WITH RECURSIVE {_runs_sql(rates)}, {",".join(folds)},
 parts AS (SELECT track_id, done, generate_subscripts(done, 1) AS i FROM turned_once WHERE i = 0),
 named AS (
   SELECT track_id, i, done[i] AS own, count(*) FILTER (done[i].kind <> 'S') OVER (PARTITION BY track_id) AS total,
@@ -292,8 +292,10 @@ named AS (
 SELECT track_id, i - 1 AS seg, own.a AS start_seq, own.b AS end_seq,
        CASE own.kind WHEN 'R' THEN 'Right' WHEN 'L' THEN 'Left' ELSE 'Straight' END AS kind,
        CASE WHEN own.kind <> 'S' THEN 'Turn ' || (turn + 1) ELSE 'Str ' || (CASE WHEN turn > 0 THEN turn ELSE total END) || '-' || (turn % greatest(total, 1) + 1) END AS name
-FROM named""",
-)
+FROM named"""
+
+
+@query("w9_merge_segments", _segments_sql(_RATES, 4.0))
 def w9b(spark, sf):
     w = Window.partitionBy("session_id").orderBy("tc", "event_id")
     e = fx.events(spark, sf)
@@ -403,7 +405,10 @@ def w8(spark, sf):
     return out(tracks.turn_rate(p, 4.0), 4)
 
 
-@query("w9_segment_track")
+_WAVES = "(SELECT session_id AS track_id, seq, sin(seq / 12.0::DOUBLE) * 260 + value / 100 AS rate FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tc) AS seq FROM fx_samples))"
+
+
+@query("w9_segment_track", _segments_sql(_WAVES, 1.0))
 def w9(spark, sf):
     s = fx.samples(spark, sf).withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("tc")).cast("long"))
     wave = F.sin(F.col("seq") / 12.0) * 260 + F.col("value") / 100
