@@ -9,8 +9,8 @@ union's sketch that both have) drops most pairs; the rest are confirmed on full
 Lists longer than HOT_LIST are never paired out. A class draws its candidates from retained
 values that aren't hot: with at least MOSTLY_COLD of one of two linked sets such values, the two
 share none of them with a chance below 1e-7. Classes with more hot values than that also
-join hot lists. There each member is compared with the list's first and last member; what is
-linked so is one component, and only members of different components are compared further:
+join hot lists. There each member is compared with the list's first and last member, whose pairs are dealt
+to several tasks; what is linked so is one component, and only members of different components are compared further:
 full sets meet by exact prefixes (of two linked sets, the rarest quarter of each holds a
 common value), and sets that meet so form a family. A family's sets are put in blocks by size and
 component, and blocks are paired only where sizes allow a link and components differ; so a
@@ -108,11 +108,20 @@ def _shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _beside(pairs: DataFrame, own: DataFrame, side: str, hubs: dict[str, DataFrame] | None) -> DataFrame:
+    """``pairs`` with the columns that ``own`` has for one side.
+
+    Ids of ordinary lists have few pairs. The ends of a hot list are in as many as it has members: with the
+    pairs of each (``hubs``: by side, id and at most how many), theirs are dealt to several tasks.
+    """
+    return salted_join(pairs, own, side, counts=hubs[side]) if hubs else pairs.join(own, side)
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, hubs: dict[str, DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) whose set sizes and sketches allow a link, with the number of values that both sketches have."""
     for side in "ab":
         own = classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-        pairs = pairs.join(own, side)
+        pairs = _beside(pairs, own, side, hubs)
     sized = pairs.filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
     return sized.filter(_enough(F.col("sa"), F.col("sb"))).select("a", "b", _shared(F.col("sa"), F.col("sb")).alias("both"))
 
@@ -123,13 +132,15 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(full_sets(only(keyed(docs), keys)).dropDuplicates(["id"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= 75 * union."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, with_hubs: bool = False) -> DataFrame:
+    """Of stored pairs, those whose full sets have 100 * intersection >= 75 * union."""
     if not pairs.limit(1).count():
         return pairs.select("a", "b")
+    hubs = {side: stored(pairs.groupBy(side).count().filter("count > 1"), "pair_counts") for side in "ab"} if with_hubs else None
     sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
-    held = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("sb")), "b")
-    held = held.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("sa")), "a")
+    held = pairs.select("a", "b")
+    for side in "ba":
+        held = _beside(held, sets.select(F.col("id").alias(side), F.col("hashes").alias(f"s{side}")), side, hubs)
     held = held.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), _shared(F.col("sa"), F.col("sb")).alias("both"))
     return held.filter(100 * F.col("both") >= 75 * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -278,8 +289,9 @@ def near_rows(docs: DataFrame, null_ids: bool) -> DataFrame:
         ends = stored(hot_listed.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("count")), "hot_lists")
         star = salted_join(hot_listed, ends.drop("count"), "value", counts=ends)
         star = star.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(star.select(F.col("id").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct()
-        first = first.unionByName(_estimated(star, classes).select("a", "b")).distinct()
-    links = stored(_confirmed(stored(first, "first"), docs), "links")
+        hubs = {side: ends.groupBy(F.col(end).alias(side)).agg(F.sum("count").alias("count")) for side, end in (("a", "lo"), ("b", "hi"))}
+        first = first.unionByName(_estimated(star, classes, hubs).select("a", "b")).distinct()
+    links = stored(_confirmed(stored(first, "first"), docs, with_hubs=hot_listed is not None), "links")
     labels = connected_components(links)
 
     def component(ids: DataFrame, side: str) -> DataFrame:
