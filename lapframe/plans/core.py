@@ -180,12 +180,16 @@ _DUR = "(SELECT *, end_tc - start_tc AS dur, end_dist - start_dist AS dist, row_
 _BEST = f"(SELECT session_id, lap_num, start_tc, end_tc, start_dist, end_dist, dur FROM (SELECT x.*, row_number() OVER (PARTITION BY session_id ORDER BY dur, lap_num) AS r FROM (SELECT d.*, median(dist) OVER (PARTITION BY session_id) AS med FROM {_DUR} d WHERE n <= 2 OR (i > 1 AND i < n)) x WHERE n <= 2 OR dist >= 0.95 * med) WHERE r = 1)"
 
 
+#: The same with distances in micrometres, as best_lap compares them.
+_BEST_UM = _BEST.replace("d.*, median(dist) OVER (PARTITION BY session_id) AS med FROM", "d.* REPLACE (round(dist, 6) AS dist), median(round(dist, 6)) OVER (PARTITION BY session_id) AS med FROM")
+
+
 @query("a5_lap_distances", f"SELECT d.session_id, lap_num, round(dist, 3) AS dist, round(med, 3) AS median_dist FROM {_DUR} d LEFT JOIN (SELECT session_id, median(dist) AS med FROM {_DUR} WHERE i > 1 AND i < n GROUP BY session_id) USING (session_id)")
 def a5(spark, sf):
     return out(laps.lap_distances(fx.dist_laps(spark, sf)), 3)
 
 
-@query("a6_best_lap", f"SELECT session_id, lap_num, round(start_tc, 6) AS start_tc, round(end_tc, 6) AS end_tc, round(dur, 6) AS duration FROM {_BEST}")
+@query("a6_best_lap", f"SELECT session_id, lap_num, round(start_tc, 6) AS start_tc, round(end_tc, 6) AS end_tc, round(dur, 6) AS duration FROM {_BEST_UM}")
 def a6(spark, sf):
     return out(laps.best_lap(fx.dist_laps(spark, sf)))
 
@@ -203,9 +207,9 @@ def w11(spark, sf):
 
 _SLIP = f"""WITH pts AS (
 SELECT l.session_id, l.lap_num, b.lap_num AS ref_num, i * 50000.0 AS rel, side, CASE side WHEN 'own' THEN l.start_tc ELSE b.start_tc END AS t0, i * 50000.0 + CASE side WHEN 'own' THEN l.start_dist ELSE b.start_dist END AS dist
-FROM fx_dlaps l JOIN {_BEST} b ON l.session_id = b.session_id, LATERAL (SELECT unnest(range(0, CAST(floor((b.end_dist - b.start_dist) / 50000) AS BIGINT) + 1)) AS i), (VALUES ('own'), ('ref')) s(side)),
-inv AS (SELECT p.*, a.k AS k0, a.dist AS d0, n.k AS k1, n.dist AS d1 FROM pts p ASOF LEFT JOIN fx_dist a ON p.session_id = a.session_id AND p.dist >= a.dist ASOF LEFT JOIN fx_dist n ON p.session_id = n.session_id AND p.dist < n.dist),
-t AS (SELECT session_id, lap_num, ref_num, rel, side, CASE WHEN k0 IS NULL THEN 0.0 WHEN k1 IS NULL THEN k0 * 1000.0 ELSE (k0 + (dist - d0) / (d1 - d0)) * 1000 END - t0 AS t FROM inv)
+FROM fx_dlaps l JOIN {_BEST_UM} b ON l.session_id = b.session_id, LATERAL (SELECT unnest(range(0, CAST(floor(round(b.end_dist - b.start_dist, 6) / 50000) AS BIGINT) + 1)) AS i), (VALUES ('own'), ('ref')) s(side)),
+inv AS (SELECT p.*, a.k_hi AS k0, a.d_hi AS d0, n.k_lo AS k1, n.d_lo AS d1 FROM (SELECT *, round(dist, 6) AS at FROM pts) p ASOF LEFT JOIN fx_places a ON p.session_id = a.session_id AND p.at >= a.at ASOF LEFT JOIN fx_places n ON p.session_id = n.session_id AND p.at < n.at),
+t AS (SELECT session_id, lap_num, ref_num, rel, side, CASE WHEN k0 IS NULL THEN 0.0 WHEN k1 IS NULL THEN k0 * 1000.0 ELSE (k0 + greatest(0, least(1, (dist - d0) / (d1 - d0)))) * 1000 END - t0 AS t FROM inv)
 SELECT session_id, lap_num, rel, round(CASE WHEN lap_num <> ref_num THEN (max(t) FILTER (side = 'own') - max(t) FILTER (side = 'ref')) / 1000 END, 3) + 0.0 AS slip_s FROM t GROUP BY session_id, lap_num, ref_num, rel"""
 
 
