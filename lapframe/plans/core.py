@@ -115,16 +115,16 @@ def j5(spark, sf):
     return out(fx.dist_laps(spark, sf).select("session_id", "lap_num", "start_dist", "end_dist"), 3)
 
 
-_INV = """SELECT p.session_id, p.lap_num, p.dist, p.rel, a.k AS k0, a.dist AS d0, b.k AS k1, b.dist AS d1
-FROM (SELECT l.session_id, l.lap_num, i * 20000.0 AS rel, start_dist + i * 20000.0 AS dist FROM fx_dlaps l, (SELECT unnest(range(0, 3)) AS i) WHERE start_dist + i * 20000.0 < end_dist) p
-ASOF LEFT JOIN fx_dist a ON p.session_id = a.session_id AND p.dist >= a.dist
-ASOF LEFT JOIN fx_dist b ON p.session_id = b.session_id AND p.dist < b.dist"""
+_INV = """SELECT p.session_id, p.lap_num, p.dist, p.rel, a.k_hi AS k0, a.d_hi AS d0, b.k_lo AS k1, b.d_lo AS d1
+FROM (SELECT l.session_id, l.lap_num, i * 20000.0 AS rel, start_dist + i * 20000.0 AS dist, round(start_dist + i * 20000.0, 6) AS at FROM fx_dlaps l, (SELECT unnest(range(0, 3)) AS i) WHERE round(start_dist + i * 20000.0, 6) < round(end_dist, 6)) p
+ASOF LEFT JOIN fx_places a ON p.session_id = a.session_id AND p.at >= a.at
+ASOF LEFT JOIN fx_places b ON p.session_id = b.session_id AND p.at < b.at"""
 
 
-@query("j5_dist_to_time", f"SELECT session_id, lap_num, rel, round(CASE WHEN k0 IS NULL THEN 0.0 WHEN k1 IS NULL THEN k0 * 1000.0 ELSE (k0 + (dist - d0) / (d1 - d0)) * 1000 END, 1) AS tc FROM ({_INV})")
+@query("j5_dist_to_time", f"SELECT session_id, lap_num, rel, round(CASE WHEN k0 IS NULL THEN 0.0 WHEN k1 IS NULL THEN k0 * 1000.0 ELSE (k0 + greatest(0, least(1, (dist - d0) / (d1 - d0)))) * 1000 END, 1) AS tc FROM ({_INV})")
 def j5b(spark, sf):
     lp, m = fx.mapped_laps(spark, sf)
-    p = lp.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("rel", F.col("i") * 20000.0).withColumn("dist", F.col("start_dist") + F.col("rel")).filter("dist < end_dist")
+    p = lp.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("rel", F.col("i") * 20000.0).withColumn("dist", F.col("start_dist") + F.col("rel")).filter(distance.micrometres(F.col("dist")) < distance.micrometres(F.col("end_dist")))
     return out(distance.dist_to_time(p.select("session_id", "lap_num", "rel", "dist"), m, fx.GRID_MS).drop("dist"), 1)
 
 
