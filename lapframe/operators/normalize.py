@@ -116,11 +116,12 @@ def decode_gear_bits(samples: DataFrame) -> DataFrame:
 def drop_gps_sentinels(samples: DataFrame, lat: str, lon: str, alt: str, rule: str = "zero") -> DataFrame:
     """Rows of the position channels where the fix is (0, 0), or (90, 0) for rule ``pole``, go together."""
     want = (0.0, 0.0) if rule == "zero" else (90.0, 0.0)
-    own = F.col("channel").isin(lat, lon, alt)
-    bad = samples.filter(own).groupBy("session_id", "tc").agg(
-        F.bool_or((F.col("channel") == lat) & (F.col("value") == want[0])).alias("a"), F.bool_or((F.col("channel") == lon) & (F.col("value") == want[1])).alias("b")
-    ).filter("a AND b").select("session_id", "tc", F.explode(F.array(F.lit(lat), F.lit(lon), F.lit(alt))).alias("channel"))
-    return samples.join(bad, ["session_id", "tc", "channel"], "left_anti").select(*samples.columns)
+    # A window over the few rows of one time, not a join: what is dropped may be a large table.
+    at = Window.partitionBy("session_id", "tc")
+    seen = [F.coalesce(F.bool_or((F.col("channel") == c) & (F.col("value") == v)).over(at), F.lit(False)) for c, v in zip((lat, lon), want, strict=True)]
+    own = F.coalesce(F.col("channel").isin(lat, lon, alt), F.lit(False)) & F.col("session_id").isNotNull() & F.col("tc").isNotNull()
+    x = samples.withColumns({"_lat": seen[0], "_lon": seen[1], "_own": own})
+    return x.filter("NOT (_own AND _lat AND _lon)").select(*samples.columns)
 
 
 def infer_decimals(cells: DataFrame) -> DataFrame:
