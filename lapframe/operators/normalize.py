@@ -133,7 +133,8 @@ def infer_decimals(cells: DataFrame) -> DataFrame:
 def ecef_to_lla(samples: DataFrame, prefix: str = "ecef_") -> DataFrame:
     """Six ECEF channels (x y z in cm, dx dy dz in cm/s) to lat, lon, alt and speed channels."""
     names = [prefix + n for n in ("x", "y", "z", "dx", "dy", "dz")]
-    wide = samples.filter(F.col("channel").isin(*names)).groupBy("session_id", "tc").pivot("channel", names).agg(F.max("value"))
+    # One aggregate, not a pivot, which first groups by channel as well: that shuffles six times the rows once more.
+    wide = samples.filter(F.col("channel").isin(*names)).groupBy("session_id", "tc").agg(*[F.max(F.when(F.col("channel") == n, F.col("value"))).alias(n) for n in names])
     wide = wide.select("session_id", "tc", *[(F.col(f"`{n}`") / 100).alias(s) for n, s in zip(names, ("x", "y", "z", "dx", "dy", "dz"), strict=True)])
     for step in ecef_to_lla_steps("x", "y", "z"):
         wide = wide.withColumns(step)

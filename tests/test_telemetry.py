@@ -237,3 +237,11 @@ def test_entry_and_registry(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and len(names) > 70
     assert __spark_entry__.entry(spark).columns == ["session_id", "tc", "value"]
+
+
+def test_ecef_channels_are_gathered_in_one_shuffle(spark):
+    names = ("ecef_x", "ecef_y", "ecef_z", "ecef_dx", "ecef_dy", "ecef_dz")
+    s = spark.createDataFrame([(1, 0.0, n, v) for n, v in zip(names, (637813700.0, 0.0, 0.0, 300.0, 400.0, 1200.0), strict=True)] + [(1, 1.0, "ecef_x", 5.0)], "session_id long, tc double, channel string, value double")
+    found = normalize.ecef_to_lla(s)
+    assert {(r.tc, r.channel): round(r.value, 6) for r in found.collect() if r.tc == 0} == {(0.0, "lat"): 0.0, (0.0, "lon"): 0.0, (0.0, "alt"): 0.0, (0.0, "speed"): 13.0}
+    assert found._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2 and "pivot" not in found._jdf.queryExecution().optimizedPlan().toString()
