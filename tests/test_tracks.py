@@ -94,3 +94,14 @@ def test_segments_of_random_rates(spark):
     for r in tracks.segment_track(df, spacing_m=4.0).orderBy("track_id", "seg").collect():
         got.setdefault(r.track_id, []).append((r.kind[0], r.start_seq, r.end_seq))
     assert got == {t: plain_segments(rs) for t, rs in tracks_.items()}
+
+
+def test_far_points_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "FAR_A_TASK", 100)
+    track = spark.createDataFrame([(0, i, 45 + 0.001 * i, 9.0) for i in range(20)], "track_id long, seq long, lat double, lon double")
+    points = spark.range(1000).select((F.col("id") % 10).alias("session_id"), F.col("id").cast("double").alias("tc"), F.lit(0).cast("long").alias("track_id"), F.lit(45.0105).alias("lat"), F.lit(9.02).alias("lon"))
+    dealt = []
+    monkeypatch.setattr(tracks, "_closest_of_each", lambda p, *a, _own=tracks._closest_of_each, **k: (dealt.append(p), _own(p, *a, **k))[1])
+    found = tracks.nearest_on_track(points, track)
+    assert found.count() == 1000 and found.filter("abs(idx - 10.5) < 1e-6 AND off > 1000").count() == 1000
+    assert dealt[-1].rdd.getNumPartitions() == 10
