@@ -142,3 +142,13 @@ def test_buckets_prune_folders(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan.replace("PartitionFilters: [bucket", "PartitionFilters: [isnotnull(bucket") and "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
     storage.write_small(s.limit(3), str(tmp_path / "small"), "json")
     assert spark.read.json(str(tmp_path / "small")).count() == 3
+
+
+def test_logs_are_written_to_a_folder_for_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "LOGS_A_TASK", 10)
+    lines = spark.range(300).select((F.col("id") % 60).alias("session_id"), (-F.col("id")).cast("double").alias("o"), F.concat(F.lit("é "), F.col("id").cast("string")).alias("value"))
+    storage.write_logs(lines, f"file://{tmp_path}/logs")
+    folders = os.listdir(tmp_path / "logs")
+    files = {f: (tmp_path / "logs" / d / f).read_text() for d in folders for f in os.listdir(tmp_path / "logs" / d)}
+    assert len(folders) <= 6 and len(files) == 60
+    assert files["session_id=7.log"] == "é 247\né 187\né 127\né 67\né 7\n"
