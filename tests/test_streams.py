@@ -152,3 +152,17 @@ def test_logs_are_written_to_a_folder_for_many(spark, tmp_path, monkeypatch):
     files = {f: (tmp_path / "logs" / d / f).read_text() for d in folders for f in os.listdir(tmp_path / "logs" / d)}
     assert len(folders) <= 6 and len(files) == 60
     assert files["session_id=7.log"] == "é 247\né 187\né 127\né 67\né 7\n"
+
+
+def test_a_batch_without_a_counter_looks_for_no_laps(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "x.log").write_text('"Interval"|"ms","Speed"|"km/h"\n5,4\n15,6\n')
+    seen = []
+    own = jobs.laps_from_counter
+    jobs.laps_from_counter = lambda *a: (seen.append(1), own(*a))[1]
+    try:
+        jobs.stream_catalog(spark, str(tmp_path / "logs"), str(tmp_path / "tables"), str(tmp_path / "state")).awaitTermination()
+    finally:
+        jobs.laps_from_counter = own
+    laps = spark.read.parquet(f"{tmp_path}/tables/laps")
+    assert not seen and laps.count() == 0 and dict(laps.dtypes)["lap_num"] == "int"
