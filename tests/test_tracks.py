@@ -105,3 +105,32 @@ def test_far_points_are_spread_over_tasks(spark, monkeypatch):
     found = tracks.nearest_on_track(points, track)
     assert found.count() == 1000 and found.filter("abs(idx - 10.5) < 1e-6 AND off > 1000").count() == 1000
     assert dealt[-1].rdd.getNumPartitions() == 10
+
+
+def test_a_lap_is_resampled_without_a_shuffle_of_its_places(spark):
+    """The same values as of all channels one by one; standstills and channels with times of their own included."""
+    rng = random.Random(7)
+    speeds, rows = [], []
+    for s in range(6):
+        speeds += [(s, 1000.0 * i + rng.choice([0.0, 137.0]), rng.choice([0.0, 0.0, 5.0, 12.5, 30.0])) for i in range(120)]
+        rows += [(s, c, rng.uniform(-5000, 130_000), rng.uniform(0, 9)) for c, n in (("a", 300), ("b", 15), ("c", 1)) for _ in range(n)]
+    speed = spark.createDataFrame(speeds, "session_id long, tc double, value double").cache()
+    samples = spark.createDataFrame(rows, "session_id long, channel string, tc double, value double").cache()
+    laps = spark.createDataFrame([(s, n, a, b) for s in range(6) for n, (a, b) in enumerate([(0.0, 30_250.0), (30_250.0, 80_010.0), (80_010.0, 119_000.0)])], "session_id long, lap_num int, start_tc double, end_tc double")
+    m = distance.build_dist_map(speed, laps, 100.0).cache()
+    best = distance.with_lap_distances(laps, m, 100.0).filter("lap_num = session_id % 3").cache()
+    path = distance.resample_lap(samples, best, m, ["a", "b", "c"], 2.0, 100.0)
+    plan = path._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Generate explode") < plan.find("Exchange") and "Join" not in plan
+    got = {(r.session_id, r.i, c): r[c] for r in path.collect() for c in "abc"}
+    want = {(r.session_id, r.i, r.channel): r.value for r in distance.resample_by_distance(samples, best, m, 2.0, 100.0).collect()}
+    assert len(want) > 3000 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_starts_meet_their_own_track_and_no_cells(spark):
+    track = spark.createDataFrame([(t, i, 45 + 0.0001 * i, 9.0 + t) for t in range(3) for i in range(30)], "track_id long, seq long, lat double, lon double")
+    at = spark.createDataFrame([(t, float(i), t, 45 + 0.0001 * i + 0.00002, 9.0 + t + (0.5 if i == 7 else 0.0001)) for t in range(3) for i in range(20)], "session_id long, tc double, track_id long, lat double, lon double")
+    got = {(r.session_id, r.tc): (r.idx, r.off) for r in tracks.nearest_on_own_track(at, track).collect()}
+    want = {(r.session_id, r.tc): (r.idx, r.off) for r in tracks.nearest_on_track(at, track).collect()}
+    assert len(got) == 60 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
