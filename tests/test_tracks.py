@@ -134,3 +134,13 @@ def test_starts_meet_their_own_track_and_no_cells(spark):
     got = {(r.session_id, r.tc): (r.idx, r.off) for r in tracks.nearest_on_own_track(at, track).collect()}
     want = {(r.session_id, r.tc): (r.idx, r.off) for r in tracks.nearest_on_track(at, track).collect()}
     assert len(got) == 60 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_near_points_are_not_joined_with_points_again(spark):
+    track = spark.createDataFrame([(0, i, 45 + 0.001 * i, 9.0) for i in range(20)], "track_id long, seq long, lat double, lon double")
+    points = spark.createDataFrame([(1, float(i), 0, 45.0105, 9.0 + off, "x") for i, off in enumerate((0.0001, 0.0001, 0.02))], "session_id long, tc double, track_id long, lat double, lon double, note string")
+    near = tracks._nearest_within(points.repartition(9, "session_id"), track, 30.0)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and near.rdd.getNumPartitions() == 9
+    assert near.columns == [*points.columns, "idx", "off"]
+    assert sorted((r.tc, r.note, r.off is None) for r in near.collect()) == [(0.0, "x", False), (1.0, "x", False), (2.0, "x", True)]
