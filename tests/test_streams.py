@@ -166,3 +166,15 @@ def test_a_batch_without_a_counter_looks_for_no_laps(spark, tmp_path):
         jobs.laps_from_counter = own
     laps = spark.read.parquet(f"{tmp_path}/tables/laps")
     assert not seen and laps.count() == 0 and dict(laps.dtypes)["lap_num"] == "int"
+
+
+def test_a_batch_of_a_fed_table_is_many_files(spark, monkeypatch):
+    from lapframe.plans import more
+
+    monkeypatch.setattr(more, "FED_A_FILE", 100)
+    df = spark.range(1200).select("id", (F.col("id") % 3).cast("int").alias("part"))
+    seen = []
+    note = lambda b, i: seen.append((b.select(F.col("_metadata.file_path")).distinct().count(), sorted(r.id for r in b.select("id").collect())))
+    s = more._fed(df, spark, "fed", F.col("part")).select("id", "_metadata")
+    s.writeStream.foreachBatch(note).option("checkpointLocation", more.scratch(spark, "fed-state")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(5, list(range(i, 1200, 3))) for i in range(3)]
