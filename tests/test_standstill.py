@@ -56,3 +56,14 @@ def test_queries_equal_their_sql_with_zeros(spark, tmp_path, name):
     got = f"SELECT {columns} FROM '{tmp_path}/out/*.parquet'"
     assert db.sql(f"SELECT count(*) FROM ({got})").fetchall() == db.sql("SELECT count(*) FROM wanted").fetchall() != [(0,)]
     assert db.sql(f"({got}) EXCEPT ALL (SELECT {columns} FROM wanted)").fetchall() == []
+
+
+def test_a_lap_five_percent_off_is_scaled_whatever_its_speed(spark):
+    """At constant speed laps of 19 and 21 seconds are five percent off those of 20: rounding errors of the sums don't decide."""
+    speeds = [196.72, 203.92, 322.5, 256.4, 207.89, 364.08, 417.42, *[i * 0.37 + 0.01 for i in range(40)]]
+    ends = [0, 7, 27, 46, 66, 87, 107, 125, 140]
+    speed = spark.createDataFrame([(i, 30_000.0, v) for i, v in enumerate(speeds)], "session_id long, tc double, value double")
+    lap = spark.createDataFrame([(i, n, a * 1000.0, b * 1000.0) for i in range(len(speeds)) for n, (a, b) in enumerate(zip(ends, ends[1:], strict=False))], "session_id long, lap_num int, start_tc double, end_tc double")
+    found = distance.build_dist_map(speed, lap, 1000.0).select("session_id", "lap_num", "f").distinct().collect()
+    want = [1.0, 1.0, 20 / 19, 1.0, 20 / 21, 1.0, 1.0, 1.0]
+    assert sorted((r.session_id, r.lap_num, round(r.f, 9)) for r in found) == [(i, n, round(f, 9)) for i in range(len(speeds)) for n, f in enumerate(want)]
