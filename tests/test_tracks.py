@@ -144,3 +144,17 @@ def test_near_points_are_not_joined_with_points_again(spark):
     assert plan.count("Join") == 1 and near.rdd.getNumPartitions() == 9
     assert near.columns == [*points.columns, "idx", "off"]
     assert sorted((r.tc, r.note, r.off is None) for r in near.collect()) == [(0.0, "x", False), (1.0, "x", False), (2.0, "x", True)]
+
+
+def test_far_points_are_not_joined_with_themselves(spark):
+    """A join on points' own keys broadcasts them all: on disk they are few bytes."""
+    track = spark.createDataFrame([(1, i, 45 + 0.004 * math.sin(i / 5), 9 + 0.006 * math.cos(i / 5)) for i in range(32)], "track_id long, seq long, lat double, lon double")
+    points = spark.createDataFrame([(s, float(i), 45 + off, 9 + 0.001 * i, t) for s, off, t in ((1, 0.1, 1), (2, 9.0, 1), (3, 0.1, 2)) for i in range(20)], "session_id long, tc double, lat double, lon double, track_id long")
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = runs().size()
+    got = tracks.nearest_on_track(points, track).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [runs().apply(i).physicalPlanDescription() for i in range(before, runs().size())]
+    assert plans and not any("Left keys" in line and "session_id" in line for plan in plans for line in plan.splitlines())
+    assert sorted((r.session_id, r.tc) for r in got) == sorted((s, float(i)) for s in (1, 2, 3) for i in range(20))
+    assert all((r.off is None) == (r.session_id == 3) for r in got)
