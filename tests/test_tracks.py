@@ -158,3 +158,15 @@ def test_far_points_are_not_joined_with_themselves(spark):
     assert plans and not any("Left keys" in line and "session_id" in line for plan in plans for line in plan.splitlines())
     assert sorted((r.session_id, r.tc) for r in got) == sorted((s, float(i)) for s in (1, 2, 3) for i in range(20))
     assert all((r.off is None) == (r.session_id == 3) for r in got)
+
+
+def test_tables_of_all_tracks_are_not_broadcast(spark):
+    """Parts and marks of all tracks are a few bytes a row on disk: by that they look small."""
+    path = spark.createDataFrame([(t, i, 45 + stadium(i)[1] * METRE, 9 + stadium(i)[0] * METRE, 30.0) for t in (1, 2) for i in range(900)], "track_id long, seq long, lat double, lon double, speed double")
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = runs().size()
+    points, parts = tracks.build_track(path, limit=40.0)
+    assert parts.filter("dist IS NOT NULL").count() == parts.count() >= 4
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [runs().apply(i).physicalPlanDescription() for i in range(before, runs().size())]
+    assert plans and not any("BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan for plan in plans)
